@@ -17,13 +17,6 @@ SESSION_BINS = [(1, "1"), (5, "2-5"), (10, "6-10"), (25, "11-25"), (50, "26-50")
 ROW_BINS = [(1, "1"), (5, "2-5"), (20, "6-20"), (100, "21-100"), (1000, "101-1K"), (10000, "1K-10K")]
 DEVICE_BINS = [(1, "1"), (5, "2-5"), (20, "6-20")]
 THROUGHPUT_BANDS = [(1_000_000, "very_low"), (3_000_000, "low"), (8_000_000, "medium")]
-COUNTRY_NAMES = {
-    "IN": "India", "US": "United States", "AE": "United Arab Emirates", "GB": "United Kingdom",
-    "CA": "Canada", "AU": "Australia", "SG": "Singapore", "NP": "Nepal", "BD": "Bangladesh",
-    "PK": "Pakistan", "LK": "Sri Lanka", "SA": "Saudi Arabia", "QA": "Qatar", "OM": "Oman",
-    "KW": "Kuwait", "BH": "Bahrain", "DE": "Germany", "FR": "France", "NL": "Netherlands",
-    "MY": "Malaysia",
-}
 
 
 def quality(path: Column | str) -> Column:

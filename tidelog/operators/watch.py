@@ -13,10 +13,7 @@ from ..model import COLS, WATCH_GAP_CAP_SECONDS, ColMap, typed
 from .ordered import Ordered
 from .ranking import one_row, with_share
 
-TIMELINE_COLUMNS = [
-    "timeline_key", "row_group", "cliip_ua_viewer", "device_viewer", "device_id", "session_id",
-    "has_device_id_key", "has_session_id_key", "cliIP", "UA", "stream_key", "event_date", "req_ts",
-]
+TIE = ["cliip_ua_viewer", "UA"]
 
 
 def viewer_key(ip: Column, ua: Column) -> Column:
@@ -49,8 +46,7 @@ def timeline_rows(logs: DataFrame, cols: ColMap = COLS, where: Column | None = N
     if where is not None:
         df = df.where(where)
     df = df.select(
-        "req_ts", clock.day_date("req_ts").alias("event_date"),
-        blank_to_null(cols.ip).alias("cliIP"), blank_to_null(cols.ua).alias("UA"),
+        "req_ts", blank_to_null(cols.ip).alias("cliIP"), blank_to_null(cols.ua).alias("UA"),
         stream_key(cols.path).alias("stream_key"),
         qs_trimmed(cols.qs, "device_id").alias("device_id"), qs_trimmed(cols.qs, "session_id").alias("session_id"),
         qs_has_key(cols.qs, "device_id", False).cast("int").alias("has_device_id_key"),
@@ -58,15 +54,17 @@ def timeline_rows(logs: DataFrame, cols: ColMap = COLS, where: Column | None = N
         *[F.col(c).alias(f"dim_{c}") for c in keep],
     )
     dev, sid, ip, ua = (F.col(c) for c in ("device_id", "session_id", "cliIP", "UA"))
-    df = df.select(
+    # the same rows as "timeline_key is not null"; the keys below derive from the distinct
+    # columns, so they are added after the shuffle and do not travel with it
+    df = df.where(ip.isNotNull() | ua.isNotNull() | dev.isNotNull()).distinct()
+    return df.select(
         "*",
+        clock.day_date("req_ts").alias("event_date"),
         timeline_key(dev, sid, ip, ua, F.col("stream_key")).alias("timeline_key"),
         row_group(dev, sid).alias("row_group"),
         viewer_key(ip, ua).alias("cliip_ua_viewer"),
         F.concat(F.lit("device:"), dev).alias("device_viewer"),
     )
-    names = [*TIMELINE_COLUMNS, *[f"dim_{c}" for c in keep]]
-    return df.where(F.col("timeline_key").isNotNull()).select(*names).distinct()
 
 
 def gap_watch(
@@ -84,7 +82,8 @@ def gap_watch(
 
 def timeline_capped(rows: DataFrame, cap: int = WATCH_GAP_CAP_SECONDS, **tuning) -> DataFrame:
     """Rows that have a next row in their timeline, with the capped gap."""
-    tie = [c for c in rows.columns if c not in ("timeline_key", "req_ts")]
+    # rows equal on these differ in nothing that the gap or a report uses, but for kept dimensions
+    tie = [*TIE, *[c for c in rows.columns if c.startswith("dim_")]]
     return gap_watch(rows, ["timeline_key"], cap, tie=tie, **tuning).where(F.col("next_req_ts").isNotNull())
 
 
