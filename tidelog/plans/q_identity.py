@@ -123,8 +123,8 @@ def _(spark, d):
     return identity.multi_device_ips(_rows(spark, d))
 
 
-@query("agg_33_platforms_by_country", on_logs("""WITH pc AS (SELECT country, platform, COUNT(DISTINCT device_id) AS unique_devices FROM gp WHERE country <> '' AND platform <> '' GROUP BY 1, 2)
- SELECT * FROM pc WHERE country IN (SELECT country FROM pc GROUP BY 1 ORDER BY SUM(unique_devices) DESC, country LIMIT 10)""", _I, _P, GEO_SQL, _GP))
+@query("agg_33_platforms_by_country", on_logs("""SELECT * FROM pc WHERE country IN (SELECT country FROM pc GROUP BY 1 ORDER BY SUM(unique_devices) DESC, country LIMIT 10)""", _I, _P, GEO_SQL, _GP,
+    "pc AS (SELECT country, platform, COUNT(DISTINCT device_id) AS unique_devices FROM gp WHERE country <> '' AND platform <> '' GROUP BY 1, 2)"))
 def _(spark, d):
     return identity.platforms_by_country(_geo_pairs(spark, d))
 

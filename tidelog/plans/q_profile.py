@@ -125,7 +125,7 @@ def _(spark, d):
 
 
 @query("agg_58_health_checks", on_logs("""SELECT 'row_count' AS check_name, CASE WHEN COUNT(*) = 0 THEN 'FAIL' WHEN COUNT(*) < 1000 THEN 'WARN' ELSE 'OK' END AS status, COUNT(*) || ' rows' AS detail FROM t
- UNION ALL SELECT 'schema_columns', 'OK', '19 expected columns present'
+ UNION ALL SELECT 'schema_columns', 'OK', '18 expected columns present'
  UNION ALL SELECT 'extra_columns', 'WARN', '1 extra columns'
  UNION ALL SELECT 'column_types', 'OK', 'types as expected'
  UNION ALL SELECT 'null_rates', CASE WHEN m > 10 THEN 'WARN' ELSE 'OK' END, 'worst null rate ' || CAST(ROUND(m, 1) AS VARCHAR) || '%' FROM (
