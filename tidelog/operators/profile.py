@@ -52,10 +52,10 @@ def distinct_counts(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return per
 
 
-def distinct_exact_or_approx(df: DataFrame, columns: list[str], exact: bool = True, error: float = 0.01) -> DataFrame:
-    """Distinct counts of several columns as one row; approximate ones use a sketch."""
+def distinct_exact_or_approx(df: DataFrame, columns: list[str], exact: bool = True, lg_k: int = 14) -> DataFrame:
+    """Distinct counts of several columns as one row; approximate ones use a mergeable sketch."""
     if not exact:
-        return df.agg(*[F.approx_count_distinct(c, error).alias(c) for c in columns])
+        return df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(as_text(c), F.lit(lg_k))).alias(c) for c in columns])
     parts = [columns[i : i + DISTINCTS_PER_PASS] for i in range(0, len(columns), DISTINCTS_PER_PASS)]
     return one_row(*[df.agg(*[F.count_distinct(c).alias(c) for c in part]) for part in parts])
 

@@ -56,7 +56,7 @@ def modes(df: DataFrame, keys: list[str], column: str, out: str, extra: str | No
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
     """First n rows per group; Spark prunes to n per group before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("long"))
 
 
 def exact_percentiles(df: DataFrame, column: str, points: dict[str, float], width: int = 4096) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +33,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
     return tempfile.mkdtemp(prefix="tidelog-ckpt-")
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for staged tables and stream state."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
