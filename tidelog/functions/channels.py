@@ -20,12 +20,6 @@ PLATFORM_TOKENS = (
     "mi", "mitv", "xiaomi", "sony", "bravia", "id", "tv", "mobile", "phone", "tablet",
 )
 EARLY_PLATFORM_TOKENS = ("firetv", "androidtv", "android", "web")
-# a token equal to the left side also allows the right side
-TOKEN_COMPANIONS = {
-    "androidtv": "android", "appletv": "apple", "lgtv": "lg",
-    "samsungtv": "samsung", "firestick": "firetv",
-}
-
 _ANY_SUFFIX = "(?i)_(" + "|".join(PLATFORM_TOKENS) + ")$"
 _NO_ID_SUFFIX = "(?i)_(" + "|".join(t for t in PLATFORM_TOKENS if t != "id") + ")$"
 _EARLY_SUFFIX = "(?i)_(" + "|".join(EARLY_PLATFORM_TOKENS) + ")$"
@@ -76,12 +70,12 @@ def _token(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", "")
 
 
-def _own_tokens(value: Column | str) -> Column:
-    """Suffix tokens that a row's own platform or device name allows."""
-    t = _token(as_text(value))
-    found = [F.when(t != "", t), F.when(t.endswith("tv") & (F.length(t) > 2), F.regexp_replace(t, "tv$", ""))]
-    found += [F.when(t == left, F.lit(right)) for left, right in TOKEN_COMPANIONS.items()]
-    return F.array_compact(F.array(*found))
+def _allowed(last: Column, own: list[Column]) -> Column:
+    """The last part is a listed token, or the row's own platform or device, or that without 'tv'."""
+    hit = last.isin(*PLATFORM_TOKENS)
+    for t in own:
+        hit = hit | ((last != "") & ((last == t) | (F.concat(last, F.lit("tv")) == t)))
+    return hit
 
 
 def channel_pure(raw: Column | str, platform: Column | str, device: Column | str) -> Column:
@@ -91,17 +85,15 @@ def channel_pure(raw: Column | str, platform: Column | str, device: Column | str
     """
     r = F.trim(as_text(raw))
     s = F.trim(F.regexp_replace(F.regexp_replace(r, r"\s*_\s*", "_"), r"\s+", " "))
-    allowed = F.concat(
-        F.array(*[F.lit(t) for t in PLATFORM_TOKENS]), _own_tokens(platform), _own_tokens(device)
-    )
+    own = [_token(as_text(platform)), _token(as_text(device))]
 
     def cut(acc: Column, _step: Column) -> Column:
-        last = _token(F.substring_index(acc, "_", -1))
         shorter = F.trim(F.btrim(F.regexp_replace(acc, "_[^_]*$", ""), F.lit("_ ")))
-        return F.when(acc.contains("_") & F.array_contains(allowed, last), shorter).otherwise(acc)
+        last = _token(F.substring_index(acc, "_", -1))
+        return F.when(acc.contains("_") & _allowed(last, own), shorter).otherwise(acc)
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.size(F.split(s, "_"))), s, cut)
-    name = F.when(s.contains("_"), folded).otherwise(s)
+    folded = F.aggregate(F.sequence(F.lit(2), F.size(F.split(s, "_"))), s, cut)
+    name = F.when(r.contains("_"), folded).otherwise(s)
     unknown = r.isNull() | F.lower(r).isin(*NULL_WORDS)
     return F.when(unknown, F.lit("unknown")).otherwise(F.lower(F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown"))))
 

@@ -51,13 +51,16 @@ def qs_pairs(qs: Column | str) -> Column:
 
 def qs_map(qs: Column | str) -> Column:
     """map<string,string>; the last duplicate of a key wins, under any map policy."""
-    pairs = qs_pairs(qs)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    values = F.transform(
-        keys,
-        lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"],
-    )
-    return F.map_from_arrays(keys, values)
+
+    def build(pairs: Column) -> Column:
+        # a pair is kept when no later pair has its key
+        last = F.filter(
+            pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == p["key"])
+        )
+        return F.map_from_entries(last)
+
+    # the one-element array binds the parsed pairs, so the text is parsed once
+    return F.transform(F.array(qs_pairs(qs)), build)[0]
 
 
 def device_id_any_alias(qs: Column | str) -> Column:

@@ -16,13 +16,14 @@ def _well_formed(c: Column) -> Column:
 def decode_form(c: Column | str) -> Column:
     """Form decoding: '+' is a space, %xx decoded, malformed escapes kept as text."""
     c = as_text(c)
-    return F.coalesce(F.try_url_decode(_well_formed(c)), c)
+    return F.when(c.contains("%") | c.contains("+"), F.coalesce(F.try_url_decode(_well_formed(c)), c)).otherwise(c)
 
 
 def decode_uri(c: Column | str) -> Column:
     """URI decoding: like :func:`decode_form` but '+' stays '+'."""
     c = as_text(c)
-    return F.coalesce(F.try_url_decode(F.replace(_well_formed(c), F.lit("+"), F.lit("%2B"))), c)
+    escaped = F.replace(_well_formed(c), F.lit("+"), F.lit("%2B"))
+    return F.when(c.contains("%"), F.coalesce(F.try_url_decode(escaped), c)).otherwise(c)
 
 
 def unescape_spaces(c: Column | str) -> Column:

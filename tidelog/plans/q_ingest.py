@@ -51,8 +51,8 @@ _FILLED = "COUNT(*) FILTER (WHERE TRIM(CAST({c} AS VARCHAR)) NOT IN ('', '-', '^
 
 
 @query("ing_5_raw_profile", on_logs(" UNION ALL ".join(
-    f"""SELECT '{c}' AS column_name, COUNT({c}) AS present, {_FILLED.format(c=c)} AS filled, COUNT({c}) FILTER (WHERE NOT regexp_matches(CAST({c} AS VARCHAR), '^-?[0-9]+$')) AS n_str,
- COUNT({c}) FILTER (WHERE regexp_matches(CAST({c} AS VARCHAR), '^-?[0-9]+$')) AS n_int, CAST(0 AS BIGINT) AS n_float, CAST(0 AS BIGINT) AS n_bool, CAST(0 AS BIGINT) AS n_dict, CAST(0 AS BIGINT) AS n_list, CAST(0 AS BIGINT) AS n_null FROM logs"""
+    f"""SELECT '{c}' AS column_name, COUNT({c}) AS present, {_FILLED.format(c=c)} AS filled, {f'COUNT({c})' if c != 'event_id' else 'CAST(0 AS BIGINT)'} AS n_str,
+ {f'COUNT({c})' if c == 'event_id' else 'CAST(0 AS BIGINT)'} AS n_int, CAST(0 AS BIGINT) AS n_float, CAST(0 AS BIGINT) AS n_bool, CAST(0 AS BIGINT) AS n_dict, CAST(0 AS BIGINT) AS n_list, CAST(0 AS BIGINT) AS n_null FROM logs"""
     for c in ["event_id", *TEXT])))
 def _(spark, d):
     return raw_json.profile(raw_json.parse(lines(spark, d)))

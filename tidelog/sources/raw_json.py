@@ -28,40 +28,53 @@ def spread(lines: DataFrame, partitions: int) -> DataFrame:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Add ``fields`` (map of text) and ``error`` (NULL, 'JSON' or 'Not a JSON object').
+    """Add ``doc`` (VARIANT of a good line) and ``error`` (NULL, 'JSON' or 'Not a JSON object').
 
-    Blank lines are dropped; a '...] ' prefix before the JSON is removed. Nested values stay
-    JSON text, numbers keep their text.
+    Blank lines are dropped; a '...] ' prefix before the JSON is removed. The line is parsed
+    once; every later step reads fields out of the binary value.
     """
-    body = F.regexp_replace(F.trim("value"), r"^[^{\"]*\] +(?=\{)", "")
-    df = lines.withColumn("body", body).where(F.col("body") != "")
-    is_object = F.col("body").startswith("{")
-    # an object is bad when the permissive parser cannot read it to the end
-    valid = F.try_parse_json("body")
-    error = F.when(valid.isNull(), "JSON").when(~is_object, "Not a JSON object")
-    df = df.withColumn("error", error)
-    return df.withColumn("fields", F.when(F.col("error").isNull(), F.from_json("body", MAP))).drop("body")
-
-
-def _python_text(value: Column, is_bool: Column) -> Column:
-    """Booleans as True / False, everything else unchanged."""
-    return F.when(is_bool, F.initcap(value)).otherwise(value)
+    text = F.trim("value")
+    body = F.when(text.startswith("{"), text).otherwise(F.regexp_replace(text, r"^[^{\"]*\] +(?=\{)", ""))
+    df = lines.where(text != "").withColumn("body", body)
+    closed = F.col("body").startswith("{") & F.col("body").endswith("}")
+    df = df.withColumn("doc", F.when(closed, F.try_parse_json("body")))
+    # the parser refuses repeated keys; such lines are good and their last value counts
+    repeated = F.when(closed & F.col("doc").isNull(), F.from_json("body", MAP))
+    df = df.withColumn("repeated", repeated)
+    other = F.when(~F.col("body").startswith("{") & F.try_parse_json("body").isNotNull(), "Not a JSON object").otherwise("JSON")
+    error = F.when(F.col("doc").isNull() & F.col("repeated").isNull(), other)
+    return df.withColumn("error", error).drop("body")
+
+
+def _path(name: str) -> str:
+    return "$['" + name.replace("'", "\\'") + "']"
+
+
+def _field(name: str, read: Column, sentinels: tuple[str, ...]) -> Column:
+    """Final text of one field from its raw text ``read``."""
+    # only the words true and false need a look at the JSON type
+    is_bool = F.schema_of_variant(F.try_variant_get("doc", _path(name), "variant")) == "BOOLEAN"
+    return (
+        F.when(F.col("repeated").isNotNull(), F.try_element_at(F.filter(F.map_entries("repeated"), lambda e: e["key"] == name), F.lit(-1))["value"])
+        .when(read.isin(*sentinels), None)
+        .when(read.isin("true", "false") & is_bool, F.initcap(read))
+        .otherwise(read)
+    )
 
 
 def rows_as_text(parsed: DataFrame, columns: list[str], keep_source: bool = False, sentinels: tuple[str, ...] = NULL_SENTINELS) -> DataFrame:
-    """Good rows as an all-text table of the kept columns; sentinels become NULL, booleans True/False."""
-    flags = F.from_json("value_body", "map<string,boolean>")
-    good = parsed.where(F.col("error").isNull())
-    good = good.withColumn("value_body", F.regexp_replace(F.trim("value"), r"^[^{\"]*\] +(?=\{)", ""))
-    good = good.withColumn("_bools", F.when(F.col("value_body").rlike(r"\b(true|false)\b"), flags))
-
-    def one(c: str) -> Column:
-        raw = F.col("fields")[c]
-        text = _python_text(raw, F.coalesce(F.col("_bools")[c].isNotNull(), F.lit(False)))
-        return F.when(~text.isin(*sentinels), text).alias(c)
+    """Good rows as an all-text table of the kept columns: nested values as JSON, sentinels and JSON
+    null as NULL, booleans as True / False.
 
-    extra = [F.col("_src_file")] if keep_source and "_src_file" in parsed.columns else []
-    return good.select(*[one(c) for c in columns], *extra)
+    Good rows are chosen by a generator rather than a filter: a filter would be pushed below
+    the parse and run it a second time.
+    """
+    extra = ["_src_file"] if keep_source and "_src_file" in parsed.columns else []
+    good = (F.col("doc").isNotNull() | F.col("repeated").isNotNull()).alias("_good")
+    raw = parsed.select(*extra, good, "doc", "repeated", *[F.try_variant_get("doc", _path(c), "string").alias(f"_r{i}") for i, c in enumerate(columns)])
+    clean = raw.select(*extra, "_good", *[_field(c, F.col(f"_r{i}"), sentinels).alias(f"_c{i}") for i, c in enumerate(columns)])
+    cells = F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
+    return clean.select(*extra, F.inline(F.when(F.col("_good"), F.array(cells))))
 
 
 def error_rows(parsed: DataFrame, batch: str = "") -> DataFrame:
@@ -71,29 +84,34 @@ def error_rows(parsed: DataFrame, batch: str = "") -> DataFrame:
         F.lit(batch).alias("batch"), F.lit("parse").alias("stage"), file.alias("file"), "error", "value")
 
 
+def _entries(parsed: DataFrame) -> DataFrame:
+    """One row per top-level field: column_name, text and JSON type."""
+    doc = F.col("doc").cast("map<string,variant>")
+    flat = F.transform(F.map_entries(doc), lambda e: F.struct(
+        e["key"].alias("column_name"), e["value"].cast("string").alias("v"),
+        F.regexp_extract(F.schema_of_variant(e["value"]), "^[A-Z]+", 0).alias("kind")))
+    again = F.transform(F.map_entries("repeated"), lambda e: F.struct(
+        e["key"].alias("column_name"), e["value"].alias("v"), F.lit("STRING").alias("kind")))
+    return parsed.select(F.inline(F.coalesce(flat, again)))
+
+
 def discover_columns(parsed: DataFrame, limit: int | None = None) -> DataFrame:
     """All keys seen, with the number of rows that carry them. Keys of every row count, not of a first buffer."""
-    keys = parsed.select(F.explode(F.map_keys("fields")).alias("column_name"))
-    out = keys.groupBy("column_name").agg(F.count(F.lit(1)).alias("rows"))
+    out = _entries(parsed).groupBy("column_name").agg(F.count(F.lit(1)).alias("rows"))
     return out if limit is None else out.orderBy(F.desc("rows"), "column_name").limit(limit)
 
 
-def _kind(v: Column) -> Column:
-    return (
-        F.when(v.isNull(), "null").when(v.startswith("{"), "dict").when(v.startswith("["), "list")
-        .when(v.rlike(r"^-?\d+$"), "int").when(v.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), "float")
-        .when(v.isin("true", "false"), "bool").otherwise("str")
-    )
+JSON_KINDS = {"str": ("STRING",), "int": ("BIGINT",), "float": ("DOUBLE", "DECIMAL", "FLOAT"), "bool": ("BOOLEAN",),
+              "dict": ("OBJECT",), "list": ("ARRAY",), "null": ("VOID",)}
 
 
 def profile(parsed: DataFrame) -> DataFrame:
-    """Per key: rows present, rows filled and a histogram of value shapes."""
-    kv = parsed.select(F.explode("fields").alias("column_name", "v"))
+    """Per key: rows present, rows filled and a histogram of JSON types."""
+    kv = _entries(parsed)
     filled = F.col("v").isNotNull() & ~F.trim("v").isin("", *NULL_SENTINELS)
-    kind = _kind(F.col("v"))
-    kinds = ("str", "int", "float", "bool", "dict", "list", "null")
     return kv.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("present"), F.count_if(filled).alias("filled"), *[F.count_if(kind == k).alias(f"n_{k}") for k in kinds])
+        F.count(F.lit(1)).alias("present"), F.count_if(filled).alias("filled"),
+        *[F.count_if(F.col("kind").isin(*types)).alias(f"n_{k}") for k, types in JSON_KINDS.items()])
 
 
 def profile_lines(parsed: DataFrame) -> DataFrame:
