@@ -19,6 +19,15 @@ def qs_value(qs: Column | str, key: str) -> Column:
     return F.nullif(F.regexp_extract(as_text(qs), f"(?:^|&){re.escape(key)}=([^&]+)", 1), F.lit(""))
 
 
+def qs_present(qs: Column | str, key: str) -> Column:
+    """True exactly where :func:`qs_value` is not NULL.
+
+    As a filter it is one pattern test, while "value is not NULL" would be pushed below the
+    projection as a second extraction.
+    """
+    return F.coalesce(as_text(qs).rlike(f"(?:^|&){re.escape(key)}=[^&]"), F.lit(False))
+
+
 def qs_trimmed(qs: Column | str, key: str) -> Column:
     """Tolerant dialect: also after '?', blank allowed, trimmed, blank -> NULL."""
     return blank_to_null(F.regexp_extract(as_text(qs), f"(?:^|[?&]){re.escape(key)}=([^&]*)", 1))

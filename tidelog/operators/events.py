@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands, channels, clock, devices
-from ..functions.querystring import qs_mentions, qs_value
+from ..functions.querystring import qs_mentions, qs_present, qs_value
 from ..functions.text import clean_location, decode_form
 from ..model import COLS, ColMap, typed
 
@@ -29,15 +29,17 @@ def behaviour_events(
     df = typed(logs, cols)
     if where is not None:
         df = df.where(where)
-    df = with_qs_fields(df.where(qs_mentions(cols.qs, "session_id")), cols)
-    df = df.where(F.col("session_id").isNotNull() & F.col("device_id").isNotNull())
-    raw = channels.channel_raw(cols.qs, cols.path)
+    df = df.where(qs_mentions(cols.qs, "session_id") & qs_present(cols.qs, "session_id") & qs_present(cols.qs, "device_id"))
+    df = with_qs_fields(df, cols)
+    # later columns build on extracted ones, so every pattern runs once per row
+    df = df.withColumn("_stream", channels.stream_id(cols.path))
+    named = [F.col("channel_qs"), F.col("channel_name_qs"), F.col("_stream")]
+    df = df.withColumn("channel_name_raw", F.coalesce(*named, F.lit("Unknown")))
     return df.select(
-        "*",
+        *[c for c in df.columns if c != "_stream"],
         clock.day_date("req_ts").alias("event_date"),
-        raw.alias("channel_name_raw"),
-        channels.channel_folded(raw).alias("channel_name"),
-        channels.content_label(cols.qs, cols.path).alias("content_label"),
+        channels.channel_folded("channel_name_raw").alias("channel_name"),
+        F.coalesce("content_title", *named, F.col(cols.path)).alias("content_label"),
         clock.daypart("req_ts", daypart_mode).alias("day_part"),
         devices.device_type(cols.ua, F.col("platform")).alias("device_type"),
     )
@@ -104,7 +106,7 @@ def device_rows(
     if device_id is not None:
         # a cheap text test first, so the patterns run on few rows
         df = df.where(F.col(cols.qs).contains(f"device_id={device_id}"))
-    df = with_qs_fields(df, cols).where(F.col("device_id").isNotNull())
+    df = with_qs_fields(df.where(qs_present(cols.qs, "device_id")), cols)
     return df if device_id is None else df.where(F.col("device_id") == device_id)
 
 

@@ -10,7 +10,7 @@ from ..functions.querystring import qs_has_key, qs_value
 from ..functions.text import blank_to_null, decode_form
 from ..model import COLS, ColMap, typed
 from .dimensions import best_match
-from .ranking import modes, one_row, percent, top_per_group
+from .ranking import one_row, percent, summarize, top_per_group
 
 
 def id_events(logs: DataFrame, cols: ColMap = COLS) -> DataFrame:
@@ -112,11 +112,7 @@ def device_count_bands(rows: DataFrame) -> DataFrame:
 def ip_device_pairs(rows: DataFrame) -> DataFrame:
     """One row per IP and device with requests, sessions, paths and the most frequent platform."""
     both = rows.where(F.col("device_id").isNotNull())
-    key = ["cliIP", "device_id"]
-    per = both.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("requests"), F.count_distinct("session_id").alias("sessions"),
-        F.count_distinct("reqPath").alias("unique_paths"))
-    out = per.join(modes(both, key, "platform", "platform"), key, "left")
+    out = summarize(both, ["cliIP", "device_id"], {}, {"sessions": "session_id", "unique_paths": "reqPath"}, {"platform": "platform"})
     return out.withColumn("platform", F.coalesce("platform", F.lit("")))
 
 
@@ -165,10 +161,7 @@ def platforms_by_country(pairs: DataFrame, n: int = 10) -> DataFrame:
 
 def sessions_per_device(rows: DataFrame, extra: list[str] = ("platform",)) -> DataFrame:
     both = rows.where(F.col("device_id").isNotNull() & F.col("session_id").isNotNull())
-    out = both.groupBy("device_id").agg(F.count_distinct("session_id").alias("session_count"), F.count(F.lit(1)).alias("total_events"))
-    for c in extra:
-        out = out.join(modes(both, ["device_id"], c, f"top_{c}"), "device_id", "left")
-    return out
+    return summarize(both, ["device_id"], {}, {"session_count": "session_id"}, {f"top_{c}": c for c in extra}, rows="total_events")
 
 
 def sessions_per_device_bins(per_device: DataFrame) -> DataFrame:

@@ -40,19 +40,48 @@ def counts(df: DataFrame, *by: Column | str, name: str = "count") -> DataFrame:
 
 
 def modes(df: DataFrame, keys: list[str], column: str, out: str, extra: str | None = None) -> DataFrame:
-    """Most frequent non-NULL value per key, lowest value on ties.
+    """Most frequent non-NULL value per key, lowest value on ties; NULL when a key has none.
 
     Two small aggregates: counts per (key, value) first, so no task holds a key's values.
-    ``extra`` names an output column with the winner's row count.
+    NULLs are left out inside the second one: a filter would be pushed below the projection
+    that makes the value and run its patterns twice. ``extra`` names an output column with
+    the winner's row count.
     """
-    per_value = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    best = per_value.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(column).alias("v"))).alias("_b"))
+    per_value = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = F.when(F.col(column).isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col(column).alias("v")))
+    best = per_value.groupBy(*keys).agg(F.min(ranked).alias("_b"))
     cols = [F.col("_b")["v"].alias(out)]
     if extra:
         cols.append((-F.col("_b")["n"]).alias(extra))
     return best.select(*keys, *cols)
 
 
+def summarize(
+    df: DataFrame, keys: list[str], measures: dict[str, tuple[str, Column]], distinct: dict[str, str], mode: dict[str, str],
+    rows: str = "requests",
+) -> DataFrame:
+    """Row count, measures, distinct counts and modes per key in one pass over ``df``.
+
+    Each row gives one (field, value) entry per distinct or mode column. Entries are first
+    counted per (key, field, value), map-side before the shuffle, so a hot key is spread over
+    its values; the second aggregate then sees one row per value. ``measures`` maps a name to
+    (sum | min | max, column). Modes are NULL when a key has no value, lowest on ties.
+    """
+    columns = list(dict.fromkeys([*distinct.values(), *mode.values()]))
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}
+    entries = F.array(*[F.struct(F.lit(i).alias("_f"), F.col(c).cast("string").alias("_v")) for i, c in enumerate(columns)])
+    long = df.select(*keys, *[c.alias(f"_m_{n}") for n, (_, c) in measures.items()], F.inline(entries))
+    per = long.groupBy(*keys, "_f", "_v").agg(
+        F.count(F.lit(1)).alias("_n"), *[fold[how](f"_m_{n}").alias(f"_m_{n}") for n, (how, _) in measures.items()])
+    # the entries of the first field cover every row exactly once
+    once = lambda c: F.when(F.col("_f") == 0, F.col(c))
+    has = lambda c: (F.col("_f") == columns.index(c)) & F.col("_v").isNotNull()
+    best = lambda c: F.min(F.when(has(c), F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v"))))["v"]
+    return per.groupBy(*keys).agg(
+        F.sum(once("_n")).alias(rows), *[fold[how](once(f"_m_{n}")).alias(n) for n, (how, _) in measures.items()],
+        *[F.count_if(has(c)).alias(n) for n, c in distinct.items()], *[best(c).alias(n) for n, c in mode.items()])
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
     """First n rows per group; Spark prunes to n per group before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import INACTIVITY_MINUTES, SESSION_GAP_MINUTES, SMART_CONTEXT_CHANGES, SMART_GAP_MINUTES
 from .ordered import Ordered
-from .ranking import modes
+from .ranking import summarize
 
 CONTEXT = ("channel_name", "cliIP", "asn", "platform")
 
@@ -76,18 +76,17 @@ def gap_session_summary(sessions: DataFrame, user: list[str], ts: str = "req_ts"
 
 def session_summary(events: DataFrame, ts: str = "req_ts", path: str = "reqPath") -> DataFrame:
     """One row per session_key with its span, counts, watch minutes and most frequent channel and title."""
-    key = ["session_key"]
-    base = events.groupBy(*key).agg(
-        F.min("device_id").alias("device_id"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"),
-        F.count(F.lit(1)).alias("requests"),
-        F.round(F.sum("watch_sec") / 60, 4).alias("est_watch_min"),
+    t = F.col(ts)
+    out = summarize(
+        events, ["session_key"],
+        {"device_id": ("min", F.col("device_id")), "start_ts": ("min", t), "end_ts": ("max", t), "_w": ("sum", F.col("watch_sec"))},
+        {"unique_paths": path, "unique_channels": "channel_name"},
+        {"top_channel": "channel_name", "top_title": "content_label"},
     )
-    paths = events.groupBy(*key).agg(F.count_distinct(path).alias("unique_paths"))
-    chans = events.groupBy(*key).agg(F.count_distinct("channel_name").alias("unique_channels"))
-    out = base.join(paths, key, "left").join(chans, key, "left")
-    out = out.join(modes(events, key, "channel_name", "top_channel"), key, "left")
-    out = out.join(modes(events, key, "content_label", "top_title"), key, "left")
-    return out.withColumn("session_duration_min", F.round((F.col("end_ts") - F.col("start_ts")) / 60, 4))
+    return out.withColumns({
+        "est_watch_min": F.round(F.col("_w") / 60, 4),
+        "session_duration_min": F.round((F.col("end_ts") - F.col("start_ts")) / 60, 4),
+    }).drop("_w")
 
 
 def viewer_timelines(

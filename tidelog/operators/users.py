@@ -10,22 +10,19 @@ from ..functions.querystring import qs_trimmed
 from ..functions.text import blank_to_null
 from ..model import COLS, ColMap, typed
 from .ordered import Ordered
-from .ranking import modes, top_per_group
+from .ranking import summarize, top_per_group
 
 
 def device_dashboard(rows: DataFrame) -> DataFrame:
     """Per device: rows, sessions, watch hours, span and most frequent channel, content, platform, type."""
-    key = ["device_id"]
-    out = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("session_key").alias("sessions"),
-        F.round(F.sum("watch_sec") / 3600, 4).alias("est_watch_hours"),
-        F.min("req_ts").alias("first_seen"), F.max("req_ts").alias("last_seen"),
+    t = F.col("req_ts")
+    out = summarize(
+        rows, ["device_id"], {"_w": ("sum", F.col("watch_sec")), "first_seen": ("min", t), "last_seen": ("max", t)},
+        {"sessions": "session_key"},
+        {"top_channel": "channel_name", "top_content": "content_label", "top_platform": "platform", "top_device_type": "device_type"},
+        rows="rows",
     )
-    tops = [("channel_name", "top_channel"), ("content_label", "top_content"), ("platform", "top_platform"),
-            ("device_type", "top_device_type")]
-    for column, name in tops:
-        out = out.join(modes(rows, key, column, name), key, "left")
-    return out
+    return out.withColumn("est_watch_hours", F.round(F.col("_w") / 3600, 4)).drop("_w")
 
 
 def content_table(rows: DataFrame, min_requests: int = 1) -> DataFrame:
@@ -124,17 +121,24 @@ def user_summary(df: DataFrame, user: str | None = None) -> DataFrame:
     """One row per pseudo user (or for the one named): span, volume, QoE and most frequent facets."""
     if user is not None:
         df = df.where(F.col("pseudo_user") == user)
-    key = ["pseudo_user"]
     num = lambda c: F.col(c).try_cast("double")
-    out = df.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("requests"), F.min("req_ts").alias("first_seen"), F.max("req_ts").alias("last_seen"),
-        F.count_distinct("reqPath").alias("unique_paths"), F.count_if(F.col("statusCode").try_cast("long") >= 400).alias("errors"),
-        F.sum(num("totalBytes")).cast("long").alias("total_bytes"), F.round(F.avg(num("throughput")), 2).alias("avg_throughput"),
-        F.round(F.avg(num("timeToFirstByte")), 2).alias("avg_ttfb"),
+    t = F.col("req_ts")
+    out = summarize(
+        df, ["pseudo_user"],
+        {
+            "first_seen": ("min", t), "last_seen": ("max", t),
+            "errors": ("sum", F.coalesce((F.col("statusCode").try_cast("long") >= 400).cast("long"), F.lit(0))),
+            "total_bytes": ("sum", num("totalBytes")),
+            "_tp": ("sum", num("throughput")), "_tpn": ("sum", num("throughput").isNotNull().cast("long")),
+            "_fb": ("sum", num("timeToFirstByte")), "_fbn": ("sum", num("timeToFirstByte").isNotNull().cast("long")),
+        },
+        {"unique_paths": "reqPath"},
+        {"top_cache_status": "cacheStatus", "top_state": "state", "top_country": "country"},
     )
-    for column, name in (("cacheStatus", "top_cache_status"), ("state", "top_state"), ("country", "top_country")):
-        out = out.join(modes(df, key, column, name), key, "left")
-    return out
+    return out.withColumns({
+        "total_bytes": F.col("total_bytes").cast("long"),
+        "avg_throughput": F.round(F.try_divide("_tp", "_tpn"), 2), "avg_ttfb": F.round(F.try_divide("_fb", "_fbn"), 2),
+    }).drop("_tp", "_tpn", "_fb", "_fbn")
 
 
 def user_timeline(df: DataFrame, user: str, n: int = 5000, tie: list[str] = ("event_id",)) -> DataFrame:
