@@ -82,9 +82,14 @@ def top_channels_by_state(logs: DataFrame, n: int = 200, cols: ColMap = COLS) ->
     return top_per_group(per, ["state"], [F.desc("requests"), F.asc("channel")], n, "rank")
 
 
+def billing_counts(logs: DataFrame) -> DataFrame:
+    """Requests per billing region, country and server country."""
+    return counts(logs, "billingRegion", "country", "serverCountry", name="requests")
+
+
 def billing_pairs(logs: DataFrame, n: int = 50) -> DataFrame:
     """Top country and server-country pairs per billing region."""
-    per = counts(logs, "billingRegion", "country", "serverCountry", name="requests")
+    per = billing_counts(logs)
     return top_per_group(per, ["billingRegion"], [F.desc("requests"), F.asc("country"), F.asc("serverCountry")], n)
 
 

@@ -176,7 +176,7 @@ def _(spark, d):
 
 @query("agg_45_billing_region_country", on_logs("SELECT billingRegion, country, serverCountry, COUNT(*) AS requests FROM logs GROUP BY 1, 2, 3"))
 def _(spark, d):
-    return matrix.billing_pairs(logs(spark, d), 1_000_000).drop("rn")
+    return matrix.billing_counts(logs(spark, d))
 
 
 _BUCKET = """SELECT c.bucket, COALESCE(n, 0) AS requests FROM (SELECT unnest(generate_series(a, b, {s})) AS bucket FROM (SELECT MIN(req_ts - req_ts % {s}) AS a, MAX(req_ts - req_ts % {s}) AS b FROM t)) c

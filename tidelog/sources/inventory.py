@@ -35,6 +35,16 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Da
     return files.select("path", "length", "modificationTime")
 
 
+def _open(path: str):
+    """Open a listed path on whatever file system its URI names."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.replace("file:/", "file:///", 1)
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
 def footers(files: DataFrame) -> DataFrame:
     """(path, rows, column, type) read from Parquet footers, the files spread over the cluster.
 
@@ -44,13 +54,11 @@ def footers(files: DataFrame) -> DataFrame:
     def read(batches: Iterator) -> Iterator:
         import pandas as pd
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                system, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-                with system.open_input_file(name) as f:
+                with _open(path) as f:
                     meta = pq.ParquetFile(f)
                     rows += [(path, meta.metadata.num_rows, c.name, str(c.type)) for c in meta.schema_arrow]
             yield pd.DataFrame(rows, columns=["path", "rows", "column", "type"])
@@ -58,6 +66,25 @@ def footers(files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(read, "path string, rows long, column string, type string")
 
 
+def content_hashes(files: DataFrame, chunk: int = 8 * 1024 * 1024) -> DataFrame:
+    """(path, sha256) per file, read in chunks, so file size does not bound memory."""
+
+    def read(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pandas as pd
+
+        for batch in batches:
+            for path in batch["path"]:
+                digest = hashlib.sha256()
+                with _open(path) as f:
+                    while data := f.read(chunk):
+                        digest.update(data)
+                yield pd.DataFrame([(path, digest.hexdigest())], columns=["path", "sha256"])
+
+    return files.select("path").mapInPandas(read, "path string, sha256 string")
+
+
 def schema_drift(footer_rows: DataFrame) -> DataFrame:
     """Per column: files that have it, files that lack it, the first type and the number of types."""
     total = footer_rows.agg(F.count_distinct("path")).scalar()
@@ -101,9 +128,9 @@ def files_starting_on(df: DataFrame, date: str, position: str, cols: ColMap = CO
 
 
 def identical_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Groups of byte-identical files: sizes first, then content hashes of equal-sized files only."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    same_size = listing.select("length").groupBy("length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("length")
-    hashed = listing.join(same_size, "length", "left_semi").select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """Groups of byte-identical files: only files whose size occurs more than once are hashed."""
+    listing = list_files(spark, path, pattern)
+    same_size = listing.groupBy("length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("length")
+    hashed = content_hashes(listing.join(same_size, "length", "left_semi"))
     group = hashed.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return hashed.join(group, "sha256")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..model import COLS, IST_OFFSET_SECONDS, ColMap, typed
+from ..operators.ordered import source_bytes
 from ..operators.sets import union_sources
 
 
@@ -82,16 +83,18 @@ def with_partition_text(logs: DataFrame, cols: ColMap = COLS, offset: int = 0) -
 
 
 def write_partitioned(
-    df: DataFrame, path: str, by: list[str], sort: list[str] = (), rows_per_file: int = 5_000_000, replace: bool = True, codec: str = "zstd"
+    df: DataFrame, path: str, by: list[str], sort: list[str] = (), rows_per_file: int = 5_000_000, replace: bool = True,
+    codec: str = "zstd", target_bytes: int = 512 * 1024 * 1024,
 ) -> None:
     """Write a lake partitioned by ``by``.
 
-    A large day is spread over many tasks: rows are shuffled by partition value plus a salt,
-    so a day that holds a third of all rows does not end in one task. ``replace`` overwrites
-    just the partitions present in ``df``; otherwise files are appended.
+    Rows are shuffled by partition value plus a salt, so a day that holds a third of all rows
+    does not end in one task. The number of salts follows the input size: a small input
+    gives one file per day, a large one gives files of about ``target_bytes``. ``replace``
+    overwrites just the partitions present in ``df``; otherwise files are appended.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(int(parts)))
+    salts = max(1, min(source_bytes(df) // target_bytes, 10_000))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
     out = df.withColumn("_salt", salt).repartition(*by, "_salt").drop("_salt")
     out = out.sortWithinPartitions(*by, *sort)
     writer = out.write.partitionBy(*by).option("compression", codec).option("maxRecordsPerFile", rows_per_file)
