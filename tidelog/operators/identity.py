@@ -10,7 +10,7 @@ from ..functions.querystring import qs_has_key, qs_value
 from ..functions.text import blank_to_null, decode_form
 from ..model import COLS, ColMap, typed
 from .dimensions import best_match
-from .ranking import one_row, percent, summarize, top_per_group
+from .ranking import first_values, one_row, percent, summarize, top_per_group
 
 
 def id_events(logs: DataFrame, cols: ColMap = COLS) -> DataFrame:
@@ -146,8 +146,7 @@ def multi_device_ips(rows: DataFrame, shown: int = 10) -> DataFrame:
     """
     pairs = rows.where(F.col("device_id").isNotNull()).groupBy("cliIP", "device_id").agg(F.count(F.lit(1)).alias("requests"))
     per = pairs.groupBy("cliIP").agg(F.count(F.lit(1)).alias("n_devices"), F.sum("requests").alias("total_requests"))
-    first = top_per_group(pairs.select("cliIP", "device_id"), ["cliIP"], [F.asc("device_id")], shown)
-    lists = first.groupBy("cliIP").agg(F.array_join(F.array_sort(F.collect_list("device_id")), ", ").alias("device_list"))
+    lists = first_values(pairs, ["cliIP"], "device_id", shown, "device_list")
     return per.where(F.col("n_devices") > 1).join(lists, "cliIP", "left")
 
 

@@ -88,6 +88,14 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("long"))
 
 
+def first_values(df: DataFrame, keys: list[str], column: str, n: int, out: str, separator: str = ", ") -> DataFrame:
+    """The first n distinct values per key in order, joined to one text; only n per key are gathered."""
+    distinct = df.select(*keys, column).where(F.col(column).isNotNull()).distinct()
+    first = top_per_group(distinct, keys, [F.asc(column)], n)
+    texts = F.transform(F.array_sort(F.collect_list(column)), lambda v: v.cast("string"))
+    return first.groupBy(*keys).agg(F.array_join(texts, separator).alias(out))
+
+
 def exact_percentiles(df: DataFrame, column: str, points: dict[str, float], width: int = 4096) -> DataFrame:
     """Interpolated percentiles of a whole-number column, as one row.
 
