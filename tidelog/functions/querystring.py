@@ -14,9 +14,24 @@ from .text import blank_to_null, decode_form
 DEVICE_KEY_ALIASES = ("device_id", "did", "deviceId", "uid", "subscriber_id", "deviceid")
 
 
+def _key(key: str, before: str = "&") -> str:
+    """Pattern of 'key=' at the start of the text or after one of ``before``.
+
+    The literal comes first and a look-behind checks what precedes it, so the engine can
+    search for the literal; '(?:^|&)key=' would be tried at every position.
+    """
+    k = re.escape(key) + "="
+    return f"{k}(?<![^{before}]{k})"
+
+
+def qs_text(qs: Column | str, key: str) -> Column:
+    """Strict dialect without the blank rule: '' when the key is absent, NULL for a NULL text."""
+    return F.regexp_extract(as_text(qs), _key(key) + "([^&]+)", 1)
+
+
 def qs_value(qs: Column | str, key: str) -> Column:
     """Strict dialect: key after start or '&', non-empty value; otherwise NULL."""
-    return F.nullif(F.regexp_extract(as_text(qs), f"(?:^|&){re.escape(key)}=([^&]+)", 1), F.lit(""))
+    return F.nullif(qs_text(qs, key), F.lit(""))
 
 
 def qs_present(qs: Column | str, key: str) -> Column:
@@ -25,18 +40,17 @@ def qs_present(qs: Column | str, key: str) -> Column:
     As a filter it is one pattern test, while "value is not NULL" would be pushed below the
     projection as a second extraction.
     """
-    return F.coalesce(as_text(qs).rlike(f"(?:^|&){re.escape(key)}=[^&]"), F.lit(False))
+    return F.coalesce(as_text(qs).rlike(_key(key) + "[^&]"), F.lit(False))
 
 
 def qs_trimmed(qs: Column | str, key: str) -> Column:
     """Tolerant dialect: also after '?', blank allowed, trimmed, blank -> NULL."""
-    return blank_to_null(F.regexp_extract(as_text(qs), f"(?:^|[?&]){re.escape(key)}=([^&]*)", 1))
+    return blank_to_null(F.regexp_extract(as_text(qs), _key(key, "?&") + "([^&]*)", 1))
 
 
 def qs_has_key(qs: Column | str, key: str, after_question: bool = True) -> Column:
     """Key present, even when its value is blank."""
-    lead = "[?&]" if after_question else "&"
-    return F.coalesce(as_text(qs), F.lit("")).rlike(f"(^|{lead}){re.escape(key)}=")
+    return F.coalesce(as_text(qs), F.lit("")).rlike(_key(key, "?&" if after_question else "&"))
 
 
 def qs_mentions(qs: Column | str, key: str) -> Column:

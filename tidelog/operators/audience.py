@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import channels
 from ..functions.bands import watch_bucket
-from ..functions.querystring import qs_mentions, qs_value
+from ..functions.querystring import qs_mentions, qs_text, qs_value
 from ..functions.text import decode_form
 from ..model import COLS, WATCH_GAP_CAP_SECONDS, ColMap, typed
 from .ordered import Ordered
@@ -27,8 +27,8 @@ def channel_master(logs: DataFrame, cols: ColMap = COLS) -> DataFrame:
     rows = has.select(
         decode_form(channels.channel_raw(cols.qs, cols.path)).alias("raw_channel"),
         text("platform").alias("platform"), text("device").alias("device_name"),
-        F.regexp_extract(cols.qs, "(?:^|&)session_id=([^&]+)", 1).alias("s"),
-        F.regexp_extract(cols.qs, "(?:^|&)device_id=([^&]+)", 1).alias("d"),
+        qs_text(cols.qs, "session_id").alias("s"),
+        qs_text(cols.qs, "device_id").alias("d"),
     )
     per = rows.groupBy("raw_channel", "platform", "device_name").agg(
         F.count(F.lit(1)).alias("requests"), F.count_distinct("s").alias("sessions"), F.count_distinct("d").alias("devices"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands, channels, clock, devices
-from ..functions.querystring import qs_mentions, qs_present, qs_value
+from ..functions.querystring import qs_mentions, qs_present, qs_text, qs_value
 from ..functions.text import clean_location, decode_form
 from ..model import COLS, ColMap, typed
 
@@ -56,8 +56,8 @@ def coverage(logs: DataFrame, cols: ColMap = COLS) -> DataFrame:
     has = qs_mentions(cols.qs, "session_id")
     df = typed(logs, cols).select(
         has.alias("has"),
-        F.when(has, F.regexp_extract(cols.qs, "(?:^|&)session_id=([^&]+)", 1)).alias("s"),
-        F.when(has, F.regexp_extract(cols.qs, "(?:^|&)device_id=([^&]+)", 1)).alias("d"),
+        F.when(has, qs_text(cols.qs, "session_id")).alias("s"),
+        F.when(has, qs_text(cols.qs, "device_id")).alias("d"),
     )
     out = df.agg(
         F.count(F.lit(1)).alias("total_rows"),

@@ -27,13 +27,17 @@ from pyspark.sql import functions as F
 HOT_ROWS = 5_000_000
 SLICE_SECONDS = 60
 SMALL_BYTES = 256 * 1024 * 1024
+_HOT = "_hot"
 _SLICE = "_slice"
 _CARRY = "_carry"
 
 
 def source_bytes(df: DataFrame) -> int:
-    """Total size of the files below a frame, from plan statistics; no job runs."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    """Total size of the files below a frame, from the statistics of its relations; no job runs.
+
+    An upper bound: partitions that a filter would prune are counted.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
     total = 0
     while leaves.hasNext():
         total += int(str(leaves.next().stats().sizeInBytes()))
@@ -57,14 +61,14 @@ class Ordered:
             return Ordered(df, tuple(keys), tuple(order), False)
         hot = (
             df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (hot_rows or HOT_ROWS))
-            .select(*keys, F.lit(True).alias("_hot"))
+            .select(*keys, F.lit(True).alias(_HOT))
         )
-        number = F.when(F.col("_hot"), F.floor(F.col(order[0]) / F.lit(slice_seconds)).cast("long"))
-        cut = df.join(F.broadcast(hot), keys, "left").withColumn(_SLICE, number).drop("_hot")
+        number = F.when(F.col(_HOT), F.floor(F.col(order[0]) / F.lit(slice_seconds)).cast("long"))
+        cut = df.join(F.broadcast(hot), keys, "left").withColumn(_SLICE, number)
         return Ordered(cut, tuple(keys), tuple(order), True)
 
     def rows(self) -> DataFrame:
-        return self.df.drop(_SLICE)
+        return self.df.drop(_HOT, _SLICE)
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> Ordered:
         """Row-wise change that keeps keys and order columns."""
@@ -72,15 +76,19 @@ class Ordered:
 
     # -- carry rows --------------------------------------------------------
     def _per_slice(self, *aggs: Column) -> DataFrame:
-        """Aggregates per slice, hot keys only; the filter works below the shuffle."""
-        return self.df.where(F.col(_SLICE).isNotNull()).groupBy(*self.keys, _SLICE).agg(*aggs)
+        """Aggregates per slice, hot keys only.
+
+        The test on ``_hot`` turns the join below into an inner one, which adaptive execution
+        replaces by nothing once the hot-key table proves empty.
+        """
+        return self.df.where(F.col(_HOT)).groupBy(*self.keys, _HOT, _SLICE).agg(*aggs)
 
     def _along(self) -> Window:
-        return Window.partitionBy(*self.keys).orderBy(_SLICE)
+        return Window.partitionBy(*self.keys, _HOT).orderBy(_SLICE)
 
     def _window(self) -> Window:
         if self.split:
-            return Window.partitionBy(*self.keys, _SLICE).orderBy(_CARRY, *self.order)
+            return Window.partitionBy(*self.keys, _HOT, _SLICE).orderBy(_CARRY, *self.order)
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def _fields(self, extra: list[str]) -> list[str]:
@@ -88,7 +96,7 @@ class Ordered:
 
     def _unpack(self, frame: DataFrame, fields: list[str]) -> DataFrame:
         frame = frame.where(F.col("_row").isNotNull())
-        return frame.select(*self.keys, _SLICE, *[F.col("_row")[f].alias(f) for f in fields])
+        return frame.select(*self.keys, _HOT, _SLICE, *[F.col("_row")[f].alias(f) for f in fields])
 
     def _apply(self, columns: list[Column], before: DataFrame | None = None, after: DataFrame | None = None) -> Ordered:
         """Window columns over the rows plus carry rows, which sort first or last in their slice."""
@@ -141,6 +149,6 @@ class Ordered:
             kind = self.df.schema[flag].dataType
             totals = self._per_slice(F.sum(flag).alias("_sum"))
             carry = totals.withColumn(flag, F.sum("_sum").over(earlier).cast(kind)).where(F.col(flag).isNotNull())
-            before = carry.select(*self.keys, _SLICE, flag)
+            before = carry.select(*self.keys, _HOT, _SLICE, flag)
         w = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return self._apply([F.sum(flag).over(w).cast("long").alias(out)], before)
