@@ -36,7 +36,11 @@ def spread_small(df: DataFrame) -> DataFrame:
 
 # One list of expressions serves both engines; only the epoch differs.
 _SHIFT = "1704067200 + 79200 * (user_id % 4) + CAST(FLOOR(({micros} - 1704067200000000) / 100000000.0) AS BIGINT)"
-_SPARK_MICROS = "unix_micros(CAST(ts AS TIMESTAMP))"
+# wall-clock parts of the zone-less timestamp, so the session's zone has no say
+_SPARK_MICROS = (
+    "(unix_date(CAST(ts AS DATE)) * 86400000000L + (hour(ts) * 3600 + minute(ts) * 60) * 1000000L"
+    " + CAST(extract(SECOND FROM ts) * 1000000 AS BIGINT))"
+)
 _DUCK_MICROS = "epoch_us(ts)"
 
 LOG_COLUMNS: dict[str, str] = {

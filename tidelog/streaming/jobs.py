@@ -6,6 +6,7 @@ replayed, and sinks write per batch id or replace whole dates, so a replay chang
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,12 +44,17 @@ def ingest_new_files(
         # one task per unsplittable file reads; the parse runs on an even spread
         tasks = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         parsed = raw_json.parse(raw_json.spread(batch, tasks)).withColumn("batch", F.lit(batch_id))
+        # two sinks read it; a lost block is parsed again from the files of this batch
+        parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
         sinks = [
             (raw_json.rows_as_text(parsed, columns, keep_source=True).withColumn("batch", F.lit(batch_id)), table),
             (raw_json.error_rows(parsed, str(batch_id)).withColumn("batch", F.lit(batch_id)), errors),
         ]
-        for df, path in sinks:
-            df.write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        try:
+            for df, path in sinks:
+                df.write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        finally:
+            parsed.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
