@@ -73,11 +73,11 @@ def global_summary(rows: DataFrame) -> DataFrame:
     """Requests, users, paths, bytes, throughput (mean, exact median), errors and cache in one row."""
     n, status = F.count(F.lit(1)), F.col("statusCode").try_cast("long")
     facts = rows.agg(
-        n.alias("total_requests"), F.sum(num("totalBytes")).cast("long").alias("total_bytes"), F.round(F.avg(num("totalBytes")), 2).alias("avg_bytes"),
-        F.round(F.avg(num("throughput")), 2).alias("avg_throughput"), F.count_if(status >= 400).alias("error_requests"),
+        n.alias("total_requests"), F.sum(num("totalBytes")).cast("long").alias("total_bytes"), F.round(F.avg(num("totalBytes")), 6).alias("avg_bytes"),
+        F.round(F.avg(num("throughput")), 6).alias("avg_throughput"), F.count_if(status >= 400).alias("error_requests"),
         percent(F.count_if(status >= 400), n).alias("error_rate_pct"),
         percent(F.count_if(F.upper("cacheStatus").contains("HIT")), n).alias("cache_hit_pct"),
-        F.round(F.avg(num("timeToFirstByte")), 2).alias("avg_ttfb"))
+        F.round(F.avg(num("timeToFirstByte")), 6).alias("avg_ttfb"))
     distincts = rows.agg(F.count_distinct("pseudo_user").alias("pseudo_users"), F.count_distinct("reqPath").alias("unique_paths"))
     values = rows.select(num("throughput").cast("long").alias("throughput"))
     return one_row(facts, distincts, exact_percentiles(values, "throughput", {"median_throughput": 0.5}))

@@ -57,9 +57,9 @@ def _(spark, d):
     return cdn.anomalies(_r(spark, d))
 
 
-@query("agg_50_global_summary", on_logs("""SELECT COUNT(*) AS total_requests, CAST(SUM(tb) AS BIGINT) AS total_bytes, ROUND(AVG(tb), 2) AS avg_bytes, ROUND(AVG(tp), 2) AS avg_throughput, median(tp) AS median_throughput,
+@query("agg_50_global_summary", on_logs("""SELECT COUNT(*) AS total_requests, CAST(SUM(tb) AS BIGINT) AS total_bytes, ROUND(AVG(tb), 6) AS avg_bytes, ROUND(AVG(tp), 6) AS avg_throughput, median(tp) AS median_throughput,
  COUNT(*) FILTER (WHERE st >= 400) AS error_requests, ROUND(100.0 * COUNT(*) FILTER (WHERE st >= 400) / COUNT(*), 2) AS error_rate_pct, ROUND(100.0 * COUNT(*) FILTER (WHERE contains(upper(cacheStatus), 'HIT')) / COUNT(*), 2) AS cache_hit_pct,
- ROUND(AVG(ttfb), 2) AS avg_ttfb, COUNT(DISTINCT pseudo_user) AS pseudo_users, COUNT(DISTINCT reqPath) AS unique_paths FROM r""", _R))
+ ROUND(AVG(ttfb), 6) AS avg_ttfb, COUNT(DISTINCT pseudo_user) AS pseudo_users, COUNT(DISTINCT reqPath) AS unique_paths FROM r""", _R))
 def _(spark, d):
     return cdn.global_summary(_u(spark, d))
 
