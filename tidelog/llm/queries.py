@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import packing, simhash, token_orc, urls
-from tidelog.llm.common import read
+from tidelog.llm import ann, attribution, decontaminate, packing, quality, simhash, suffix_tree, token_orc, toxicity, urls
+from tidelog.llm.common import fold, read
 from tidelog.llm.words import tokenizer_path
 from tidelog.session import run_folder
 
@@ -59,3 +60,41 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), capacity=2048, end_id=0, with_ids=False)
+
+
+@query("op1_suffix_tree_scores")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    tree, counts = suffix_tree.fit(docs.filter("not held_out"))
+    rows = suffix_tree.score(spark, docs, tree, counts, mark="held_out")
+    return rows.select("doc_id", F.col("mark").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op2_convolution_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), learn=fold("doc_id", 4) != 2)
+    rows = toxicity.with_scores(docs, model)
+    return rows.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("toxic"))
+
+
+@query("op4_hierarchical_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), learn=fold("doc_id", 5) != 2)
+    names = ["host", "path", "evidence", "host_rate", "path_rate", "score", "keep"]
+    return rows.select("doc_id", (fold("doc_id", 5) == 2).alias("held_out"), *[F.col(f"__{n}").alias(n) for n in names])
+
+
+@query("op5_section_tokens")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(read(spark, sf_dir, "documents"), fields=("source", "lang", "text"))
+
+
+@query("op6_learned_partitions")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+@query("op8_string_tiling")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
