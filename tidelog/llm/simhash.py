@@ -187,10 +187,10 @@ def links(prints: DataFrame, bits: int = 3, shard_rows: int = 20_000, sample_row
 
 
 def groups(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """(id, fp, root) for prints(id, fp): root is the same for all rows whose fingerprints are joined by links of at most `bits` bits."""
-    distinct = staged(prints.select("fp").distinct(), "fingerprints")
+    """(fp, least, root) for each distinct fingerprint of prints(id, fp): its smallest id, and one root for all that links of at most `bits` bits join."""
+    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
     root = stars(links(distinct, bits), "links")
-    return prints.join(root, F.col("fp") == F.col("node"), "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
@@ -201,18 +201,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns of docs are not read.
     """
     prints = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", "fp", shingle).select("id", "fp")
-    rows = groups(staged(prints, "prints"), bits)
-    least = rows.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rows.join(least, "root").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = staged(prints, "prints")
+    of = groups(prints, bits)
+    of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return prints.join(of, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
     """docs with one row of each component: the one with the smallest id; of rows with the same id and fingerprint, the first by all columns."""
     marked = with_fingerprint(docs, text_col, "__fp", shingle)
-    rows = groups(staged(marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp")), "prints"), bits)
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("k"))
+    of = groups(staged(marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp")), "prints"), bits)
+    kept = of.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("k"))
     name = lambda i, f: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("null")), f.cast("string"))
-    kept = kept.select(name(F.col("k.id"), F.col("k.fp")).alias("__key"))
+    kept = kept.select(name(F.col("k.least"), F.col("k.fp")).alias("__key"))
     left = marked.withColumn("__key", name(F.col(id_col), F.col("__fp"))).join(kept, "__key", "left_semi")
     whole = F.struct(*[F.col(f.name) if not isinstance(f.dataType, (T.MapType, T.VariantType)) else F.to_json(F.col(f.name)) for f in docs.schema.fields])
     return left.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy(whole))).filter("__n = 1").select(*docs.columns)

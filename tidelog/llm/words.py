@@ -12,9 +12,9 @@ encodes each distinct run; any other new word (apostrophes, special-token signs,
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -40,16 +40,17 @@ ALPHABET = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumera
 
 
 class Runs(dict):
-    """Letter run -> ids, by the library's model."""
+    """Letter run -> ids as packed 32-bit integers, by the library's model; a line end is -1."""
 
     def __init__(self, model):
-        super().__init__({"\n": [-1]})
+        super().__init__({"\n": b"\xff\xff\xff\xff"})
         self.model = model
 
-    def __missing__(self, run: str) -> list[int]:
+    def __missing__(self, run: str) -> bytes:
         known = run if run.isascii() else "".join(map(ALPHABET.__getitem__, run.encode()))
-        ids = self[run] = [t.id for t in self.model.tokenize(known)]
-        return ids
+        ids = self.model.tokenize(known)
+        packed = self[run] = struct.pack(f"={len(ids)}i", *[t.id for t in ids])
+        return packed
 
 
 class WordEncoder:
@@ -62,7 +63,7 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.slots = Slots(bytes, limit=700_000, limit_bytes=32_000_000)
+        self.slots = Slots(bytes, limit=600_000, limit_bytes=32_000_000)
         self.flat, self.start, self.size, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.runs = Runs(self.tokenizer.model)
 
@@ -87,8 +88,10 @@ class WordEncoder:
         whole = {i: self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in odd}
         for i in odd:
             words[i] = ""
+        if len(self.runs) > 600_000:
+            self.runs = Runs(self.tokenizer.model)
         runs = self.runs
-        ids = np.fromiter(itertools.chain.from_iterable(map(runs.__getitem__, RUN.findall("\n".join(words).lower()))), dtype=np.int32)
+        ids = np.frombuffer(b"".join(map(runs.__getitem__, RUN.findall("\n".join(words).lower()))), dtype=np.int32)
         ends = np.concatenate((np.nonzero(ids < 0)[0], [ids.size]))
         size = np.diff(ends, prepend=-1) - 1
         if whole:
