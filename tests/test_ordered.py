@@ -113,3 +113,29 @@ def test_invariants(spark, skewed):
     capped = watch.gap_watch(rows, ["device_id"], 60).agg(F.sum("watch_sec")).first()[0]
     span = rows.groupBy("device_id").agg((F.max("req_ts") - F.min("req_ts")).alias("w")).agg(F.sum("w")).first()[0]
     assert 0 < capped <= span
+
+
+def test_percentiles_keep_fractions(spark):
+    df = spark.createDataFrame([(0.4,), (0.6,), (0.9,), (None,), (float("nan"),)], "v double")
+    assert exact_percentiles(df, "v", {"p50": 0.5, "p100": 1.0}).first().asDict() == {"p50": 0.6, "p100": 0.9}
+
+
+def test_dimension_rows_are_taken_whole(spark):
+    from tidelog.operators.dimensions import with_asn, with_geo
+
+    rows = spark.createDataFrame([("AS1", "1.1.1.1")], "asn string, cliIP string")
+    dim = spark.createDataFrame([("AS1", "b", "A"), ("as1", "a", "Z")], "asn string, org string, country string")
+    assert [(r.org, r.country) for r in with_asn(rows, dim).collect()] == [("a", "Z")]
+    geo = spark.createDataFrame([("1.1.1.1", "b", "A"), ("1.1.1.1", "a", None)], "cliIP string, country string, city string")
+    assert [(r.country, r.city) for r in with_geo(rows, geo).collect()] == [("a", "")]
+
+
+def test_shares_are_of_all_rows_and_an_empty_day_fails(spark):
+    from tidelog.operators.health import health_checks
+    from tidelog.operators.ranking import value_counts
+
+    df = spark.createDataFrame([(v,) for v in "aaabbc"], "v string")
+    assert [(r.value, r.pct) for r in value_counts(df, "v", 1).collect()] == [("a", 50.0)]
+    empty = spark.createDataFrame([], "reqTimeSec string, reqPath string, cliIP string, statusCode string, UA string, req_ts long")
+    got = {r.check_name: r.status for r in health_checks(empty, ["reqPath"]).collect()}
+    assert got["row_count"] == got["timestamp_range"] == "FAIL"

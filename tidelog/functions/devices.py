@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,29 +158,29 @@ def device_type(ua: Column | str, platform: Column | str, wide: bool = False) ->
     )
 
 
+# Families in order, each with its keywords; a keyword with & needs both parts.
+FAMILIES = (
+    ("Fire TV", ("android&aft",)),
+    ("Android TV", ("android tv",)),
+    ("Android Mobile", ("android",)),
+    ("iOS", ("iphone", "ipad", "ios")),
+    ("Sony TV", ("bravia",)),
+    ("Samsung TV", ("tizen", "samsungbrowser")),
+    ("LG TV", ("webos", "lg")),
+    ("Windows", ("windows",)),
+    ("Mac", ("mac os", "macintosh")),
+    ("Linux", ("linux",)),
+)
+
+
 def device_family(ua: Column | str) -> Column:
     """Eleven families used as a facet."""
     u = _low(ua)
-    return (
-        F.when(u.contains("android") & u.contains("aft"), "Fire TV")
-        .when(u.contains("android tv"), "Android TV")
-        .when(u.contains("android"), "Android Mobile")
-        .otherwise(
-            _first_hit(
-                u,
-                [
-                    ("iOS", ("iphone", "ipad", "ios")),
-                    ("Sony TV", ("bravia",)),
-                    ("Samsung TV", ("tizen", "samsungbrowser")),
-                    ("LG TV", ("webos", "lg")),
-                    ("Windows", ("windows",)),
-                    ("Mac", ("mac os", "macintosh")),
-                    ("Linux", ("linux",)),
-                ],
-                "Other",
-            )
-        )
-    )
+    holds = lambda word: functools.reduce(lambda a, b: a & b, [u.contains(p) for p in word.split("&")])
+    out = F.lit("Other")
+    for label, words in reversed(FAMILIES):
+        out = F.when(functools.reduce(lambda a, b: a | b, map(holds, words)), label).otherwise(out)
+    return out
 
 
 def tv_class(ua: Column | str, app_marker: str = "yourappname") -> Column:

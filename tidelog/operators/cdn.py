@@ -79,7 +79,7 @@ def global_summary(rows: DataFrame) -> DataFrame:
         percent(F.count_if(F.upper("cacheStatus").contains("HIT")), n).alias("cache_hit_pct"),
         F.round(F.avg(num("timeToFirstByte")), 6).alias("avg_ttfb"))
     distincts = rows.agg(F.count_distinct("pseudo_user").alias("pseudo_users"), F.count_distinct("reqPath").alias("unique_paths"))
-    values = rows.select(num("throughput").cast("long").alias("throughput"))
+    values = rows.select(num("throughput").alias("throughput"))
     return one_row(facts, distincts, exact_percentiles(values, "throughput", {"median_throughput": 0.5}))
 
 

@@ -27,15 +27,17 @@ def unique_left_join(df: DataFrame, dim: DataFrame, keys: list[str]) -> DataFram
 
 
 def with_asn(df: DataFrame, dim: DataFrame, asn: str = "asn", dim_asn: str = "asn") -> DataFrame:
-    """Left join on the normalised ASN; the dimension is reduced to one row per key first."""
+    """Left join on the normalised ASN; of several rows with one key the smallest whole row counts."""
     values = [c for c in dim.columns if c != dim_asn]
-    one = dim.select(lower_asn(dim_asn).alias("asn_key"), *values).groupBy("asn_key").agg(*[F.min(c).alias(c) for c in values])
+    one = dim.select(lower_asn(dim_asn).alias("asn_key"), *values).groupBy("asn_key").agg(F.min(F.struct(*values)).alias("_row"))
+    one = one.select("asn_key", *[F.col("_row")[c].alias(c) for c in values])
     return df.withColumn("asn_key", lower_asn(asn)).join(one, "asn_key", "left")
 
 
 def with_geo(df: DataFrame, geo: DataFrame, ip: str = "cliIP") -> DataFrame:
-    """Left join IP -> geography; missing text fields are '', latitude and longitude stay NULL."""
-    one = geo.dropDuplicates([ip])
+    """Left join IP -> geography; missing text fields are '', latitude and longitude stay NULL. Of several rows with one IP the smallest counts."""
+    values = [c for c in geo.columns if c != ip]
+    one = geo.groupBy(ip).agg(F.min(F.struct(*values)).alias("_row")).select(ip, *[F.col("_row")[c].alias(c) for c in values])
     joined = df.drop(*[c for c in (*GEO_FIELDS, "lat", "lon") if c in df.columns]).join(one, ip, "left")
     have = [c for c in GEO_FIELDS if c in one.columns]
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in have})
@@ -51,9 +53,10 @@ def country_names(df: DataFrame) -> DataFrame:
 
 def with_country_name(df: DataFrame, code: str, names: DataFrame | None = None) -> DataFrame:
     """Add country_name; unknown codes become Unknown. ``names`` (_code, _country) overrides the ISO list."""
-    dim = country_names(df) if names is None else names
+    # the ISO list has about 250 rows; a caller's table is left to adaptive execution
+    dim = F.broadcast(country_names(df)) if names is None else names
     key = F.upper(F.trim(F.col(code)))
-    joined = df.join(F.broadcast(dim), key == F.col("_code"), "left")
+    joined = df.join(dim, key == F.col("_code"), "left")
     return joined.withColumn("country_name", F.coalesce("_country", F.lit("Unknown"))).drop("_code", "_country")
 
 

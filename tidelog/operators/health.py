@@ -27,7 +27,7 @@ def health_checks(
     missing = sorted(set(expected) - set(have))
     extra = sorted(set(have) - set(expected))
     wrong = sorted(f"{c}: expected {t}, got {have[c]}" for c, t in (types or {}).items() if c in have and have[c] != t)
-    worst = F.greatest(*[F.col(f"nul_{c}") * 100.0 / F.col("n") for c in crit], F.lit(0.0))
+    worst = F.greatest(*[F.try_divide(F.col(f"nul_{c}") * 100.0, F.col("n")) for c in crit], F.lit(0.0))
     say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     checks = [

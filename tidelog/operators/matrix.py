@@ -14,8 +14,8 @@ from ..model import COLS, ColMap, typed
 from .ranking import counts, modes, top_per_group, with_group_share, with_share
 
 
-def channel_platform(logs: DataFrame, n: int | None = 5000, cols: ColMap = COLS) -> DataFrame:
-    """Requests, devices and sessions per channel and platform with the share of the listed requests."""
+def channel_platform(logs: DataFrame, n: int | None = None, cols: ColMap = COLS) -> DataFrame:
+    """Requests, devices and sessions per channel and platform with the share of all of them; ``n`` lists the largest only."""
     df = logs.where(qs_mentions(cols.qs, "channel")).select(
         channels.channel_report(cols.qs).alias("channel"),
         F.coalesce(qs_value(cols.qs, "platform"), F.lit("Unknown")).alias("platform"),
@@ -23,9 +23,8 @@ def channel_platform(logs: DataFrame, n: int | None = 5000, cols: ColMap = COLS)
     )
     per = df.groupBy("channel", "platform").agg(
         F.count(F.lit(1)).alias("requests"), F.count_distinct("d").alias("devices"), F.count_distinct("s").alias("sessions"))
-    if n is not None:
-        per = per.orderBy(F.desc("requests"), "channel", "platform").limit(n)
-    return with_share(per, "requests", "pct")
+    shared = with_share(per, "requests", "pct")
+    return shared if n is None else shared.orderBy(F.desc("requests"), "channel", "platform").limit(n)
 
 
 def detailed_cube(logs: DataFrame, cols: ColMap = COLS) -> DataFrame:

@@ -7,10 +7,10 @@ partition, and what must cross a slice border travels as one carry row per slice
 The result equals the plain window exactly.
 
 The ``hot`` table has at most total_rows / hot_rows keys, so it may be broadcast: at the
-default of 5 million, 5e11 rows give at most 100,000 keys, a few MB. If no key is hot the
-carry branches are empty and adaptive execution drops them before they scan anything.
-Inputs whose files are smaller than ``SMALL_BYTES`` in total fit one task even if a single
-key owns them, so they use the plain window at once.
+default of 5 million, 5e11 rows give at most 100,000 keys; adaptive execution picks its join by size.
+If no key is hot the carry branches are empty and adaptive execution drops them before they scan
+anything. Rows are dealt by key and slice once; every later step and carry aggregate reuses that shuffle. Inputs of every size
+take this path; ``hot_rows`` is its only threshold.
 
 Keys must not be NULL. The order columns, time first, must form a total order within a
 key; rows that tie on all of them must be interchangeable.
@@ -26,24 +26,11 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
 SLICE_SECONDS = 60
-SMALL_BYTES = 256 * 1024 * 1024
 _HOT = "_hot"
 _SLICE = "_slice"
 _CARRY = "_carry"
 
 
-def source_bytes(df: DataFrame) -> int:
-    """Total size of the files below a frame, from the statistics of its relations; no job runs.
-
-    An upper bound: partitions that a filter would prune are counted.
-    """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total
-
-
 @dataclass(frozen=True)
 class Ordered:
     """Rows of a frame seen per key in order; every method returns a new ``Ordered``."""
@@ -51,21 +38,18 @@ class Ordered:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    split: bool
 
     @staticmethod
     def by(
-        df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = None, slice_seconds: int = SLICE_SECONDS
+        df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, slice_seconds: int = SLICE_SECONDS
     ) -> Ordered:
-        if hot_rows is None and source_bytes(df) <= SMALL_BYTES:
-            return Ordered(df, tuple(keys), tuple(order), False)
         hot = (
-            df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (hot_rows or HOT_ROWS))
+            df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
             .select(*keys, F.lit(True).alias(_HOT))
         )
         number = F.when(F.col(_HOT), F.floor(F.col(order[0]) / F.lit(slice_seconds)).cast("long"))
-        cut = df.join(F.broadcast(hot), keys, "left").withColumn(_SLICE, number)
-        return Ordered(cut, tuple(keys), tuple(order), True)
+        cut = df.join(hot, keys, "left").withColumn(_SLICE, number).repartition(*keys, _HOT, _SLICE)
+        return Ordered(cut, tuple(keys), tuple(order))
 
     def rows(self) -> DataFrame:
         return self.df.drop(_HOT, _SLICE)
@@ -87,9 +71,7 @@ class Ordered:
         return Window.partitionBy(*self.keys, _HOT).orderBy(_SLICE)
 
     def _window(self) -> Window:
-        if self.split:
-            return Window.partitionBy(*self.keys, _HOT, _SLICE).orderBy(_CARRY, *self.order)
-        return Window.partitionBy(*self.keys).orderBy(*self.order)
+        return Window.partitionBy(*self.keys, _HOT, _SLICE).orderBy(_CARRY, *self.order)
 
     def _fields(self, extra: list[str]) -> list[str]:
         return [f for f in dict.fromkeys([*self.order, *extra]) if f not in self.keys]
@@ -100,15 +82,11 @@ class Ordered:
 
     def _apply(self, columns: list[Column], before: DataFrame | None = None, after: DataFrame | None = None) -> Ordered:
         """Window columns over the rows plus carry rows, which sort first or last in their slice."""
-        out = self.df
-        if self.split:
-            out = out.withColumn(_CARRY, F.lit(0))
-            for frame, mark in ((before, -1), (after, 1)):
-                if frame is not None:
-                    out = out.unionByName(frame.withColumn(_CARRY, F.lit(mark)), allowMissingColumns=True)
-        out = out.select("*", *columns)
-        if self.split:
-            out = out.where(F.col(_CARRY) == 0).drop(_CARRY)
+        out = self.df.withColumn(_CARRY, F.lit(0))
+        for frame, mark in ((before, -1), (after, 1)):
+            if frame is not None:
+                out = out.unionByName(frame.withColumn(_CARRY, F.lit(mark)), allowMissingColumns=True)
+        out = out.select("*", *columns).where(F.col(_CARRY) == 0).drop(_CARRY)
         return replace(self, df=out)
 
     # -- public window steps -----------------------------------------------
@@ -118,37 +96,31 @@ class Ordered:
         columns = [F.lag(c).over(w).alias(f"prev_{c}") for c in lag]
         columns += [F.lead(c).over(w).alias(f"next_{c}") for c in lead]
         before = after = None
-        if self.split:
-            fields = self._fields([*lag, *lead])
-            row = F.struct(*fields)
-            if lag:
-                edges = self._per_slice(F.max(row).alias("_edge"))
-                before = self._unpack(edges.withColumn("_row", F.lag("_edge").over(self._along())), fields)
-            if lead:
-                edges = self._per_slice(F.min(row).alias("_edge"))
-                after = self._unpack(edges.withColumn("_row", F.lead("_edge").over(self._along())), fields)
+        fields = self._fields([*lag, *lead])
+        # one aggregate per slice serves both directions
+        edges = self._per_slice(F.max(F.struct(*fields)).alias("_last"), F.min(F.struct(*fields)).alias("_first"))
+        if lag:
+            before = self._unpack(edges.withColumn("_row", F.lag("_last").over(self._along())), fields)
+        if lead:
+            after = self._unpack(edges.withColumn("_row", F.lead("_first").over(self._along())), fields)
         return self._apply(columns, before, after)
 
     def last_known(self, column: str, out: str) -> Ordered:
         """Last non-NULL value of ``column`` strictly before the current row."""
-        before = None
-        if self.split:
-            fields = self._fields([column])
-            known = F.max(F.when(F.col(column).isNotNull(), F.struct(*fields))).alias("_known")
-            earlier = self._along().rowsBetween(Window.unboundedPreceding, -1)
-            carry = self._per_slice(known).withColumn("_row", F.last("_known", ignorenulls=True).over(earlier))
-            before = self._unpack(carry, fields)
+        fields = self._fields([column])
+        known = F.max(F.when(F.col(column).isNotNull(), F.struct(*fields))).alias("_known")
+        earlier = self._along().rowsBetween(Window.unboundedPreceding, -1)
+        carry = self._per_slice(known).withColumn("_row", F.last("_known", ignorenulls=True).over(earlier))
+        before = self._unpack(carry, fields)
         w = self._window().rowsBetween(Window.unboundedPreceding, -1)
         return self._apply([F.last(column, ignorenulls=True).over(w).alias(out)], before)
 
     def running_sum(self, flag: str, out: str) -> Ordered:
         """Sum of ``flag`` over the key's rows up to and including the current one."""
-        before = None
-        if self.split:
-            earlier = self._along().rowsBetween(Window.unboundedPreceding, -1)
-            kind = self.df.schema[flag].dataType
-            totals = self._per_slice(F.sum(flag).alias("_sum"))
-            carry = totals.withColumn(flag, F.sum("_sum").over(earlier).cast(kind)).where(F.col(flag).isNotNull())
-            before = carry.select(*self.keys, _HOT, _SLICE, flag)
+        earlier = self._along().rowsBetween(Window.unboundedPreceding, -1)
+        kind = self.df.schema[flag].dataType
+        totals = self._per_slice(F.sum(flag).alias("_sum"))
+        carry = totals.withColumn(flag, F.sum("_sum").over(earlier).cast(kind)).where(F.col(flag).isNotNull())
+        before = carry.select(*self.keys, _HOT, _SLICE, flag)
         w = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return self._apply([F.sum(flag).over(w).cast("long").alias(out)], before)

@@ -97,14 +97,16 @@ def first_values(df: DataFrame, keys: list[str], column: str, n: int, out: str,
 
 
 def exact_percentiles(df: DataFrame, column: str, points: dict[str, float], width: int = 4096) -> DataFrame:
-    """Interpolated percentiles of a whole-number column, as one row.
+    """Interpolated percentiles of a numeric column, fractions included, as one row.
 
     Values are counted first, the counts are summed per block of ``width`` values, and
     only the blocks that hold a wanted rank are opened. One task thus sees at most
-    (value range / width) blocks or ``width`` values, whatever the number of rows.
+    (value range / width) blocks, or the distinct values of one block, whatever the number of rows.
     """
-    v = F.col(column).cast("long")
-    per_value = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    v = F.col(column)
+    if dict(df.select(v.alias("v")).dtypes)["v"] not in ("double", "float"):
+        v = v.cast("long")
+    per_value = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     blocks = per_value.groupBy(F.floor(F.col("v") / width).alias("block")).agg(F.sum("n").alias("n"))
     upto = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = blocks.withColumn("end", F.sum("n").over(upto)).withColumn("start", F.col("end") - F.col("n"))
@@ -138,7 +140,7 @@ def value_counts(
     if top_n is None:
         return with_share(per, "count", "pct")
     if not other:
-        return with_share(per.orderBy(*order).limit(top_n), "count", "pct")
+        return per.orderBy(*order).limit(top_n).withColumn("pct", percent(F.col("count"), grand_total(per, "count")))
     head = per.orderBy(*order).limit(top_n)
     rest = per.join(F.broadcast(head.select("value")), "value", "left_anti")
     folded = rest.agg(F.sum("count").alias("count")).where(F.col("count").isNotNull())

@@ -102,7 +102,7 @@ def _(spark, d):
 
 
 @query("agg_16_channel_platform", on_logs(f"""SELECT *, ROUND(100.0 * requests / SUM(requests) OVER (), 2) AS pct FROM (SELECT {REPORT} AS channel, COALESCE({x('platform')}, 'Unknown') AS platform, COUNT(*) AS requests,
- COUNT(DISTINCT {x('device_id')}) AS devices, COUNT(DISTINCT {x('session_id')}) AS sessions FROM logs WHERE queryStr LIKE '%channel=%' GROUP BY 1, 2 ORDER BY requests DESC, 1, 2 LIMIT 5000)"""))
+ COUNT(DISTINCT {x('device_id')}) AS devices, COUNT(DISTINCT {x('session_id')}) AS sessions FROM logs WHERE queryStr LIKE '%channel=%' GROUP BY 1, 2)"""))
 def _(spark, d):
     return matrix.channel_platform(logs(spark, d))
 

@@ -15,9 +15,9 @@ def _li(spark, d, flag=None):
     return df if flag is None else df.where(F.col("l_returnflag") == flag)
 
 
-@query("set_1_exact_dedup", "SELECT DISTINCT l_quantity, l_discount, l_returnflag, l_linestatus FROM lineitem")
+@query("set_1_exact_dedup", "SELECT DISTINCT * FROM lineitem")
 def _(spark, d):
-    return sets.exact_dedup(_li(spark, d).select("l_quantity", "l_discount", "l_returnflag", "l_linestatus"))
+    return sets.exact_dedup(table(spark, d, "lineitem"))
 
 
 @query("set_1_dedup_counts", """SELECT COUNT(*) AS rows_before, (SELECT COUNT(*) FROM (SELECT DISTINCT l_partkey, l_quantity, l_returnflag FROM lineitem)) AS rows_after,

@@ -71,10 +71,20 @@ def _(spark, d):
 @query("str_5_summary_refresh", on_logs(f"SELECT {day()} AS event_date, COUNT(*) AS requests FROM t GROUP BY 1"))
 def _(spark, d):
     f = run_folder(spark, "summary")
-    meta = [F.lit("events").alias("file_path"), F.lit(0).cast("long").alias("file_size"), F.lit(0).cast("long").alias("file_modification_time")]
-    rows = logs(spark, d).select("*", *meta)
-    jobs.refresh_summary(spark, rows, f"{f}/summary", f"{f}/snapshot")
-    jobs.refresh_summary(spark, rows, f"{f}/summary", f"{f}/snapshot")  # nothing is stale now
+    rows = logs(spark, d)
+    moved = lambda days: rows.withColumn("reqTimeSec", (F.col("reqTimeSec").cast("long") + 86400 * days).cast("string"))
+    third = lambda df, i: df.where(F.col("event_id") % 3 == i)
+    put = lambda df, name: df.coalesce(1).write.mode("overwrite").parquet(f"{f}/in/part={name}")
+    meta = [F.col(f"_metadata.{n}").alias(n) for n in ("file_path", "file_size", "file_modification_time")]
+    refresh = lambda: jobs.refresh_summary(spark, spark.read.parquet(f"{f}/in").select("*", *meta), f"{f}/summary", f"{f}/snapshot")
+    put(third(rows, 0).unionByName(third(rows, 2)), "untouched")
+    put(third(moved(40), 1), "replaced")
+    put(third(moved(80), 2), "deleted")
+    refresh()
+    put(third(rows, 1), "replaced")
+    sinks.drop_dates(spark, f"{f}/in", "part", ["deleted"])
+    refresh()
+    refresh()  # nothing is stale now
     return spark.read.parquet(f"{f}/summary").groupBy("event_date").agg(F.sum("requests").alias("requests"))
 
 
@@ -104,10 +114,10 @@ def _(spark, d):
     return lake.read_flat(spark, f"{f}/few")
 
 
-@query("ing_12_optimize", "SELECT DISTINCT l_shipdate, l_partkey, l_quantity FROM lineitem")
+@query("ing_12_optimize", "SELECT DISTINCT * FROM lineitem")
 def _(spark, d):
     f = run_folder(spark, "optimize")
-    lake.optimize(table(spark, d, "lineitem").select("l_shipdate", "l_partkey", "l_quantity"), "l_shipdate", f"{f}/out")
+    lake.optimize(table(spark, d, "lineitem"), "l_shipdate", f"{f}/out")
     return spark.read.parquet(f"{f}/out")
 
 

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..model import COLS, IST_OFFSET_SECONDS, ColMap, typed
-from ..operators.ordered import source_bytes
 from ..operators.sets import union_sources
 
 
-def read_flat(spark: SparkSession, *paths: str) -> DataFrame:
-    """Flat set of Parquet files at any depth, schemas merged. Partition folders are not read as columns."""
-    return spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(*paths)
+def read_flat(spark: SparkSession, *paths: str, merge: bool = True) -> DataFrame:
+    """Flat set of Parquet files at any depth. ``merge`` unites drifting schemas, which opens every footer. Partition folders are not read as columns."""
+    return spark.read.option("mergeSchema", merge).option("recursiveFileLookup", True).parquet(*paths)
 
 
-def read_lake(spark: SparkSession, root: str, where: Column | None = None) -> DataFrame:
-    """Hive-partitioned lake; predicates on partition columns prune folders before any file is opened."""
-    df = spark.read.option("basePath", root).option("mergeSchema", True).parquet(root)
+def read_lake(spark: SparkSession, root: str, where: Column | None = None, merge: bool = False) -> DataFrame:
+    """Hive-partitioned lake; predicates on partition columns prune folders before any of their files is opened.
+
+    ``merge`` unites the schemas of all files first, which opens every footer; without it one file gives the schema.
+    """
+    df = spark.read.option("basePath", root).option("mergeSchema", merge).parquet(root)
     return df if where is None else df.where(where)
 
 
@@ -84,19 +86,15 @@ def with_partition_text(logs: DataFrame, cols: ColMap = COLS, offset: int = 0) -
 
 def write_partitioned(
     df: DataFrame, path: str, by: list[str], sort: list[str] = (), rows_per_file: int = 5_000_000, replace: bool = True,
-    codec: str = "zstd", target_bytes: int = 512 * 1024 * 1024,
+    codec: str = "zstd",
 ) -> None:
     """Write a lake partitioned by ``by``.
 
-    Rows are shuffled by partition value plus a salt, so a day that holds a third of all rows
-    does not end in one task. The number of salts follows the input size: a small input
-    gives one file per day, a large one gives files of about ``target_bytes``. ``replace``
+    Rows are rebalanced by partition value: adaptive execution splits a day that holds a third of all rows over many
+    tasks of the advisory size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) and merges small days. ``replace``
     overwrites just the partitions present in ``df``; otherwise files are appended.
     """
-    salts = max(1, min(source_bytes(df) // target_bytes, 10_000))
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    out = df.withColumn("_salt", salt).repartition(*by, "_salt").drop("_salt")
-    out = out.sortWithinPartitions(*by, *sort)
+    out = df.hint("rebalance", *by).sortWithinPartitions(*by, *sort)
     writer = out.write.partitionBy(*by).option("compression", codec).option("maxRecordsPerFile", rows_per_file)
     if replace:
         writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)

@@ -24,10 +24,10 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_new_dates(report: DataFrame, path: str, date: str) -> DataFrame:
-    """Append only the dates not yet in the report table; returns what was selected."""
+    """Add only the dates not yet in the report table, each written whole or not at all; returns what was selected."""
     old = _existing(report.sparkSession, path)
     new = report if old is None else report.join(old.select(date).distinct(), date, "left_anti")
-    new.write.partitionBy(date).mode("append").parquet(path)
+    replace_dates(new, path, date)
     return new
 
 
@@ -36,5 +36,13 @@ def replace_dates(report: DataFrame, path: str, date: str) -> None:
     report.write.partitionBy(date).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def drop_dates(spark: SparkSession, path: str, date: str, values: list) -> None:
+    """Remove the partitions of the given dates."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for v in values:
+        folder = hadoop.Path(f"{path}/{date}={v}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_report(spark: SparkSession, path: str, date: str) -> DataFrame:
     return spark.read.parquet(path).orderBy(F.col(date))

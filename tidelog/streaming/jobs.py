@@ -17,7 +17,7 @@ from ..model import COLS, ColMap, typed
 from ..operators import summary
 from ..operators.users import with_pseudo_user
 from ..sources import raw_json
-from ..sources.sinks import replace_dates
+from ..sources.sinks import drop_dates, replace_dates
 
 SUMMARY_VERSION = 1
 MAX_AGE_DAYS = 7
@@ -132,34 +132,48 @@ def _snapshot(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def changed_files(files: DataFrame, snapshot: DataFrame | None, params: str, now: Column) -> DataFrame:
-    """Files that are new, changed, built with other parameters or version, or older than the age limit."""
-    if snapshot is None:
-        return files
-    fresh = snapshot.where(
+FILE_KEYS = ["file_path", "file_size", "file_modification_time"]
+
+
+def valid_snapshot(snapshot: DataFrame, params: str, now: Column) -> DataFrame:
+    """Rows (file, date) of the snapshot built with these parameters, this version and within the age limit."""
+    return snapshot.where(
         (F.col("version") == SUMMARY_VERSION) & (F.col("params") == params)
         & (F.col("built_at") >= now - F.expr(f"INTERVAL {MAX_AGE_DAYS} DAYS")))
-    keys = ["file_path", "file_size", "file_modification_time"]
-    return files.join(fresh.select(*keys), keys, "left_anti")
 
 
 def refresh_summary(spark: SparkSession, logs: DataFrame, summary_path: str, snapshot_path: str, cols: ColMap = COLS, params: str = "") -> DataFrame:
-    """Bring the device-day summary up to date; only dates in new or changed files are recomputed.
+    """Bring the device-day summary up to date; only the dates of new, changed, deleted or too old files are recomputed.
 
-    ``logs`` must keep file metadata in columns file_path, file_size, file_modification_time.
-    Returns the recomputed dates.
+    ``logs`` must keep file metadata in columns file_path, file_size, file_modification_time. The snapshot holds one row
+    per (file, date) with the time its file was last summarised, so the dates that a file held before count as well, and a date
+    that no file holds any more leaves the summary. Returns the recomputed dates.
     """
-    keys = ["file_path", "file_size", "file_modification_time"]
-    files = logs.select(*keys).distinct()
-    stale = changed_files(files, _snapshot(spark, snapshot_path), params, F.current_timestamp())
+    now = spark.range(1).select(F.current_timestamp()).first()[0]
     dated = typed(logs, cols).withColumn("event_date", clock.day_date("req_ts"))
-    # the list of stale files is as long as the list of files; AQE picks the join by its size
-    dates = dated.join(stale, keys, "left_semi").select("event_date").distinct()
+    files = logs.select(*FILE_KEYS).distinct()
+    old = _snapshot(spark, snapshot_path)
+    staged = f"{snapshot_path}-next"
+    if old is None:
+        stale, kept, gone = files, None, None
+    else:
+        kept = valid_snapshot(old, params, F.lit(now)).join(files, FILE_KEYS, "left_semi")
+        # the lists are as long as the list of files; AQE picks the joins by their size
+        stale = files.join(kept.select(*FILE_KEYS).distinct(), FILE_KEYS, "left_anti")
+        gone = old.join(kept.select(*FILE_KEYS).distinct(), FILE_KEYS, "left_anti").select("event_date")
+    held = stale.join(dated.select(*FILE_KEYS, "event_date").distinct(), FILE_KEYS, "left")
+    fresh = held.select(*FILE_KEYS, "event_date", F.lit(SUMMARY_VERSION).alias("version"), F.lit(params).alias("params"), F.lit(now).alias("built_at"))
+    (fresh if kept is None else fresh.unionByName(kept)).write.mode("overwrite").parquet(staged)
+    following = spark.read.parquet(staged)
+    dates = following.where(F.col("built_at") == F.lit(now)).select("event_date")
+    dates = (dates if gone is None else dates.unionByName(gone)).where(F.col("event_date").isNotNull()).distinct()
     fixed = f"{snapshot_path}-dates"
     dates.write.mode("overwrite").parquet(fixed)
     dates = spark.read.parquet(fixed)
     todo = dated.join(dates, "event_date", "left_semi").drop("event_date", "req_ts")
     replace_dates(summary.device_day(todo, cols), summary_path, "event_date")
-    seen = files.withColumns({"version": F.lit(SUMMARY_VERSION), "params": F.lit(params), "built_at": F.current_timestamp()})
-    seen.write.mode("overwrite").parquet(snapshot_path)
+    # one row per calendar day at most
+    empty = dates.join(following.select("event_date").distinct(), "event_date", "left_anti").collect()
+    drop_dates(spark, summary_path, "event_date", [r[0] for r in empty])
+    following.write.mode("overwrite").parquet(snapshot_path)
     return dates
