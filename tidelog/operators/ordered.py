@@ -6,10 +6,10 @@ than ``hot_rows`` rows) are cut into time slices; each slice is its own window
 partition, and what must cross a slice border travels as one carry row per slice.
 The result equals the plain window exactly.
 
-The ``hot`` table has at most total_rows / hot_rows keys, so it may be broadcast: at the
-default of 5 million, 5e11 rows give at most 100,000 keys; adaptive execution picks its join by size.
+default of 5 million, 5e11 rows give at most 100,000 keys, a bounded size.
+default of 5 million, 5e11 rows give at most 100,000 keys, so its size is bounded and it may be broadcast.
 If no key is hot the carry branches are empty and adaptive execution drops them before they scan
-anything. Rows are dealt by key and slice once; every later step and carry aggregate reuses that shuffle. Inputs of every size
+anything. Inputs of every size
 take this path; ``hot_rows`` is its only threshold.
 
 Keys must not be NULL. The order columns, time first, must form a total order within a
@@ -48,7 +48,7 @@ class Ordered:
             .select(*keys, F.lit(True).alias(_HOT))
         )
         number = F.when(F.col(_HOT), F.floor(F.col(order[0]) / F.lit(slice_seconds)).cast("long"))
-        cut = df.join(hot, keys, "left").withColumn(_SLICE, number).repartition(*keys, _HOT, _SLICE)
+        cut = df.join(F.broadcast(hot), keys, "left").withColumn(_SLICE, number)
         return Ordered(cut, tuple(keys), tuple(order))
 
     def rows(self) -> DataFrame:
