@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions.bands import watch_bucket
 from ..functions.querystring import qs_mentions, qs_text, qs_value
 from ..functions.text import decode_form
 from ..model import COLS, WATCH_GAP_CAP_SECONDS, ColMap, typed
+from .events import coverage
 from .ordered import Ordered
 from .ranking import top_per_group
 
@@ -66,7 +69,7 @@ def _watch(cap: int):
     return F.least(_gap(), F.lit(cap))
 
 
-def stickiness(seq: DataFrame, n: int, min_sessions: int = 3, cap: int = WATCH_GAP_CAP_SECONDS) -> DataFrame:
+def stickiness(seq: DataFrame, n: int, min_sessions: int, cap: int = WATCH_GAP_CAP_SECONDS) -> DataFrame:
     """Watch and switch-away measures per entity, with a 4-way label against the medians of the rows returned."""
     away = F.coalesce((F.col("next_entity_name") != F.col("entity_name")).cast("int"), F.lit(0))
     per = seq.groupBy("entity_name").agg(
@@ -109,7 +112,7 @@ def transitions(seq: DataFrame, n: int) -> DataFrame:
     return per.orderBy(F.desc("transitions"), "from_channel", "to_channel").limit(n)
 
 
-def switch_rate(seq: DataFrame, min_events: int = 20, n: int = 20) -> DataFrame:
+def switch_rate(seq: DataFrame, min_events: int, n: int) -> DataFrame:
     """Share of events after which the viewer leaves the channel."""
     away = F.coalesce((F.col("next_entity_name") != F.col("entity_name")).cast("int"), F.lit(0))
     per = seq.groupBy(F.col("entity_name").alias("channel_name")).agg(
@@ -125,16 +128,29 @@ def session_switches(seq_lag: DataFrame) -> DataFrame:
     return per.groupBy(bucket.alias("switch_bucket")).agg(F.count(F.lit(1)).alias("sessions"))
 
 
-def bundle(events: DataFrame, n: int = 20) -> dict[str, DataFrame]:
-    """All behaviour sections over one base frame; persist or write ``events`` first, then run them."""
+def bundle(events: DataFrame, n: int, min_sessions: int, min_events: int, logs: DataFrame | None = None, cols: ColMap = COLS) -> dict[str, DataFrame]:
+    """All behaviour sections over one base frame; write ``events`` first, then run them. With ``logs`` also the coverage and the channel master."""
     out = {}
+    if logs is not None:
+        master = channel_master(logs, cols)
+        out |= {"coverage": coverage(logs, cols), "channel_master": master, "pure_channels": pure_rollup(master)}
     for entity in ("content_label", "channel_name"):
         seq = sequenced(events, entity)
         out[f"daypart_{entity}"] = daypart_top(events, entity, n)
-        out[f"stickiness_{entity}"] = stickiness(seq, n)
+        out[f"stickiness_{entity}"] = stickiness(seq, n, min_sessions)
         out[f"retention_{entity}"] = retention(seq, n)
     seq = sequenced(events, "channel_name")
     out["transitions"] = transitions(seq, n)
-    out["switch_rate"] = switch_rate(seq)
+    out["switch_rate"] = switch_rate(seq, min_events, n)
     out["session_switches"] = session_switches(sequenced(events, "channel_name", lag=True))
     return out
+
+
+def long_form(sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, name, measure, value): every number of every section; name joins the row's texts by '|'."""
+    parts = []
+    for section, df in sections.items():
+        texts = [c for c, t in df.dtypes if t == "string"]
+        measures = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c, t in df.dtypes if t != "string"]
+        parts.append(df.select(F.lit(section).alias("section"), F.concat_ws("|", *texts).alias("name"), F.inline(F.array(*measures))))
+    return reduce(DataFrame.unionByName, parts)

@@ -77,7 +77,7 @@ def global_summary(rows: DataFrame) -> DataFrame:
         F.round(F.avg(num("throughput")), 6).alias("avg_throughput"), F.count_if(status >= 400).alias("error_requests"),
         percent(F.count_if(status >= 400), n).alias("error_rate_pct"),
         percent(F.count_if(F.upper("cacheStatus").contains("HIT")), n).alias("cache_hit_pct"),
-        F.round(F.avg(num("timeToFirstByte")), 6).alias("avg_ttfb"))
+        F.round(F.avg(num("timeToFirstByte")), 6).alias("avg_ttfb"), F.round(F.avg(num("downloadTime")), 6).alias("avg_download_time"))
     distincts = rows.agg(F.count_distinct("pseudo_user").alias("pseudo_users"), F.count_distinct("reqPath").alias("unique_paths"))
     values = rows.select(num("throughput").alias("throughput"))
     return one_row(facts, distincts, exact_percentiles(values, "throughput", {"median_throughput": 0.5}))
@@ -132,7 +132,7 @@ def qoe_bands(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("requests"), F.round(F.avg(num("timeToFirstByte")), 2).alias("avg_ttfb"))
 
 
-def state_qoe(rows: DataFrame, n: int = 30) -> DataFrame:
+def state_qoe(rows: DataFrame, n: int) -> DataFrame:
     per = rows.groupBy("state").agg(
         F.count(F.lit(1)).alias("requests"), F.round(F.avg(num("throughput")), 2).alias("avg_throughput"),
         F.round(F.avg(num("timeToFirstByte")), 2).alias("avg_ttfb"), F.count_if(F.col("statusCode").try_cast("long") >= 400).alias("errors"))

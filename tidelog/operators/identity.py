@@ -116,7 +116,7 @@ def ip_device_pairs(rows: DataFrame) -> DataFrame:
     return out.withColumn("platform", F.coalesce("platform", F.lit("")))
 
 
-def top_paths_per_device(rows: DataFrame, n: int = 20) -> DataFrame:
+def top_paths_per_device(rows: DataFrame, n: int) -> DataFrame:
     per = rows.where(F.col("device_id").isNotNull() & F.col("reqPath").isNotNull()).groupBy("device_id", "reqPath").agg(
         F.count(F.lit(1)).alias("requests"), F.count_distinct("session_id").alias("sessions"))
     return top_per_group(per, ["device_id"], [F.desc("requests"), F.asc("reqPath")], n)
@@ -138,7 +138,7 @@ def ip_device_paths(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("requests"), F.count_distinct("session_id").alias("sessions"))
 
 
-def multi_device_ips(rows: DataFrame, shown: int = 10) -> DataFrame:
+def multi_device_ips(rows: DataFrame, shown: int) -> DataFrame:
     """IPs with more than one device: device count, requests and the first ids in order.
 
     Ids are ranked per IP and only the first ``shown`` are gathered, so no group is
@@ -150,7 +150,7 @@ def multi_device_ips(rows: DataFrame, shown: int = 10) -> DataFrame:
     return per.where(F.col("n_devices") > 1).join(lists, "cliIP", "left")
 
 
-def platforms_by_country(pairs: DataFrame, n: int = 10) -> DataFrame:
+def platforms_by_country(pairs: DataFrame, n: int) -> DataFrame:
     """Devices per country and platform, for the n countries with most."""
     per = pairs.where((F.col("country") != "") & (F.col("platform") != "")).groupBy("country", "platform").agg(
         F.count_distinct("device_id").alias("unique_devices"))

@@ -75,7 +75,7 @@ def key_matrix_with_modes(
     return out
 
 
-def top_channels_by_state(logs: DataFrame, n: int = 200, cols: ColMap = COLS) -> DataFrame:
+def top_channels_by_state(logs: DataFrame, n: int, cols: ColMap = COLS) -> DataFrame:
     df = logs.where(qs_mentions(cols.qs, "channel") & blank_to_null(cols.region).isNotNull())
     per = counts(df, F.col(cols.region).alias("state"), channels.channel_report(cols.qs).alias("channel"), name="requests")
     return top_per_group(per, ["state"], [F.desc("requests"), F.asc("channel")], n, "rank")
@@ -86,13 +86,13 @@ def billing_counts(logs: DataFrame) -> DataFrame:
     return counts(logs, "billingRegion", "country", "serverCountry", name="requests")
 
 
-def billing_pairs(logs: DataFrame, n: int = 50) -> DataFrame:
+def billing_pairs(logs: DataFrame, n: int) -> DataFrame:
     """Top country and server-country pairs per billing region."""
     per = billing_counts(logs)
     return top_per_group(per, ["billingRegion"], [F.desc("requests"), F.asc("country"), F.asc("serverCountry")], n)
 
 
-def trend(logs: DataFrame, days: int = 90, cols: ColMap = COLS) -> DataFrame:
+def trend(logs: DataFrame, days: int, cols: ColMap = COLS) -> DataFrame:
     """Requests, devices and sessions per day over the last N days of the data."""
     df = typed(logs, cols).select(
         clock.day_date("req_ts").alias("date"), qs_value(cols.qs, "device_id").alias("d"), qs_value(cols.qs, "session_id").alias("s"))
@@ -105,14 +105,21 @@ def top_by(df: DataFrame, value: Column, n: int) -> DataFrame:
     return counts(df, value.alias("value"), name="requests").orderBy(F.desc("requests"), "value").limit(n)
 
 
-def calendar_counts(df: DataFrame, seconds: int, ts: str = "req_ts") -> DataFrame:
+def calendar_counts(df: DataFrame, seconds: int, ts: str = "req_ts", between: tuple[int, int] | None = None) -> DataFrame:
     """Rows per time bucket with empty buckets as 0.
 
-    The calendar spans the data's first to last bucket; its size depends on time, not rows.
+    The calendar spans the data's first to last bucket, or ``between`` (epoch seconds, last one included), which keeps
+    a wrong timestamp from stretching it. It grows with time, not rows, and is made in blocks of about a day.
     """
-    per = counts(df, clock.bucket_start(ts, seconds).alias("bucket"), name="requests")
-    span = per.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where(F.col("a").isNotNull())
-    calendar = span.select(F.explode(F.sequence("a", "b", F.lit(seconds).cast("long"))).alias("bucket"))
+    kept = df if between is None else df.where(F.col(ts).between(*between))
+    per = counts(kept, clock.bucket_start(ts, seconds).alias("bucket"), name="requests")
+    if between is None:
+        span = per.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where(F.col("a").isNotNull())
+    else:
+        span = df.sparkSession.range(1).select(*[F.lit(t - t % seconds).cast("long").alias(n) for t, n in zip(between, "ab")])
+    step, block = F.lit(seconds).cast("long"), seconds * max(1, 86400 // seconds)
+    blocks = span.select("b", F.explode(F.sequence("a", "b", F.lit(block).cast("long"))).alias("a"))
+    calendar = blocks.select(F.explode(F.sequence("a", F.least(F.col("a") + block - seconds, "b"), step)).alias("bucket"))
     return calendar.join(per, "bucket", "left").withColumn("requests", F.coalesce("requests", F.lit(0)))
 
 

@@ -6,11 +6,10 @@ than ``hot_rows`` rows) are cut into time slices; each slice is its own window
 partition, and what must cross a slice border travels as one carry row per slice.
 The result equals the plain window exactly.
 
-default of 5 million, 5e11 rows give at most 100,000 keys, a bounded size.
-default of 5 million, 5e11 rows give at most 100,000 keys, so its size is bounded and it may be broadcast.
+Hot keys travel as 64-bit hashes: with the default of 5 million, 5e11 rows give at most 100,000
+of them, under 2 MB, so they may be broadcast. Keys that share a hash are cut together, which changes no result.
 If no key is hot the carry branches are empty and adaptive execution drops them before they scan
-anything. Inputs of every size
-take this path; ``hot_rows`` is its only threshold.
+anything. Inputs of every size take this path; ``hot_rows`` is its only threshold.
 
 Keys must not be NULL. The order columns, time first, must form a total order within a
 key; rows that tie on all of them must be interchangeable.
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 5_000_000
 SLICE_SECONDS = 60
 _HOT = "_hot"
+_KEY = "_key_hash"
 _SLICE = "_slice"
 _CARRY = "_carry"
 
@@ -43,12 +43,13 @@ class Ordered:
     def by(
         df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS, slice_seconds: int = SLICE_SECONDS
     ) -> Ordered:
+        key = F.xxhash64(*keys).alias(_KEY)
         hot = (
-            df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-            .select(*keys, F.lit(True).alias(_HOT))
+            df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+            .select(_KEY, F.lit(True).alias(_HOT))
         )
         number = F.when(F.col(_HOT), F.floor(F.col(order[0]) / F.lit(slice_seconds)).cast("long"))
-        cut = df.join(F.broadcast(hot), keys, "left").withColumn(_SLICE, number)
+        cut = df.select("*", key).join(F.broadcast(hot), _KEY, "left").drop(_KEY).withColumn(_SLICE, number)
         return Ordered(cut, tuple(keys), tuple(order))
 
     def rows(self) -> DataFrame:

@@ -65,7 +65,7 @@ def distinct_tuples(df: DataFrame, columns: list[str], out: str = "distinct_tupl
     return df.select(*columns).distinct().agg(F.count(F.lit(1)).alias(out))
 
 
-def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
+def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
     """Most frequent non-blank values with their share of all non-blank rows."""
     c = as_text(column)
     per = counts(df.where(c.isNotNull() & (F.trim(c) != "")), c.alias("value"), name="rows")

@@ -34,7 +34,7 @@ def content_table(rows: DataFrame, min_requests: int = 1) -> DataFrame:
     return out.where(F.col("requests") >= min_requests)
 
 
-def path_table(rows: DataFrame, n: int = 100) -> DataFrame:
+def path_table(rows: DataFrame, n: int) -> DataFrame:
     out = rows.groupBy("reqPath").agg(
         F.count(F.lit(1)).alias("requests"), F.min("req_ts").alias("first_seen"), F.max("req_ts").alias("last_seen"),
         F.round(F.sum("watch_sec") / 60, 4).alias("est_watch_min"),
@@ -141,7 +141,7 @@ def user_summary(df: DataFrame, user: str | None = None) -> DataFrame:
     }).drop("_tp", "_tpn", "_fb", "_fbn")
 
 
-def user_timeline(df: DataFrame, user: str, n: int = 5000, tie: list[str] = ("event_id",)) -> DataFrame:
+def user_timeline(df: DataFrame, user: str, n: int, tie: list[str] = ("event_id",)) -> DataFrame:
     """First n rows of a pseudo user in time order."""
     cols = [c for c in ("req_ts", *tie, "reqHost", "reqPath", "queryStr", "statusCode", "cacheStatus", "totalBytes",
                         "throughput", "timeToFirstByte", "city", "state", "country", "asn") if c in df.columns]

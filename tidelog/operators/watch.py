@@ -40,8 +40,8 @@ def timeline_key(device: Column, session: Column, ip: Column, ua: Column, stream
     )
 
 
-def timeline_rows(logs: DataFrame, cols: ColMap = COLS, where: Column | None = None, keep: list[str] = ()) -> DataFrame:
-    """Distinct timeline events. ``keep`` names extra dimension columns, part of the distinct tuple."""
+def timeline_rows(logs: DataFrame, cols: ColMap = COLS, where: Column | None = None, keep: list[str] = (), qs_keys: list[str] = ()) -> DataFrame:
+    """Distinct timeline events. ``keep`` names extra dimension columns and ``qs_keys`` query-string keys, all part of the distinct tuple."""
     df = typed(logs, cols)
     if where is not None:
         df = df.where(where)
@@ -51,7 +51,7 @@ def timeline_rows(logs: DataFrame, cols: ColMap = COLS, where: Column | None = N
         qs_trimmed(cols.qs, "device_id").alias("device_id"), qs_trimmed(cols.qs, "session_id").alias("session_id"),
         qs_has_key(cols.qs, "device_id", False).cast("int").alias("has_device_id_key"),
         qs_has_key(cols.qs, "session_id", False).cast("int").alias("has_session_id_key"),
-        *[F.col(c).alias(f"dim_{c}") for c in keep],
+        *[F.col(c).alias(f"dim_{c}") for c in keep], *[qs_trimmed(cols.qs, k).alias(f"dim_{k}") for k in qs_keys],
     )
     dev, sid, ip, ua = (F.col(c) for c in ("device_id", "session_id", "cliIP", "UA"))
     # the same rows as "timeline_key is not null"; the keys below derive from the distinct

@@ -59,7 +59,7 @@ def _(spark, d):
 
 @query("agg_50_global_summary", on_logs("""SELECT COUNT(*) AS total_requests, CAST(SUM(tb) AS BIGINT) AS total_bytes, ROUND(AVG(tb), 6) AS avg_bytes, ROUND(AVG(tp), 6) AS avg_throughput, median(tp) AS median_throughput,
  COUNT(*) FILTER (WHERE st >= 400) AS error_requests, ROUND(100.0 * COUNT(*) FILTER (WHERE st >= 400) / COUNT(*), 2) AS error_rate_pct, ROUND(100.0 * COUNT(*) FILTER (WHERE contains(upper(cacheStatus), 'HIT')) / COUNT(*), 2) AS cache_hit_pct,
- ROUND(AVG(ttfb), 6) AS avg_ttfb, COUNT(DISTINCT pseudo_user) AS pseudo_users, COUNT(DISTINCT reqPath) AS unique_paths FROM r""", _R))
+ ROUND(AVG(ttfb), 6) AS avg_ttfb, ROUND(AVG(CAST(downloadTime AS DOUBLE)), 6) AS avg_download_time, COUNT(DISTINCT pseudo_user) AS pseudo_users, COUNT(DISTINCT reqPath) AS unique_paths FROM r""", _R))
 def _(spark, d):
     return cdn.global_summary(_u(spark, d))
 
@@ -117,7 +117,7 @@ _ONE = "10.0.6.6|Mozilla/5.0 (Windows NT 10.0)"
 @query("agg_54_user_timeline", on_logs(f"""SELECT req_ts, event_id, reqHost, reqPath, queryStr, statusCode, cacheStatus, totalBytes, throughput, timeToFirstByte, city, state, country, asn FROM r WHERE pseudo_user = '{_ONE}'
  ORDER BY req_ts, event_id LIMIT 5000""", _R))
 def _(spark, d):
-    return users.user_timeline(_u(spark, d), _ONE)
+    return users.user_timeline(_u(spark, d), _ONE, 5000)
 
 
 @query("agg_55_qoe_bands", on_logs("""SELECT CASE WHEN tp < 1000000 THEN 'very_low' WHEN tp < 3000000 THEN 'low' WHEN tp < 8000000 THEN 'medium' ELSE 'high' END AS throughput_band, COUNT(*) AS requests, ROUND(AVG(ttfb), 2) AS avg_ttfb FROM r GROUP BY 1""", _R))
@@ -127,7 +127,7 @@ def _(spark, d):
 
 @query("agg_55_state_qoe", on_logs("""SELECT state, COUNT(*) AS requests, ROUND(AVG(tp), 2) AS avg_throughput, ROUND(AVG(ttfb), 2) AS avg_ttfb, COUNT(*) FILTER (WHERE st >= 400) AS errors FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30""", _R))
 def _(spark, d):
-    return cdn.state_qoe(_u(spark, d))
+    return cdn.state_qoe(_u(spark, d), 30)
 
 
 _A = f"""a0 AS (SELECT COALESCE(UA, '') AS ua, COUNT(*) AS volume FROM logs GROUP BY 1),

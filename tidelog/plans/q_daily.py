@@ -1,14 +1,18 @@
 """Daily tables, matrices and trends (AGG-11..20, AGG-60..62, AGG-65, WIN-9, WIN-10)."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import channels, clock
-from ..functions.querystring import qs_value
+from ..functions.querystring import qs_mentions, qs_value
 from ..functions.text import label_blank
 from ..model import typed
 from ..operators import daily, filters, matrix
+from ..session import run_folder
+from ..sources import sinks
+from ..sources.lake import read_lake
 from .q_functions import CLASS_SQL
-from .registry import STREAM_ID, TOKENS, day, logs, on_logs, query, table, x, xt
+from .registry import STREAM_ID, TOKENS, day, logs, on_logs, query, table, written_lake, x, xt
 
 _NOID = TOKENS.replace("|id|", "|")
 REPORT = f"TRIM(regexp_replace(url_decode(COALESCE({x('channel')}, {x('channel_name')}, 'Unknown')), '_({_NOID})$', '', 'i'))"
@@ -58,6 +62,14 @@ def _(spark, d):
     return daily.daily_quality(logs(spark, d), exact=False)
 
 
+@query("agg_13_daily_quality_table", on_logs(_QUALITY.format(src="d0"), _D0))
+def _(spark, d):
+    f = run_folder(spark, "quality")
+    report = daily.daily_quality(logs(spark, d))
+    sinks.append_new_dates(report, f, "ist_date")
+    return sinks.read_report(spark, f, "ist_date").select(*report.columns)
+
+
 @query("agg_14_day_availability", on_logs(f"""SELECT *, CASE WHEN available_from > '00:05:00' OR available_to < '23:55:00' THEN 'Partial data: ' || available_from || ' → ' || available_to ELSE 'Full/near-full day' END AS note
  FROM (SELECT {day()} AS day, COUNT(*) AS rows, MIN(req_ts) AS first_ts, MAX(req_ts) AS last_ts, {_hms('MIN(req_ts)', 0)} AS available_from, {_hms('MAX(req_ts)', 0)} AS available_to FROM t GROUP BY 1)"""))
 def _(spark, d):
@@ -65,9 +77,10 @@ def _(spark, d):
 
 
 def lake(spark, d):
-    """Rows with the zero-padded text partition columns of a lake."""
-    date = clock.day_date("req_ts")
-    return typed(logs(spark, d)).select("*", F.date_format(date, "yyyy").alias("year"), F.date_format(date, "MM").alias("month"), F.date_format(date, "dd").alias("day"))
+    """Rows of a written lake; its partition columns are text."""
+    root = written_lake(spark, d)
+    text = T.StructType([T.StructField(c, T.StringType()) for c in ("year", "month", "day")])
+    return read_lake(spark, root, partitions=text)
 
 
 @query("agg_15_lake_overview", on_logs(f"""SELECT {day()} AS utc_date, COUNT(*) AS total_rows, COUNT(cliIP) AS ip_rows, CAST(SUM(CAST(totalBytes AS BIGINT)) AS BIGINT) AS total_bytes,
@@ -126,8 +139,6 @@ def _(spark, d):
 
 @query("agg_18_channel_day_matrix", on_logs(_matrix_sql(REPORT, "t WHERE queryStr LIKE '%channel=%'", day(), 50)))
 def _(spark, d):
-    from ..functions.querystring import qs_mentions
-
     df = typed(logs(spark, d)).where(qs_mentions("queryStr", "channel"))
     return matrix.value_day_matrix(df, channels.channel_report("queryStr"), clock.day_date("req_ts"), DAYS, 50)
 
@@ -149,8 +160,6 @@ def _key_modes_sql(key, n, modes):
 
 @query("agg_19_ip_matrix", on_logs(_key_modes_sql("cliIP", 20, {"mode_state": "state", "mode_channel": f"CASE WHEN queryStr LIKE '%channel=%' THEN {REPORT} END"})))
 def _(spark, d):
-    from ..functions.querystring import qs_mentions
-
     modes = {"mode_state": F.col("state"), "mode_channel": F.when(qs_mentions("queryStr", "channel"), channels.channel_report("queryStr"))}
     return matrix.key_matrix_with_modes(logs(spark, d), F.col("cliIP"), DAYS, 20, modes)
 
@@ -165,13 +174,13 @@ def _(spark, d):
 @query("win_9_top_channels_by_state", on_logs(f"""SELECT state, channel, requests, rank FROM (SELECT state, {REPORT} AS channel, COUNT(*) AS requests, ROW_NUMBER() OVER (PARTITION BY state ORDER BY COUNT(*) DESC, {REPORT}) AS rank
  FROM logs WHERE TRIM(state) <> '' AND queryStr LIKE '%channel=%' GROUP BY 1, 2) WHERE rank <= 200"""))
 def _(spark, d):
-    return matrix.top_channels_by_state(logs(spark, d))
+    return matrix.top_channels_by_state(logs(spark, d), 200)
 
 
 @query("win_10_billing_region_pairs", on_logs("""SELECT billingRegion, country, serverCountry, requests, rn FROM (SELECT billingRegion, country, serverCountry, COUNT(*) AS requests,
  ROW_NUMBER() OVER (PARTITION BY billingRegion ORDER BY COUNT(*) DESC, country, serverCountry) AS rn FROM logs GROUP BY 1, 2, 3) WHERE rn <= 50"""))
 def _(spark, d):
-    return matrix.billing_pairs(logs(spark, d))
+    return matrix.billing_pairs(logs(spark, d), 50)
 
 
 @query("agg_45_billing_region_country", on_logs("SELECT billingRegion, country, serverCountry, COUNT(*) AS requests FROM logs GROUP BY 1, 2, 3"))
@@ -196,7 +205,19 @@ def _(spark, d):
 @query("agg_61_trend", on_logs(f"""SELECT {day()} AS date, COUNT(*) AS requests, COUNT(DISTINCT {x('device_id')}) AS devices, COUNT(DISTINCT {x('session_id')}) AS sessions FROM t
  WHERE {day()} >= (SELECT MAX({day()}) FROM t) - 90 GROUP BY 1"""))
 def _(spark, d):
-    return matrix.trend(logs(spark, d))
+    return matrix.trend(logs(spark, d), 90)
+
+
+@query("agg_61_top_channels", on_logs(f"SELECT {REPORT} AS value, COUNT(*) AS requests FROM t WHERE queryStr LIKE '%channel=%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
+def _(spark, d):
+    rows = logs(spark, d).where(qs_mentions("queryStr", "channel"))
+    return matrix.top_by(rows, channels.channel_report("queryStr"), 10)
+
+
+@query("agg_61_top_states", on_logs("SELECT TRIM(state) AS value, COUNT(*) AS requests FROM t WHERE TRIM(state) <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
+def _(spark, d):
+    state = F.trim("state")
+    return matrix.top_by(logs(spark, d).where(state != ""), state, 10)
 
 
 @query("agg_61_top_devices", on_logs(f"SELECT {x('device')} AS value, COUNT(*) AS requests FROM t WHERE {x('device')} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))

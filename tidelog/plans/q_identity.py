@@ -120,13 +120,13 @@ def _(spark, d):
 @query("agg_32_multi_device_ips", on_logs("""SELECT cliIP, COUNT(DISTINCT device_id) AS n_devices, COUNT(*) AS total_requests, array_to_string(list_slice(list_sort(list(DISTINCT device_id)), 1, 10), ', ') AS device_list
  FROM i WHERE device_id IS NOT NULL GROUP BY 1 HAVING COUNT(DISTINCT device_id) > 1""", _I))
 def _(spark, d):
-    return identity.multi_device_ips(_rows(spark, d))
+    return identity.multi_device_ips(_rows(spark, d), 10)
 
 
 @query("agg_33_platforms_by_country", on_logs("""SELECT * FROM pc WHERE country IN (SELECT country FROM pc GROUP BY 1 ORDER BY SUM(unique_devices) DESC, country LIMIT 10)""", _I, _P, GEO_SQL, _GP,
     "pc AS (SELECT country, platform, COUNT(DISTINCT device_id) AS unique_devices FROM gp WHERE country <> '' AND platform <> '' GROUP BY 1, 2)"))
 def _(spark, d):
-    return identity.platforms_by_country(_geo_pairs(spark, d))
+    return identity.platforms_by_country(_geo_pairs(spark, d), 10)
 
 
 _SD = """sd AS (SELECT device_id, COUNT(DISTINCT session_id) AS session_count, COUNT(*) AS total_events FROM i WHERE device_id IS NOT NULL AND session_id IS NOT NULL GROUP BY 1)"""

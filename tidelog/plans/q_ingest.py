@@ -7,7 +7,7 @@ from ..functions.querystring import qs_pairs
 from ..model import typed
 
 from ..sources import inventory, lake, raw_json
-from .registry import LOG_COLUMNS, day, logs, on_logs, query, table
+from .registry import LOG_COLUMNS, day, logs, on_logs, query, table, written_lake
 
 TEXT = [c for c in LOG_COLUMNS if c != "event_id"]
 
@@ -31,10 +31,11 @@ def _(spark, d):
     return raw_json.rows_as_text(raw_json.parse(lines(spark, d)), ["event_id", *TEXT])
 
 
-@query("ing_2_error_rows", """SELECT 'b1' AS batch, 'parse' AS stage, CAST(NULL AS VARCHAR) AS file, 'JSON' AS error, TRIM(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS value FROM documents
+@query("ing_2_error_rows", """SELECT TIMESTAMP '2024-01-06 00:00:00' AS logged_at, 'b1' AS batch, 'parse' AS stage, CAST(NULL AS VARCHAR) AS file, 'JSON' AS error, TRIM(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) AS value FROM documents
  WHERE TRIM(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) <> ''""")
 def _(spark, d):
-    return raw_json.error_rows(raw_json.parse(broken_lines(spark, d)), "b1").withColumn("value", F.trim("value"))
+    at = F.lit("2024-01-06 00:00:00").cast("timestamp_ntz")
+    return raw_json.error_rows(raw_json.parse(broken_lines(spark, d)), "b1", at).withColumn("value", F.trim("value"))
 
 
 @query("ing_3_column_discovery", on_logs(" UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT({c}) AS rows FROM logs" for c in ["event_id", *TEXT])))
@@ -101,7 +102,7 @@ def _(spark, d):
 
 @query("fil_12_partition_days", on_logs(f"SELECT event_id FROM t WHERE {day()} BETWEEN DATE '2024-01-02' AND DATE '2024-01-03'"))
 def _(spark, d):
-    return lake.with_partition_text(logs(spark, d)).where(lake.lake_days("2024-01-02", "2024-01-03")).select("event_id")
+    return lake.read_lake(spark, written_lake(spark, d), lake.lake_days("2024-01-02", "2024-01-03")).select("event_id")
 
 
 @query("inv_1_file_inventory", """SELECT 'lineitem.parquet' AS file, COUNT(*) AS rows FROM lineitem""")
@@ -116,6 +117,16 @@ def _(spark, d):
     return diff.select(F.element_at(F.split("file_path", "/"), -1).alias("file"), "state")
 
 
+@query("inv_2_inventory_states", """SELECT 'orders/' || o_orderkey AS file_path, CASE WHEN o_orderkey % 5 = 0 THEN 'new' WHEN o_orderkey % 7 = 0 THEN 'missing' WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS state
+ FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 7 <> 0""")
+def _(spark, d):
+    key = F.col("o_orderkey")
+    files = table(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.lit("orders/"), key).alias("file_path"), F.round(F.col("o_totalprice") * 100).cast("long").alias("file_size"), F.col("o_orderdate").alias("file_modification_time"))
+    now = files.withColumn("file_size", F.col("file_size") + (key % 3 == 0).cast("long"))
+    return inventory.inventory_diff(files.where(key % 5 != 0), now.where(key % 7 != 0))
+
+
 @query("inv_3_schema_drift", """WITH f AS (SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
  'embeddings', 'pages', 'benchmark', 'labels', 'conversations')) SELECT column_name AS "column", COUNT(DISTINCT table_name) AS files_with, 14 - COUNT(DISTINCT table_name) AS files_without FROM f GROUP BY 1""")
 def _(spark, d):

@@ -26,6 +26,25 @@ def _(spark, d):
     return sets.dedup_counts(_li(spark, d).select(*_PART))
 
 
+# the whole table, and the returned lines once more
+_TWICE = "u AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R')"
+
+
+def _twice(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.unionByName(li.where("l_returnflag = 'R'"))
+
+
+@query("set_1_full_row_counts", f"WITH {_TWICE}, o AS (SELECT DISTINCT * FROM u) SELECT (SELECT COUNT(*) FROM u) AS rows_before, COUNT(*) AS rows_after, (SELECT COUNT(*) FROM u) - COUNT(*) AS removed FROM o")
+def _(spark, d):
+    return sets.dedup_counts(_twice(spark, d))
+
+
+@query("set_5_full_row_groups", f"WITH {_TWICE} SELECT *, COUNT(*) AS count FROM u GROUP BY ALL HAVING COUNT(*) > 1")
+def _(spark, d):
+    return sets.duplicate_groups(_twice(spark, d))
+
+
 @query("set_1_document_dedup", "SELECT COUNT(*) AS rows_before, COUNT(DISTINCT text) AS rows_after, COUNT(*) - COUNT(DISTINCT text) AS removed FROM documents")
 def _(spark, d):
     return sets.dedup_counts(table(spark, d, "documents").select("text"))

@@ -50,6 +50,17 @@ def _(spark, d):
     return spark.read.parquet(f"{f}/rows")
 
 
+@query("str_3_stream_full_rows", "SELECT DISTINCT * FROM lineitem")
+def _(spark, d):
+    f = run_folder(spark, "dedup")
+    rows = table(spark, d, "lineitem")
+    stream = jobs.stream_table(spark, d, "lineitem.parquet").withColumn("event_time", F.col("l_shipdate").cast("timestamp"))
+    # copies share their time, so a bounded delay finds them
+    once = jobs.deduplicated(stream, rows.columns, "event_time", "7 days").select(*rows.columns)
+    jobs.run_to_end(jobs.to_table(once, f"{f}/rows", f"{f}/state"))
+    return spark.read.parquet(f"{f}/rows")
+
+
 def _event_stream(spark, d):
     """The request log as a stream over the events file."""
     from .registry import _SHIFT, _SPARK_MICROS
@@ -106,6 +117,25 @@ def _(spark, d):
     return spark.read.parquet(f"{f}/rows")
 
 
+# windows that the watermark, two hours behind the newest row, has closed
+@query("str_6_closed_hours", on_logs("""SELECT req_ts - req_ts % 3600 AS hour_ts, COUNT(*) AS requests, CAST(SUM(CAST(totalBytes AS BIGINT)) AS BIGINT) AS bytes,
+ COUNT(*) FILTER (WHERE CAST(statusCode AS BIGINT) >= 400) AS errors FROM t GROUP BY 1 HAVING req_ts - req_ts % 3600 + 3600 <= (SELECT MAX(req_ts) - 7200 FROM t)"""))
+def _(spark, d):
+    f = run_folder(spark, "hourly")
+    jobs.run_to_end(jobs.to_table(jobs.hourly_counts(_event_stream(spark, d)), f"{f}/rows", f"{f}/state"))
+    return spark.read.parquet(f"{f}/rows")
+
+
+@query("str_6_closed_sessions", on_logs("""SELECT pseudo_user, MIN(req_ts) AS session_start, MAX(req_ts) AS session_end, COUNT(*) AS requests FROM (
+ SELECT *, SUM(nw) OVER (PARTITION BY pseudo_user ORDER BY req_ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+ SELECT *, CASE WHEN req_ts - LAG(req_ts) OVER (PARTITION BY pseudo_user ORDER BY req_ts, event_id) <= 1800 THEN 0 ELSE 1 END AS nw FROM (
+ SELECT *, COALESCE(cliIP, 'NA') || '|' || COALESCE(UA, 'NA') AS pseudo_user FROM t))) GROUP BY pseudo_user, s HAVING MAX(req_ts) + 1800 <= (SELECT MAX(req_ts) - 7200 FROM t)"""))
+def _(spark, d):
+    f = run_folder(spark, "sessions")
+    jobs.run_to_end(jobs.to_table(jobs.user_sessions(_event_stream(spark, d)), f"{f}/rows", f"{f}/state"))
+    return spark.read.parquet(f"{f}/rows")
+
+
 @query("ing_9_merge_files", "SELECT * FROM orders")
 def _(spark, d):
     f = run_folder(spark, "merge")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.channels import PLATFORM_TOKENS
+from ..session import run_folder
+from ..sources import lake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +77,7 @@ LOG_COLUMNS: dict[str, str] = {
     "totalBytes": "CAST(CAST(FLOOR(value * 100) AS BIGINT) AS STRING)",
     "throughput": "CAST((event_id * 7919) % 9000000 AS STRING)",
     "timeToFirstByte": "CAST((event_id * 31) % 900 AS STRING)",
+    "downloadTime": "CAST((event_id * 17) % 700 AS STRING)",
 }
 
 
@@ -86,6 +89,13 @@ def logs(spark: SparkSession, d: str) -> DataFrame:
     return spread(raw).selectExpr(*exprs)
 
 
+def written_lake(spark: SparkSession, d: str) -> str:
+    """Folder of a lake by year, month and day text, holding the whole log."""
+    folder = run_folder(spark, "lake")
+    lake.build_day_lake(logs(spark, d), folder)
+    return folder
+
+
 def _duck_logs() -> str:
     epoch = _SHIFT.format(micros=_DUCK_MICROS)
     body = ",\n".join(f"{e.replace('{epoch}', epoch)} AS {n}" for n, e in LOG_COLUMNS.items())

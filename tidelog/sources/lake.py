@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import clock
 from ..model import COLS, IST_OFFSET_SECONDS, ColMap, typed
@@ -15,12 +16,17 @@ def read_flat(spark: SparkSession, *paths: str, merge: bool = True) -> DataFrame
     return spark.read.option("mergeSchema", merge).option("recursiveFileLookup", True).parquet(*paths)
 
 
-def read_lake(spark: SparkSession, root: str, where: Column | None = None, merge: bool = False) -> DataFrame:
+def read_lake(spark: SparkSession, root: str, where: Column | None = None, merge: bool = False, partitions: StructType | None = None) -> DataFrame:
     """Hive-partitioned lake; predicates on partition columns prune folders before any of their files is opened.
 
     ``merge`` unites the schemas of all files first, which opens every footer; without it one file gives the schema.
+    ``partitions`` fixes the types of partition columns, which are otherwise inferred ('01' becomes the number 1).
     """
-    df = spark.read.option("basePath", root).option("mergeSchema", merge).parquet(root)
+    reader = spark.read.option("basePath", root).option("mergeSchema", merge)
+    df = reader.parquet(root)
+    if partitions is not None:
+        given = set(partitions.names)
+        df = reader.schema(StructType([f for f in df.schema if f.name not in given] + partitions.fields)).parquet(root)
     return df if where is None else df.where(where)
 
 

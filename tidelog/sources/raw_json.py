@@ -77,11 +77,11 @@ def rows_as_text(parsed: DataFrame, columns: list[str], keep_source: bool = Fals
     return clean.select(*extra, F.inline(F.when(F.col("_good"), F.array(cells))))
 
 
-def error_rows(parsed: DataFrame, batch: str = "") -> DataFrame:
-    """Side table of bad lines: file, stage, error and the line itself."""
+def error_rows(parsed: DataFrame, batch: str = "", at: Column | None = None) -> DataFrame:
+    """Side table of bad lines: time of the run (``at``, by default now), file, stage, error and the line itself."""
     file = F.col("_src_file") if "_src_file" in parsed.columns else F.lit(None).cast("string")
     return parsed.where(F.col("error").isNotNull()).select(
-        F.lit(batch).alias("batch"), F.lit("parse").alias("stage"), file.alias("file"), "error", "value")
+        (F.current_timestamp() if at is None else at).alias("logged_at"), F.lit(batch).alias("batch"), F.lit("parse").alias("stage"), file.alias("file"), "error", "value")
 
 
 def _entries(parsed: DataFrame) -> DataFrame:
