@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,9 +186,9 @@ def links(prints: DataFrame, bits: int = 3, shard_rows: int = 20_000, sample_row
     return prints.select("fp").mapInArrow(shards, "shard long, fp long").groupBy("shard").applyInArrow(within, "a long, b long")
 
 
-def groups(prints: DataFrame, bits: int = 3) -> DataFrame:
-    """(fp, least, root) for each distinct fingerprint of prints(id, fp): its smallest id, and one root for all that links of at most `bits` bits join."""
-    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
+def groups(prints: DataFrame, bits: int = 3, least: Column | None = None) -> DataFrame:
+    """(fp, least, root) for each distinct fingerprint of prints(id, fp, ..): its smallest id, or what the aggregate `least` gives, and one root for all that links of at most `bits` bits join."""
+    distinct = staged(prints.groupBy("fp").agg((F.min("id") if least is None else least).alias("least")), "fingerprints")
     root = stars(links(distinct, bits), "links")
     return distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
@@ -208,12 +208,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id; of rows with the same id and fingerprint, the first by all columns."""
-    marked = with_fingerprint(docs, text_col, "__fp", shingle)
-    of = groups(staged(marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp")), "prints"), bits)
-    kept = of.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("k"))
-    name = lambda i, f: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("null")), f.cast("string"))
-    kept = kept.select(name(F.col("k.least"), F.col("k.fp")).alias("__key"))
-    left = marked.withColumn("__key", name(F.col(id_col), F.col("__fp"))).join(kept, "__key", "left_semi")
+    """docs with one row of each component: the one with the smallest id; of rows with the same id, by the MD5 of the text, then the first by all columns.
+
+    Fingerprints are computed once: rows are found again by id and MD5 of the text, which fix the component. Null or empty texts count
+    as empty, null ids as larger than all. No rows give no rows. Columns of docs may not begin with two underscores.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = docs.withColumn("__key", F.concat_ws("|", F.col(id_col).cast("string"), F.md5(text.cast("binary"))))
+    prints = with_fingerprint(marked.select(F.col(id_col).alias("id"), text.alias("text"), F.col("__key").alias("key")), "text", "fp", shingle).select("id", "key", "fp")
+    of = groups(staged(prints, "prints"), bits, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")))
+    kept = of.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.key").alias("__key"))
+    left = marked.join(kept, "__key", "left_semi")
     whole = F.struct(*[F.col(f.name) if not isinstance(f.dataType, (T.MapType, T.VariantType)) else F.to_json(F.col(f.name)) for f in docs.schema.fields])
     return left.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy(whole))).filter("__n = 1").select(*docs.columns)
