@@ -73,3 +73,29 @@ def test_parts_are_balanced():
     graph = ann.top_rows(x, x, 5, np.arange(x.shape[0]))
     part = ann.balanced_parts(x, graph, 8, rng)
     assert np.bincount(part, minlength=8).max() <= 1.1 * 150 + 1 and np.bincount(part, minlength=8).min() > 0
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_query_uses_graph_parts_and_router_with_its_own_settings(spark, monkeypatch, folder):
+    path = f"/root/testdata/{folder}"
+    if not os.path.isdir(path):
+        pytest.skip("needs the tables")
+    made, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda x, parts, *a: made.append((parts, fit(x, parts, *a))) or made[-1][1])
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    got, want = found(QUERIES["op6_learned_partitions"](spark, path)), plain(rows, lambda i: i % 20 == 0, 20)
+    parts, router = made[0]
+    print(f"{folder}: {len(rows)} vectors, {parts} parts, {router.visits} visits, recall {recall(got, want):.4f}")
+    assert parts == ann.parts_of(len(rows)) > 10
+    assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values()) and recall(got, want) >= 0.9
+
+
+def test_visits_come_from_vectors_that_the_router_was_not_fitted_on(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, fitted, asked = rng.standard_normal((400, 8)), [], []
+    train, scores = ann.train_router, ann.Router.scores
+    monkeypatch.setattr(ann, "train_router", lambda v, *a: fitted.append(v) or train(v, *a))
+    monkeypatch.setattr(ann.Router, "scores", lambda self, v: asked.append(v) or scores(self, v))
+    ann.fit(x, 8)
+    seen = {v.tobytes() for v in fitted[0]}
+    assert asked and not any(v.tobytes() in seen for rows in asked for v in rows)

@@ -2,11 +2,13 @@
 
 A bounded sample gives a graph of nearest neighbours, a balanced partition of that graph (halving along main directions, then moves of vectors to the
 part of most neighbours as room allows), and a softmax classifier of the parts of a vector's neighbours. Every vector is stored in its most probable
-part. A query visits its most probable parts, as many as reached the wanted recall on held-out sample queries. Parts are scanned in blocks.
+part. A query visits its most probable parts, as many as reached the wanted recall between sample vectors that the classifier was not fitted on, and
+at least as many as hold `least_rows` vectors. Parts are scanned in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -109,9 +111,9 @@ def train_router(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, hi
 
 
 def fit(sample: np.ndarray, parts: int, k: int = 20, recall: float = 0.96, neighbours: int = 10, seed: int = 5) -> Router:
-    """Router over a sample; a tenth of it, at most 2000, are the queries that set the visits."""
+    """Router over a sample; a quarter of it is held out, and sets the visits by the neighbours that at most 2000 of these have among the others of it."""
     rng = np.random.default_rng(seed)
-    held = rng.permutation(sample.shape[0])[: min(2000, sample.shape[0] // 10)]
+    held = rng.permutation(sample.shape[0])[: max(2, sample.shape[0] // 4)]
     mask = np.ones(sample.shape[0], bool)
     mask[held] = False
     x = sample[mask]
@@ -121,14 +123,22 @@ def fit(sample: np.ndarray, parts: int, k: int = 20, recall: float = 0.96, neigh
     np.add.at(target, (np.repeat(np.arange(x.shape[0]), neighbours), part[graph].reshape(-1)), 1.0 / (neighbours + 2))
     target[np.arange(x.shape[0]), part] += 2.0 / (neighbours + 2)
     router = train_router(x, target, rng)
-    stored = router.scores(x).argmax(axis=1)
-    near = top_rows(sample[held], x, k)
-    rank = np.argsort(router.ranked(sample[held]), axis=1)
+    y = sample[held]
+    stored = router.scores(y).argmax(axis=1)
+    asked = np.arange(min(2000, y.shape[0]))
+    # of the k nearest in the sample, the held-out quarter has its share
+    near = top_rows(y[asked], y, min(-(-k * y.shape[0] // sample.shape[0]), y.shape[0] - 1), asked)
+    rank = np.argsort(router.ranked(y[asked]), axis=1)
     found = np.sort(np.take_along_axis(rank, stored[near], 1).reshape(-1))
     router.visits = int(found[min(found.size - 1, int(np.ceil(recall * found.size)) - 1)]) + 1
     return router
 
 
+def parts_of(count: int) -> int:
+    """Number of parts: half the square root of the vectors' number, 1 below 64 vectors, at most 256."""
+    return max(1, min(256, math.isqrt(count) // 2)) if count >= 64 else 1
+
+
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v): usable vectors in double precision, one per id, the smallest of those that share an id."""
     v = F.transform(F.col(vec_col), lambda e: e.cast("double"))
@@ -166,13 +176,14 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     return out
 
 
-def search(df: DataFrame, queries_of, k: int = 20, recall: float = 0.96, id_col: str = "vec_id", vec_col: str = "embedding", part_rows: int = 3000, sample_rows: int = 20_000, block_rows: int = 20_000, block_queries: int = 4000) -> DataFrame:
+def search(df: DataFrame, queries_of, k: int = 20, recall: float = 0.96, id_col: str = "vec_id", vec_col: str = "embedding", part_rows: int | None = None, sample_rows: int = 20_000, block_rows: int = 20_000, block_queries: int = 4000, least_rows: int = 500) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows that queries_of(vec_id column) picks, the k nearest found among all other rows by inner product.
 
     Vectors that are null, zero, hold null or non-finite components, or lack an id take no part, nor do those whose size is not the most common one.
     Ties go to the smaller id; of rows with one id the smallest vector counts. A query with fewer than k others gets all of them. No rows give no
     rows. The router is fitted on at most `sample_rows` vectors by hash order, every vector is stored; parts and their queries are scanned in
-    blocks of bounded size. Other columns are not read.
+    blocks of bounded size. There are `parts_of` parts, or one for `part_rows` vectors. The parts that a query visits hold at least `least_rows`
+    vectors, so tables up to that size are searched whole, the larger ones in part. Other columns are not read.
     """
     spark = df.sparkSession
     rows = staged(vectors(df, id_col, vec_col).withColumn("n", F.size("v")), "vectors")
@@ -182,7 +193,7 @@ def search(df: DataFrame, queries_of, k: int = 20, recall: float = 0.96, id_col:
         return spark.createDataFrame([], empty)
     size, count = int(sizes["n"]), int(sizes["count"])
     rows = rows.filter(F.col("n") == size).select("vec_id", "v")
-    parts = max(1, min(256, count // part_rows))
+    parts = max(1, min(256, count // part_rows)) if part_rows else parts_of(count)
     router = None
     if parts > 1:
         drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
@@ -203,8 +214,8 @@ def search(df: DataFrame, queries_of, k: int = 20, recall: float = 0.96, id_col:
             q = matrix(batch.column(1), size)
             ranked = held.value.ranked(q) if held.value else np.zeros((batch.num_rows, 1), np.int64)
             there = np.array([held_rows.get(p, 0) for p in range(parts)])[ranked]
-            # the visits that reach the recall, and further parts until these hold k others
-            use = (np.arange(parts)[None, :] < (held.value.visits if held.value else 1)) | (np.cumsum(there, axis=1) - there <= k)
+            # the visits that reach the recall, and further parts until these hold k others and least_rows
+            use = (np.arange(parts)[None, :] < (held.value.visits if held.value else 1)) | (np.cumsum(there, axis=1) - there <= max(k, least_rows - 1))
             of, at = np.nonzero(use & (there > 0))
             yield pa.RecordBatch.from_arrays([pa.array(ranked[of, at], pa.int32()), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of))], names=["part", "vec_id", "v"])
 
