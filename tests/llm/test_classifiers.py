@@ -81,3 +81,21 @@ def test_odd_rows_and_labels(spark, sf_dir, odd_docs, no_docs):
         assert toxicity.without_toxic(no_docs, lab).collect() == [] and quality.without_poor(no_docs, lab).collect() == []
     assert toxicity.without_toxic(odd_docs, labels.filter("false")).count() == odd_docs.count()
     assert quality.without_poor(odd_docs, labels.filter("false")).count() == odd_docs.count()
+
+
+def test_thresholds_come_from_all_labelled_rows_not_fitted_on(spark, monkeypatch):
+    rng, rows = np.random.default_rng(8), []
+    for i in range(3000):
+        y, lang = int(i % 3 == 0), "rare" if i % 10 == 9 else "en"
+        words = [f"w{rng.integers(400)}" for _ in range(12)] + [f"bad{rng.integers(30)}" if rng.random() < (0.8 if y else 0.15) else f"good{rng.integers(30)}" for _ in range(6)]
+        rows.append((i, " ".join(words), lang, y))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, y int")
+    seen, calibrated = [], toxicity.calibrated
+    monkeypatch.setattr(toxicity, "calibrated", lambda net, bin, y, c, lang, share: seen.append((y, c, lang)) or calibrated(net, bin, y, c, lang, share))
+    model = toxicity.fit(df, df.select("doc_id", F.col("y").alias("toxic")), positives=100, negatives=200)
+    y, c, lang = seen[0]
+    assert c.sum() == 3000 - 240 and c[y == 1].sum() == 1000 - 80 and c[lang == "rare"].sum() > 200
+    assert set(model.by_language) == {"en", "rare"} and 0 < model.threshold < 1
+    out = toxicity.with_scores(df, model).toPandas()
+    hit = (out["score"] >= out["threshold"]).to_numpy()
+    assert (hit == (out["y"] == 1)).mean() > 0.85 and abs(out["score"].mean() - 1 / 3) < 0.05

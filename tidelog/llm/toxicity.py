@@ -1,6 +1,7 @@
 """Convolutional text classifier: hashed word embeddings, filters of several widths, max pooling, trained in numpy.
 
-Fitting uses a bounded sample of labelled documents; scoring runs over every whole text in the tasks. A word's embedding is the sum
+The net is fitted on a bounded sample of labelled documents; calibration and thresholds come from histograms of the scores of all other
+labelled rows. Scoring runs over every whole text in the tasks. A word's embedding is the sum
 of two rows of a fixed-size table, chosen by its hash, so two words are confused only if they share both. The first component starts
 as the log odds of the word's rows between the classes, the others at random.
 """
@@ -23,6 +24,8 @@ from tidelog.llm.decontaminate import WordHashes
 ROWS = 1 << 18
 WIDTHS = (1, 2, 3)
 PAD = max(WIDTHS) - 1
+#: Bins of a histogram for one unit of the logit.
+BINS = 32
 
 
 def table_rows(h: np.ndarray) -> np.ndarray:
@@ -193,51 +196,80 @@ def best_threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> floa
     return float((s[at] + (s[at + 1] if at + 1 < s.size else 0.0)) / 2)
 
 
-def fit_model(docs: list[np.ndarray], y: np.ndarray, languages: list[str | None], share: float, seed: int = 3, dim: int = 8, number: int = 8, epochs: int = 6) -> Model:
-    """Model from word hashes and labels. share: label 1's share among all labelled rows, which the calibration restores.
+def signature(h: np.ndarray) -> bytes:
+    """A text's 12 smallest word hashes; texts that share them count as copies."""
+    return np.unique(h)[:12].tobytes()
 
-    A fifth of the sample is held out of the training for calibration and thresholds. A language's threshold is its best cut, drawn in
-    log odds towards the cut of all languages with the weight of 20 rows of label 1.
-    """
+
+def fit_net(docs: list[np.ndarray], y: np.ndarray, seed: int = 3, dim: int = 8, number: int = 8, epochs: int = 6) -> tuple[Net, set[bytes]]:
+    """(net, signatures it was fitted on) from word hashes and labels of both classes. A fifth of each class is held out, if that leaves both in it."""
     y = y.astype(np.float64)
-    if not 0 < y.sum() < y.size:
-        return Model(None, share)
-    # copies would count a document's chance words again: one document stands for those that share label and smallest word hashes
-    once = list({(label, *np.unique(h)[:12].tolist()): i for i, (h, label) in reversed(list(enumerate(zip(docs, y))))}.values())[::-1]
-    docs, y, languages = [docs[i] for i in once], y[once], [languages[i] for i in once]
+    # copies would count a document's chance words again: one document stands for those that share label and signature
+    once = list({(label, signature(h)): i for i, (h, label) in reversed(list(enumerate(zip(docs, y))))}.values())[::-1]
+    docs, y = [docs[i] for i in once], y[once]
     rng = np.random.default_rng(seed)
     held = np.zeros(y.size, bool)
     for label in (0, 1):
         rows = np.flatnonzero(y == label)
         held[rng.permutation(rows)[: rows.size // 5]] = True
     if not 0 < y[held].sum() < held.sum():
-        held[:] = True  # too few rows to hold any out
-    rows = np.flatnonzero(~held) if not held.all() else np.arange(y.size)
-    own = [docs[i] for i in rows]
-    net = new_net(own, y[rows], dim, number, rng)
-    balance = np.where(y[rows] == 1, 0.5 / max(y[rows].mean(), 1e-9), 0.5 / max(1 - y[rows].mean(), 1e-9))
-    train(net, own, y[rows], balance, rng, max(epochs, min(40, 12_000 // rows.size)))
-    at = np.flatnonzero(held)
-    logits, target = net.logits([docs[i] for i in at]), y[at]
-    weight = np.where(target == 1, share / target.mean(), (1 - share) / (1 - target.mean()))
+        held[:] = False  # too few rows to hold any out
+    docs, y = [docs[i] for i in np.flatnonzero(~held)], y[~held]
+    net = new_net(docs, y, dim, number, rng)
+    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    train(net, docs, y, balance, rng, max(epochs, min(40, 12_000 // y.size)))
+    return net, {signature(h) for h in docs}
+
+
+def bins(logits: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(logits, -40, 40) * BINS).astype(np.int32)
+
+
+def calibrated(net: Net, bin: np.ndarray, target: np.ndarray, count: np.ndarray, languages: np.ndarray, share: float) -> Model:
+    """Model of a net from a histogram: rows of a bin, label and language. share: label 1's share among all labelled rows, which the calibration restores.
+
+    A language's threshold is its best cut, drawn in log odds towards the cut of all languages with the weight of 20 rows of label 1.
+    """
+    logits, target = bin / BINS, target.astype(np.float64)
+    mean = (count * target).sum() / count.sum()
+    weight = count * np.where(target == 1, share / mean, (1 - share) / (1 - mean))
     net.slope, net.offset = calibrate(logits, target, weight)
     score = sigmoid(net.slope * logits + net.offset)
     odds = lambda p: float(np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6))))
     cut = best_threshold(score, target, weight)
     by_language = {}
-    of = np.array([languages[i] or "" for i in at])
-    for lang in np.unique(of):
-        in_lang = of == lang
-        n = target[in_lang].sum()
-        if lang and 0 < n < in_lang.sum():
+    for lang in np.unique(languages):
+        in_lang = languages == lang
+        n = (count * target)[in_lang].sum()
+        if lang and 0 < n < count[in_lang].sum():
             own_cut = best_threshold(score[in_lang], target[in_lang], weight[in_lang])
             by_language[str(lang)] = float(sigmoid(np.array((n * odds(own_cut) + 20 * odds(cut)) / (n + 20))))
     return Model(net, share, cut, by_language)
 
 
+def histogram(docs: DataFrame, labels: DataFrame, net: Net, fitted: set[bytes]) -> DataFrame:
+    """(lang, bin, y, c): rows of docs (doc_id, text, lang) with a label (doc_id, y), but for copies of fitted texts, by language and bin of their logit."""
+    held = docs.sparkSession.sparkContext.broadcast((net, fitted))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (model, known) = WordHashes(), held.value
+        for batch in slices(batches, 256):
+            h = hashes(texts(batch.column(1)))
+            new = [i for i, x in enumerate(h) if signature(x) not in known]
+            if new:
+                at = pa.array(new, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(bins(model.logits([h[i] for i in new])), pa.int32())], names=["doc_id", "lang", "bin"])
+
+    of = T.StructType([docs.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("bin", T.IntegerType())])
+    # texts do not travel: bins meet the labels
+    return docs.mapInArrow(run, of).join(labels.select("doc_id", "y"), "doc_id").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "bin", "y").agg(F.count("*").alias("c"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", positives: int = 3000, negatives: int = 5000, sample_words: int = 12_000_000) -> Model:
-    """Model from at most `positives` and `negatives` labelled documents by hash order, and no more once they hold `sample_words` words.
+    """Model: the net from at most `positives` and `negatives` labelled documents by hash order, and no more once they hold `sample_words` words,
+    calibration and thresholds from all labelled rows that the net was not fitted on.
 
+    A fifth of the sample is not fitted on. Where the rows not fitted on lack a class, the sample calibrates.
     learn: a condition on the column `doc_id` of the labels that may be learnt from. A document with several labels has the largest;
     null labels and ids are left out. No usable labels give scores of 0.
     """
@@ -268,7 +300,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         return Model(None, ones / n)
     words = table["words"].combine_chunks()
     at, flat = words.offsets.to_numpy(), words.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    return fit_model([flat[a:b] for a, b in zip(at[:-1], at[1:])], table["y"].to_numpy(), table["lang"].to_pylist(), ones / n)
+    sample, y, share = [flat[a:b] for a, b in zip(at[:-1], at[1:])], table["y"].to_numpy(), ones / n
+    if not 0 < y.sum() < y.size:
+        return Model(None, share)
+    net, fitted = fit_net(sample, y)
+    usable = src.filter("doc_id is not null")
+    usable = usable.filter(learn) if learn is not None else usable
+    got = histogram(usable, lab, net, fitted).toPandas()
+    bin, target, count, lang = (got[c].to_numpy() for c in ("bin", "y", "c", "lang"))
+    if not 0 < target.sum() < target.size:
+        bin, target, count, lang = bins(net.logits(sample)), y, np.ones(y.size, np.int64), np.array([x or "" for x in table["lang"].to_pylist()])
+    return calibrated(net, bin, target, count, lang, share)
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", score: str = "score", threshold: str = "threshold") -> DataFrame:
