@@ -14,7 +14,7 @@ from ..functions.text import decode_form
 from ..model import COLS, WATCH_GAP_CAP_SECONDS, ColMap, typed
 from .events import coverage
 from .ordered import Ordered
-from .ranking import top_per_group
+from .ranking import summarize, top_per_group
 
 SESSION = ["device_id", "session_id"]
 
@@ -25,25 +25,31 @@ def channel_master(logs: DataFrame, cols: ColMap = COLS) -> DataFrame:
     The counts are taken after cleaning, at the reported grain; summing the distincts of
     raw combinations would only give an upper bound.
     """
-    has = typed(logs, cols).where(qs_mentions(cols.qs, "session_id"))
-    text = lambda key: decode_form(F.coalesce(qs_value(cols.qs, key), F.lit("")))
-    rows = has.select(
-        decode_form(channels.channel_raw(cols.qs, cols.path)).alias("raw_channel"),
-        text("platform").alias("platform"), text("device").alias("device_name"),
-        qs_text(cols.qs, "session_id").alias("s"),
-        qs_text(cols.qs, "device_id").alias("d"),
-    )
+    rows = master_rows(logs, cols)
     per = rows.groupBy("raw_channel", "platform", "device_name").agg(
         F.count(F.lit(1)).alias("requests"), F.count_distinct("s").alias("sessions"), F.count_distinct("d").alias("devices"))
     return per.withColumn("pure_channel", channels.channel_pure("raw_channel", "platform", "device_name"))
 
 
-def pure_rollup(master: DataFrame) -> DataFrame:
-    """Per pure channel: summed measures (distincts as upper bounds) and the number of raw variants."""
-    return master.groupBy("pure_channel").agg(
-        F.sum("requests").alias("requests"), F.sum("sessions").alias("sessions_upper"), F.sum("devices").alias("devices_upper"),
-        F.count_distinct("raw_channel").alias("raw_variants"),
-    )
+def master_rows(logs: DataFrame, cols: ColMap = COLS) -> DataFrame:
+    """The rows that the channel master counts: names as text, device and session."""
+    has = typed(logs, cols).where(qs_mentions(cols.qs, "session_id"))
+    text = lambda key: decode_form(F.coalesce(qs_value(cols.qs, key), F.lit("")))
+    return has.select(
+        decode_form(channels.channel_raw(cols.qs, cols.path)).alias("raw_channel"), text("platform").alias("platform"), text("device").alias("device_name"),
+        qs_text(cols.qs, "session_id").alias("s"), qs_text(cols.qs, "device_id").alias("d"))
+
+
+def pure_rollup(logs: DataFrame, cols: ColMap = COLS) -> DataFrame:
+    """Per pure channel: requests, exact sessions and devices, and the number of raw variants.
+
+    Sessions and devices of raw channels overlap, so their counts cannot be summed. Rows are first counted per raw combination and id, names are cleaned
+    once per group, and each (pure channel, id) pair counts once.
+    """
+    names = ["raw_channel", "platform", "device_name"]
+    per = master_rows(logs, cols).groupBy(*names, "s", "d").agg(F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("pure_channel", channels.channel_pure("raw_channel", "platform", "device_name"))
+    return summarize(per, ["pure_channel"], {"requests": ("sum", F.col("n"))}, {"sessions": "s", "devices": "d", "raw_variants": "raw_channel"}, {}, rows="_groups").drop("_groups")
 
 
 def daypart_top(events: DataFrame, entity: str, n: int) -> DataFrame:
@@ -133,7 +139,7 @@ def bundle(events: DataFrame, n: int, min_sessions: int, min_events: int, logs:
     out = {}
     if logs is not None:
         master = channel_master(logs, cols)
-        out |= {"coverage": coverage(logs, cols), "channel_master": master, "pure_channels": pure_rollup(master)}
+        out |= {"coverage": coverage(logs, cols), "channel_master": master, "pure_channels": pure_rollup(logs, cols)}
     for entity in ("content_label", "channel_name"):
         seq = sequenced(events, entity)
         out[f"daypart_{entity}"] = daypart_top(events, entity, n)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import bands, clock, devices
 from ..functions.text import decode_uri
 from ..model import COLS, ColMap, typed
-from .ranking import counts, exact_percentiles, one_row, percent, with_share
+from ..session import staged
+from . import histogram
+from .ranking import counts, one_row, percent, with_share
 
 
 def num(c: str) -> Column:
@@ -70,17 +72,30 @@ def anomalies(rows: DataFrame, error_share: float = 0.1, android_from: int = 16)
 
 
 def global_summary(rows: DataFrame) -> DataFrame:
-    """Requests, users, paths, bytes, throughput (mean, exact median), errors and cache in one row."""
-    n, status = F.count(F.lit(1)), F.col("statusCode").try_cast("long")
-    facts = rows.agg(
-        n.alias("total_requests"), F.sum(num("totalBytes")).cast("long").alias("total_bytes"), F.round(F.avg(num("totalBytes")), 6).alias("avg_bytes"),
-        F.round(F.avg(num("throughput")), 6).alias("avg_throughput"), F.count_if(status >= 400).alias("error_requests"),
-        percent(F.count_if(status >= 400), n).alias("error_rate_pct"),
-        percent(F.count_if(F.upper("cacheStatus").contains("HIT")), n).alias("cache_hit_pct"),
-        F.round(F.avg(num("timeToFirstByte")), 6).alias("avg_ttfb"), F.round(F.avg(num("downloadTime")), 6).alias("avg_download_time"))
-    distincts = rows.agg(F.count_distinct("pseudo_user").alias("pseudo_users"), F.count_distinct("reqPath").alias("unique_paths"))
-    values = rows.select(num("throughput").alias("throughput"))
-    return one_row(facts, distincts, exact_percentiles(values, "throughput", {"median_throughput": 0.5}))
+    """Requests, users, paths, bytes, throughput (mean, exact median), errors and cache in one row.
+
+    Each row gives one entry per user, path and throughput; entries are counted per value and written once, and sums, distincts and the median come from that table.
+    """
+    status, n = F.col("statusCode").try_cast("long"), F.col("n")
+    means = {"bytes": num("totalBytes"), "throughput": num("throughput"), "ttfb": num("timeToFirstByte"), "download_time": num("downloadTime")}
+    facts = {
+        "error_requests": F.coalesce((status >= 400).cast("long"), F.lit(0)), "hits": F.coalesce(F.upper("cacheStatus").contains("HIT").cast("long"), F.lit(0)),
+        **{f"{m}_sum": c for m, c in means.items()}, **{f"{m}_n": c.isNotNull().cast("long") for m, c in means.items()}}
+    speed = num("throughput")
+    entries = F.array(*[F.struct(F.lit(i).alias("f"), t.cast("string").alias("t"), v.cast("double").alias("v")) for i, (t, v) in enumerate((
+        (F.col("pseudo_user"), F.lit(None)), (F.col("reqPath"), F.lit(None)), (F.lit(None), speed)))])
+    long = rows.select(*[c.alias(m) for m, c in facts.items()], F.inline(entries))
+    per = staged(long.groupBy("f", "t", "v").agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in facts]), "entries")
+    once = lambda c: F.when(F.col("f") == 0, F.col(c))  # noqa: E731  the entries of the first field cover every row once
+    one = per.agg(
+        F.sum(once("n")).alias("rows"), *[F.sum(once(m)).alias(m) for m in facts], F.count_if((F.col("f") == 0) & F.col("t").isNotNull()).alias("pseudo_users"),
+        F.count_if((F.col("f") == 1) & F.col("t").isNotNull()).alias("unique_paths"))
+    median = histogram.profile(per.where((F.col("f") == 2) & F.col("v").isNotNull()).select("v", "n"), [], {"median_throughput": 0.5}).select("median_throughput")
+    mean = lambda m: F.round(F.col(f"{m}_sum") / F.col(f"{m}_n"), 6).alias(f"avg_{m}")
+    return one_row(one, median).select(
+        F.coalesce("rows", F.lit(0)).alias("total_requests"), F.col("bytes_sum").cast("long").alias("total_bytes"), mean("bytes"), mean("throughput"), "error_requests",
+        percent(F.col("error_requests"), F.col("rows")).alias("error_rate_pct"), percent(F.col("hits"), F.col("rows")).alias("cache_hit_pct"),
+        mean("ttfb"), mean("download_time"), "pseudo_users", "unique_paths", "median_throughput")
 
 
 def top_states(rows: DataFrame, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tidelog", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -38,3 +38,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder, for staged tables and stream state."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written once below the shared folder and read again: several readers share one computation, and lost executors repeat none of it."""
+    path, schema = run_folder(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

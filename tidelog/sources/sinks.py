@@ -16,7 +16,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none."""
     try:
         return spark.read.parquet(path)
     except AnalysisException:
@@ -25,7 +26,7 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 def append_new_dates(report: DataFrame, path: str, date: str) -> DataFrame:
     """Add only the dates not yet in the report table, each written whole or not at all; returns what was selected."""
-    old = _existing(report.sparkSession, path)
+    old = existing(report.sparkSession, path)
     new = report if old is None else report.join(old.select(date).distinct(), date, "left_anti")
     replace_dates(new, path, date)
     return new
