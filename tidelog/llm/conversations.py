@@ -62,9 +62,10 @@ def marked(rows: DataFrame) -> DataFrame:
     folded = rows.select("conv_id", only("turn"), only("role"), only("text"), kept.cast("long").alias("n")).groupBy("conv_id", "turn", "role", "text").agg(F.sum("n").alias("copies"))
     # length-prefixed, so different (conversation, role, text) never give one key
     key = F.sha2(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.lit(":"), F.length("role"), F.lit(":"), "role", "text"), 256)
-    folded = staged(folded.withColumn("key", key), "conversation-rows")
+    mark = F.concat(F.lit("lost "), F.coalesce(F.col("conv_id").cast("string"), F.lit("-")))  # not one null key for all marks
+    folded = staged(folded.withColumn("key", F.coalesce(key, mark)), "conversation-rows")
     when = F.struct(F.col("turn").isNotNull().alias("some"), F.col("turn").alias("turn"))
-    seen = folded.filter("key is not null").groupBy("key").agg(F.min(when).alias("earliest"), F.count("*").alias("turns")).filter("turns > 1").select("key", "earliest")
+    seen = folded.filter("copies > 0").groupBy("key").agg(F.min(when).alias("earliest"), F.count("*").alias("turns")).filter("turns > 1").select("key", "earliest")
     earliest: Column = F.col("earliest").isNull() | ((F.col("earliest.some") == F.col("turn").isNotNull()) & F.col("earliest.turn").eqNullSafe(F.col("turn")))
     return folded.join(seen, "key", "left").select("conv_id", "turn", "role", "text", "copies", earliest.alias("first"))
 
