@@ -10,107 +10,103 @@ from pyspark.sql import functions as F
 from ..model import as_text
 
 # ---- fixed values: device code -> model name ----------------------------
-DEVICE_NAMES = """
-AFTSS = Amazon Fire TV Stick (2nd Gen / Lite)
-AFTSSS = Amazon Fire TV Stick 4K
-AFTMM = Amazon Fire TV Cube
-AFTKA = Amazon Fire TV Stick 4K Max
-AFTKM = Amazon Fire TV Stick (3rd Gen)
-AFTBU001 = Amazon Fire TV Stick 4K Max
-AFTBTX4 = Amazon Fire TV Stick 4K Max (2023)
-AFTDE70DFC = Amazon Fire TV device (unidentified model)
-AFTMA08C15 = Amazon Fire TV device
-AFTMAN001 = Amazon Fire TV device
-AFTMV00 = Amazon Fire TV device
-AFTNE4E43F = Amazon Fire TV device
-AFTPR001 = Amazon Fire TV device
-AFTLE = Amazon Fire TV Stick Lite
-AFTGRO001 = Amazon Fire TV device
-AFTCA002 = Amazon Fire TV device
-AFTGAZL = Amazon Fire TV device
-AFTBOXE1 = Amazon Fire TV Stick (box edition)
-AFTKRT = Amazon Fire TV Stick (Krypton)
-AFTMA475B1 = Amazon Fire TV device
-AFTANNA0 = Amazon Fire TV device
-AFTJMST12 = Amazon Fire TV device
-AFTEAMR311 = Amazon Fire TV device
-AFTCL001 = Amazon Fire TV device
-AFTHA004 = Amazon Fire TV device
-AFTA = Amazon Fire TV (original / 1st gen)
-AFTDEC012E = Amazon Fire TV device
-AFTEU011 = Amazon Fire TV (European)
-AFTKADE001 = Amazon Fire TV device
-Chromecast = Google Chromecast
-Chromecast HD = Google Chromecast with Google TV (HD)
-Chromecast with Google TV = Google Chromecast with Google TV (4K)
-BRAVIA = Sony Bravia TV
-BRAVIA 4K VH2 = Sony Bravia 4K VH2 series
-BRAVIA 4K VH21 = Sony Bravia 4K VH21 series
-BRAVIA 4K VH22 = Sony Bravia 4K VH22 series
-BRAVIA 4K AE2 = Sony Bravia 4K AE2 series
-BRAVIA 4K GB = Sony Bravia 4K GB series
-BRAVIA 4K UR2 = Sony Bravia 4K UR2 series
-BRAVIA 4K UR3 = Sony Bravia 4K UR3 series
-BRAVIA 2015 = Sony Bravia (2015 model)
-BRAVIA VU1 = Sony Bravia VU1 series
-BRAVIA VU2 = Sony Bravia VU2 series
-BRAVIA VU3 = Sony Bravia VU3 series
-BRAVIA VU31 = Sony Bravia VU31 series
-BRAVIA BF1 = Sony Bravia BF1 series
-BRAVIA VH1 = Sony Bravia VH1 series
-MiTV-AXSO0 = Xiaomi Mi TV Stick (4K)
-MiTV-AXSO1 = Xiaomi Mi TV Stick (1080p)
-MiTV-AXSO2 = Xiaomi Mi TV Stick (4K)
-MiTV-MOOQ0 = Xiaomi Mi Box S
-MiTV-MOOQ1 = Xiaomi Mi Box S (2nd Gen)
-MiTV-MOOQ3 = Xiaomi Mi TV Stick (2023)
-MiTV-AXFR2 = Xiaomi Mi TV Stick (4K)
-MiTV-AESP0 = Xiaomi Mi TV P1
-MiTV-MOSR1 = Xiaomi Mi TV Stick (4K)
-MiTV-MZTU0 = Xiaomi Mi TV Stick (unidentified)
-MIBOX4 = Xiaomi Mi Box 4
-realme Smart TV = Realme Smart TV
-realme Smart TV 4K = Realme Smart TV 4K
-Oneplus Dosa IN = OnePlus TV (Dosa series India)
-VU 4K = VU 4K TV
-VU 4K Google TV = VU 4K Google TV
-VU TV FFM = VU TV (FFM series)
-haierATV = Haier Android TV
-haierATVnippori = Haier Android TV (Nippori series)
-Tata Sky Binge Plus = Tata Sky Binge+ set-top box
-XStream Smart Box 001 = Airtel Xstream Smart Box
-Xstream4 AR = Airtel Xstream 4K
-XstreamIPTV1-VT = Airtel Xstream IPTV (VT)
-XstreamIPTV2-SM = Airtel Xstream IPTV (SM)
-NSTV = Nokia Streaming Box
-NSTV FF = Nokia Streaming Box (FF series)
-CloudTV518 = Cloud TV (generic Android TV box)
-CloudTV521 = Cloud TV (generic Android TV box)
-Cloud TV = Cloud TV (generic)
-AndroidTV = Generic Android TV device
-Smart TV = Generic Smart TV
-Smart TV Pro = Generic Smart TV Pro
-SmartTV 4K = Generic 4K Smart TV
-SmartTV 4K FFM = Generic 4K Smart TV (FFM series)
-Toshiba TV = Toshiba Android TV
-Toshiba TV with MIC = Toshiba Android TV (with microphone)
-Philips Smart 4K TV = Philips 4K Android TV
-Philips UHD Android TV = Philips UHD Android TV
-Panasonic TV = Panasonic Android TV
-HiSmartTV A4 = Hisense Smart TV (A4 series)
-HiSmart TV = Hisense Smart TV
-LLOYD 4K SMART TV = Lloyd 4K Android TV
-LLOYD 2K SMART TV = Lloyd 2K Android TV
-"""
-
-
-def device_name_rows() -> list[tuple[str, str]]:
-    return [tuple(line.split(" = ", 1)) for line in DEVICE_NAMES.strip().splitlines()]
+DEVICE_NAMES = (
+    ("AFTSS", "Amazon Fire TV Stick (2nd Gen / Lite)"),
+    ("AFTSSS", "Amazon Fire TV Stick 4K"),
+    ("AFTMM", "Amazon Fire TV Cube"),
+    ("AFTKA", "Amazon Fire TV Stick 4K Max"),
+    ("AFTKM", "Amazon Fire TV Stick (3rd Gen)"),
+    ("AFTBU001", "Amazon Fire TV Stick 4K Max"),
+    ("AFTBTX4", "Amazon Fire TV Stick 4K Max (2023)"),
+    ("AFTDE70DFC", "Amazon Fire TV device (unidentified model)"),
+    ("AFTMA08C15", "Amazon Fire TV device"),
+    ("AFTMAN001", "Amazon Fire TV device"),
+    ("AFTMV00", "Amazon Fire TV device"),
+    ("AFTNE4E43F", "Amazon Fire TV device"),
+    ("AFTPR001", "Amazon Fire TV device"),
+    ("AFTLE", "Amazon Fire TV Stick Lite"),
+    ("AFTGRO001", "Amazon Fire TV device"),
+    ("AFTCA002", "Amazon Fire TV device"),
+    ("AFTGAZL", "Amazon Fire TV device"),
+    ("AFTBOXE1", "Amazon Fire TV Stick (box edition)"),
+    ("AFTKRT", "Amazon Fire TV Stick (Krypton)"),
+    ("AFTMA475B1", "Amazon Fire TV device"),
+    ("AFTANNA0", "Amazon Fire TV device"),
+    ("AFTJMST12", "Amazon Fire TV device"),
+    ("AFTEAMR311", "Amazon Fire TV device"),
+    ("AFTCL001", "Amazon Fire TV device"),
+    ("AFTHA004", "Amazon Fire TV device"),
+    ("AFTA", "Amazon Fire TV (original / 1st gen)"),
+    ("AFTDEC012E", "Amazon Fire TV device"),
+    ("AFTEU011", "Amazon Fire TV (European)"),
+    ("AFTKADE001", "Amazon Fire TV device"),
+    ("Chromecast", "Google Chromecast"),
+    ("Chromecast HD", "Google Chromecast with Google TV (HD)"),
+    ("Chromecast with Google TV", "Google Chromecast with Google TV (4K)"),
+    ("BRAVIA", "Sony Bravia TV"),
+    ("BRAVIA 4K VH2", "Sony Bravia 4K VH2 series"),
+    ("BRAVIA 4K VH21", "Sony Bravia 4K VH21 series"),
+    ("BRAVIA 4K VH22", "Sony Bravia 4K VH22 series"),
+    ("BRAVIA 4K AE2", "Sony Bravia 4K AE2 series"),
+    ("BRAVIA 4K GB", "Sony Bravia 4K GB series"),
+    ("BRAVIA 4K UR2", "Sony Bravia 4K UR2 series"),
+    ("BRAVIA 4K UR3", "Sony Bravia 4K UR3 series"),
+    ("BRAVIA 2015", "Sony Bravia (2015 model)"),
+    ("BRAVIA VU1", "Sony Bravia VU1 series"),
+    ("BRAVIA VU2", "Sony Bravia VU2 series"),
+    ("BRAVIA VU3", "Sony Bravia VU3 series"),
+    ("BRAVIA VU31", "Sony Bravia VU31 series"),
+    ("BRAVIA BF1", "Sony Bravia BF1 series"),
+    ("BRAVIA VH1", "Sony Bravia VH1 series"),
+    ("MiTV-AXSO0", "Xiaomi Mi TV Stick (4K)"),
+    ("MiTV-AXSO1", "Xiaomi Mi TV Stick (1080p)"),
+    ("MiTV-AXSO2", "Xiaomi Mi TV Stick (4K)"),
+    ("MiTV-MOOQ0", "Xiaomi Mi Box S"),
+    ("MiTV-MOOQ1", "Xiaomi Mi Box S (2nd Gen)"),
+    ("MiTV-MOOQ3", "Xiaomi Mi TV Stick (2023)"),
+    ("MiTV-AXFR2", "Xiaomi Mi TV Stick (4K)"),
+    ("MiTV-AESP0", "Xiaomi Mi TV P1"),
+    ("MiTV-MOSR1", "Xiaomi Mi TV Stick (4K)"),
+    ("MiTV-MZTU0", "Xiaomi Mi TV Stick (unidentified)"),
+    ("MIBOX4", "Xiaomi Mi Box 4"),
+    ("realme Smart TV", "Realme Smart TV"),
+    ("realme Smart TV 4K", "Realme Smart TV 4K"),
+    ("Oneplus Dosa IN", "OnePlus TV (Dosa series India)"),
+    ("VU 4K", "VU 4K TV"),
+    ("VU 4K Google TV", "VU 4K Google TV"),
+    ("VU TV FFM", "VU TV (FFM series)"),
+    ("haierATV", "Haier Android TV"),
+    ("haierATVnippori", "Haier Android TV (Nippori series)"),
+    ("Tata Sky Binge Plus", "Tata Sky Binge+ set-top box"),
+    ("XStream Smart Box 001", "Airtel Xstream Smart Box"),
+    ("Xstream4 AR", "Airtel Xstream 4K"),
+    ("XstreamIPTV1-VT", "Airtel Xstream IPTV (VT)"),
+    ("XstreamIPTV2-SM", "Airtel Xstream IPTV (SM)"),
+    ("NSTV", "Nokia Streaming Box"),
+    ("NSTV FF", "Nokia Streaming Box (FF series)"),
+    ("CloudTV518", "Cloud TV (generic Android TV box)"),
+    ("CloudTV521", "Cloud TV (generic Android TV box)"),
+    ("Cloud TV", "Cloud TV (generic)"),
+    ("AndroidTV", "Generic Android TV device"),
+    ("Smart TV", "Generic Smart TV"),
+    ("Smart TV Pro", "Generic Smart TV Pro"),
+    ("SmartTV 4K", "Generic 4K Smart TV"),
+    ("SmartTV 4K FFM", "Generic 4K Smart TV (FFM series)"),
+    ("Toshiba TV", "Toshiba Android TV"),
+    ("Toshiba TV with MIC", "Toshiba Android TV (with microphone)"),
+    ("Philips Smart 4K TV", "Philips 4K Android TV"),
+    ("Philips UHD Android TV", "Philips UHD Android TV"),
+    ("Panasonic TV", "Panasonic Android TV"),
+    ("HiSmartTV A4", "Hisense Smart TV (A4 series)"),
+    ("HiSmart TV", "Hisense Smart TV"),
+    ("LLOYD 4K SMART TV", "Lloyd 4K Android TV"),
+    ("LLOYD 2K SMART TV", "Lloyd 2K Android TV"),
+)
 
 
 def with_device_name(df: DataFrame, code: str, out: str = "device_model") -> DataFrame:
     """Add the model name of a device code; the name table is a fixed 90 rows."""
-    names = df.sparkSession.createDataFrame(device_name_rows(), "_code string, _name string")
+    names = df.sparkSession.createDataFrame(list(DEVICE_NAMES), "_code string, _name string")
     plain = F.replace(as_text(code), F.lit("%20"), F.lit(" "))
     joined = df.withColumn("_plain", plain).join(F.broadcast(names), F.col("_plain") == F.col("_code"), "left")
     c = F.col("_plain")
@@ -158,28 +154,28 @@ def device_type(ua: Column | str, platform: Column | str, wide: bool = False) ->
     )
 
 
-# Families in order, each with its keywords; a keyword with & needs both parts.
+# Families in order, each with its keyword groups; an agent must hold all keywords of a group.
 FAMILIES = (
-    ("Fire TV", ("android&aft",)),
-    ("Android TV", ("android tv",)),
-    ("Android Mobile", ("android",)),
-    ("iOS", ("iphone", "ipad", "ios")),
-    ("Sony TV", ("bravia",)),
-    ("Samsung TV", ("tizen", "samsungbrowser")),
-    ("LG TV", ("webos", "lg")),
-    ("Windows", ("windows",)),
-    ("Mac", ("mac os", "macintosh")),
-    ("Linux", ("linux",)),
+    ("Fire TV", (("android", "aft"),)),
+    ("Android TV", (("android tv",),)),
+    ("Android Mobile", (("android",),)),
+    ("iOS", (("iphone",), ("ipad",), ("ios",))),
+    ("Sony TV", (("bravia",),)),
+    ("Samsung TV", (("tizen",), ("samsungbrowser",))),
+    ("LG TV", (("webos",), ("lg",))),
+    ("Windows", (("windows",),)),
+    ("Mac", (("mac os",), ("macintosh",))),
+    ("Linux", (("linux",),)),
 )
 
 
 def device_family(ua: Column | str) -> Column:
     """Eleven families used as a facet."""
     u = _low(ua)
-    holds = lambda word: functools.reduce(lambda a, b: a & b, [u.contains(p) for p in word.split("&")])
+    holds = lambda group: functools.reduce(lambda a, b: a & b, map(u.contains, group))
     out = F.lit("Other")
-    for label, words in reversed(FAMILIES):
-        out = F.when(functools.reduce(lambda a, b: a | b, map(holds, words)), label).otherwise(out)
+    for label, groups in reversed(FAMILIES):
+        out = F.when(functools.reduce(lambda a, b: a | b, map(holds, groups)), label).otherwise(out)
     return out
 
 
@@ -191,7 +187,7 @@ def tv_class(ua: Column | str, app_marker: str = "yourappname") -> Column:
     return _chain(
         _first_hit(
             u,
-            [
+            [  # fixed values
                 ("Apple TV", ("apple tv", "applecoremedia")),
                 ("Amazon Fire TV", ("aft",)),
                 ("Sony TV", ("bravia", "sony")),
@@ -230,7 +226,7 @@ def platform_tag(ua: Column | str) -> Column:
     app_name = F.nullif(F.regexp_extract(raw, r"^([^\s/]+)", 1), F.lit(""))
     tail = _first_hit(
         u,
-        [
+        [  # fixed values
             ("Tool: FFmpeg", ("lavf", "ffmpeg")),
             ("Tool: curl", ("curl",)),
             ("Service: AdFlag", ("adflag",)),
@@ -306,7 +302,7 @@ def is_bot(ua: Column | str) -> Column:
 def os_family(ua: Column | str) -> Column:
     return _first_hit(
         _low(ua),
-        [
+        [  # fixed values
             ("Android", ("android",)),
             ("iOS", ("iphone", "ipad", "applecoremedia")),
             ("Windows", ("windows",)),

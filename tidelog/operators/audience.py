@@ -60,7 +60,9 @@ def daypart_top(events: DataFrame, entity: str, n: int) -> DataFrame:
 
 
 def sequenced(events: DataFrame, entity: str, tie: list[str] = ("event_id",), lag: bool = False, **tuning) -> DataFrame:
-    """Events per device and session with next time and next (or previous) entity."""
+    """Events per device and session with next time and next (or previous) entity; a stored base (`base.read_base`) has them already."""
+    if f"next_{entity}" in events.columns:
+        return events.withColumns({"entity_name": F.col(entity), "next_entity_name": F.col(f"next_{entity}"), "prev_entity_name": F.col(f"prev_{entity}")})
     rows = events.withColumn("entity_name", F.col(entity))
     step = Ordered.by(rows, SESSION, ["req_ts", *tie], **tuning)
     return (step.neighbours(lag=["entity_name"]) if lag else step.neighbours(lead=["req_ts", "entity_name"])).rows()
@@ -134,8 +136,15 @@ def session_switches(seq_lag: DataFrame) -> DataFrame:
     return per.groupBy(bucket.alias("switch_bucket")).agg(F.count(F.lit(1)).alias("sessions"))
 
 
+def session_paths(stored: DataFrame, cap: int = WATCH_GAP_CAP_SECONDS) -> DataFrame:
+    """Per device and session of a stored base: events, channels, switches and capped watch seconds; no shuffle by that key."""
+    return stored.groupBy(*SESSION).agg(
+        F.count(F.lit(1)).alias("events"), F.size(F.collect_set("channel_name")).cast("long").alias("channels"),
+        F.count_if(F.col("next_channel_name") != F.col("channel_name")).alias("switches"), F.sum(F.least(F.greatest(F.col("next_req_ts") - F.col("req_ts"), F.lit(0)), F.lit(cap))).alias("watch_sec"))
+
+
 def bundle(events: DataFrame, n: int, min_sessions: int, min_events: int, logs: DataFrame | None = None, cols: ColMap = COLS) -> dict[str, DataFrame]:
-    """All behaviour sections over one base frame; write ``events`` first, then run them. With ``logs`` also the coverage and the channel master."""
+    """All behaviour sections over one base frame, best a stored one (`base.read_base`): nothing is then ordered again. With ``logs`` also the coverage and the channel master."""
     out = {}
     if logs is not None:
         master = channel_master(logs, cols)

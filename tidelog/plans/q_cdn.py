@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..model import typed
-from ..operators import cdn, compare, events, location, users
+from ..operators import agents, cdn, compare, events, location, users
 from .q_functions import BRAND_SQL, BTYPE_SQL, TAG_SQL
 from .q_sets import GEO_SQL, geo
-from .registry import TOKENS, day, logs, on_behaviour, on_logs, query, table, x
+from .registry import TOKENS, day, logs, on_behaviour, on_logs, query, table, values, x
 
 _R = f"""r AS (SELECT *, cacheStatus = '1' AS hit, regexp_matches(statusCode, '^[45]') AS err, {TAG_SQL} AS tag, NULLIF(regexp_extract(UA, 'Android (\\d+)', 1), '') AS android,
  req_ts - req_ts % 3600 AS hour_ts, TRY_CAST(statusCode AS BIGINT) AS st, CAST(throughput AS DOUBLE) AS tp, CAST(totalBytes AS DOUBLE) AS tb, CAST(timeToFirstByte AS DOUBLE) AS ttfb,
@@ -141,6 +141,29 @@ def _(spark, d):
     return cdn.agents(logs(spark, d))
 
 
+_PATTERNS = "patterns(place, kind, keyword, label, version) AS " + values(tuple((i, *row) for i, row in enumerate(agents.PATTERNS)))
+
+
+def _agent_part(kind):
+    return f"""SELECT UA, arg_min(label, place) AS {kind}, NULLIF(CASE WHEN arg_min(version, place) <> '' THEN regexp_extract(lower(UA), arg_min(version, place), 1) END, '') AS {kind}_version
+ FROM (SELECT DISTINCT UA FROM logs WHERE UA IS NOT NULL), patterns WHERE kind = '{kind}' AND contains(lower(UA), keyword) GROUP BY UA"""
+
+
+_AGENTS = f"""agents AS (SELECT UA, {', '.join(f"coalesce({k}, 'Other') AS {k}, {k}_version" for k in agents.KINDS)}, regexp_matches(lower(UA), 'bot|crawl|spider|slurp|curl|wget|python-requests|scanner') AS is_bot
+ FROM (SELECT DISTINCT UA FROM logs WHERE UA IS NOT NULL) {' '.join(f'LEFT JOIN ({_agent_part(k)}) USING (UA)' for k in agents.KINDS)})"""
+
+
+@query("udf_2_agent_versions", on_logs("SELECT * FROM agents", _PATTERNS, _AGENTS))
+def _(spark, d):
+    return agents.parsed(logs(spark, d), "UA")
+
+
+@query("udf_2_system_shares", on_logs("""SELECT coalesce(device, 'Missing') AS device, coalesce(os, 'Missing') AS os, os_version, coalesce(browser, 'Missing') AS browser, coalesce(is_bot, false) AS is_bot, COUNT(*) AS requests,
+ COUNT(DISTINCT logs.UA) AS agents FROM logs LEFT JOIN agents ON logs.UA = agents.UA GROUP BY 1, 2, 3, 4, 5""", _PATTERNS, _AGENTS))
+def _(spark, d):
+    return agents.shares(logs(spark, d), "UA")
+
+
 @query("agg_56_agent_report", on_logs("""SELECT v AS total_volume, n AS agents, brands, ROUND(l[1] / v, 4) AS top_brand_share, ROUND(list_sum(l[1:3]) / v, 4) AS top3_share, ROUND(list_sum(l[1:10]) / v, 4) AS top10_share,
  ROUND(ctv / v, 4) AS ctv_share, ROUND(mob / v, 4) AS mobile_share, ROUND(desk / v, 4) AS desktop_share, ROUND(o / v, 4) AS top_os_share, ROUND(bot / v, 4) AS bot_share, ROUND(unk / v, 4) AS unknown_share,
  CASE WHEN l[1] / v > 0.5 THEN 'extreme dependency' WHEN l[1] / v > 0.35 THEN 'high dependency' END AS dependency_flag, list_sum(l[1:3]) / v > 0.7 AS concentrated, bot / v > 0.05 AS high_bot_traffic, unk / v > 0.05 AS data_quality_issue

@@ -9,8 +9,8 @@ from ..model import typed
 from ..operators import filters
 from .registry import day, logs, on_logs, query, table, x
 
-_HAS = lambda word: " AND ".join(f"contains(lower(UA), '{p}')" for p in word.split("&"))
-FAMILY_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(map(_HAS, words))} THEN '{label}'" for label, words in FAMILIES) + " ELSE 'Other' END"
+_HAS = lambda group: " AND ".join(f"contains(lower(UA), '{p}')" for p in group)
+FAMILY_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(map(_HAS, groups))} THEN '{label}'" for label, groups in FAMILIES) + " ELSE 'Other' END"
 
 
 @query("fil_1_multi_column_filter", """SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem

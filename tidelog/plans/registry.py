@@ -129,18 +129,24 @@ def day(ts: str = "req_ts", offset: int = 0) -> str:
 
 
 TOKENS = "|".join(PLATFORM_TOKENS)
-# Agent keyword and device type, in order, after the TV test.
-AGENT_TYPES = (("android", "Android"), ("iphone", "iPhone"), ("ipad", "iPad"), ("windows", "Windows"), ("mac", "Mac"))
-# the type at the place of the first keyword that the agent holds; the TV test goes first
+# Device type of the first keyword, in this order, that an agent holds. A TV sign goes before them all.
+AGENT_TYPES = ((1, "android", "Android"), (2, "iphone", "iPhone"), (3, "ipad", "iPad"), (4, "windows", "Windows"), (5, "mac", "Mac"))
+# The hour from which a part of the day counts.
+DAYPARTS = ((0, "Night"), (5, "Morning"), (12, "Afternoon"), (17, "Evening"), (22, "Night"))
+
+
+def values(rows: tuple) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows) + ")"
+
+
 DEVICE_TYPE_SQL = (
-    "list_extract([" + ", ".join(f"'{t}'" for t in ("Smart TV", *(t for _, t in AGENT_TYPES), "Other")) + "], list_position(["
-    + "contains(lower(coalesce({p}, '')), 'android_tv') OR regexp_matches(lower(coalesce(UA, '')), '{tv}'), "
-    + ", ".join(f"contains(lower(coalesce(UA, '')), '{k}')" for k, _ in AGENT_TYPES) + ", true], true))"
+    "IF(contains(lower(coalesce({p}, '')), 'android_tv') OR regexp_matches(lower(coalesce(UA, '')), '{tv}'), 'Smart TV', coalesce((SELECT arg_min(kind, place) FROM "
+    + values(AGENT_TYPES) + " AS agent_types(place, keyword, kind) WHERE contains(lower(coalesce(UA, '')), keyword)), 'Other'))"
 )
 TV = r"smarttv|hismarttv|bravia|\btv\b"
 TV_WIDE = r"smarttv|hismarttv|bravia|cloudtv|xstream|tata sky binge|\btv\b"
 HOUR = "((req_ts % 86400) // 3600)"
-DAYPART_SQL = f"list_extract(['Night', 'Morning', 'Afternoon', 'Evening', 'Night'], 1 + len(list_filter([5, 12, 17, 22], lambda h: h <= {HOUR})))"
+DAYPART_SQL = f"(SELECT arg_max(label, from_hour) FROM {values(DAYPARTS)} AS dayparts(from_hour, label) WHERE from_hour <= {HOUR})"
 STREAM_ID = r"NULLIF(regexp_extract(reqPath, '(vglive-sk-\d+)', 1), '')"
 CHANNEL_RAW = f"COALESCE({x('channel')}, {x('channel_name')}, {STREAM_ID}, 'Unknown')"
 
