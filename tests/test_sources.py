@@ -132,3 +132,75 @@ def test_identical_files(spark, tmp_path):
         (tmp_path / "f" / name).write_bytes(body)
     rows = inventory.identical_files(spark, str(tmp_path / "f")).collect()
     assert sorted(r.path[-1] for r in rows) == ["a", "b"] and {r.copies for r in rows} == {2}
+
+
+def test_lookup_lake_has_filters_and_reads_little(spark, tmp_path):
+    path = str(tmp_path / "lookup")
+    rows = spark.range(0, 60_000, 1, 4).select(
+        F.lit("2024-01-01").alias("day"), F.concat(F.lit("d"), F.xxhash64("id") % 700).alias("device_id"), F.concat(F.lit("s"), F.xxhash64("id") % 6000).alias("session_id"), F.col("id").alias("v"))
+    lake.write_lookup(rows, path, "day", "device_id", ["session_id"], values=700, block_bytes=16_384)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    kept, groups = 0, 0
+    for f in spark.read.parquet(path).inputFiles():
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f), conf))
+        for block in reader.getFooter().getBlocks():
+            groups += 1
+            kept += sum(1 for c in block.getColumns() if c.getPath().toDotString() == "session_id" and c.getBloomFilterOffset() > 0)
+        reader.close()
+    assert groups > 20 and kept == groups
+
+    def scanned(condition):
+        df = spark.read.parquet(path).where(condition)
+        n = df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        node = leaves.apply(0)
+        plan = node.executedPlan().collectLeaves().apply(0) if "QueryStage" in node.getClass().getName() else node
+        return len(n), plan.metrics().apply("numOutputRows").value()
+
+    some = spark.read.parquet(path).first()
+    n, read = scanned(F.col("device_id") == some["device_id"])
+    assert n == rows.where(F.col("device_id") == some["device_id"]).count() and read < 0.05 * 60_000
+    n, read = scanned(F.col("session_id") == some["session_id"])
+    assert n == rows.where(F.col("session_id") == some["session_id"]).count() and read < 0.5 * 60_000
+    assert scanned(F.col("device_id") == "d-none")[1] <= 0.05 * 60_000
+
+
+def test_footer_stats_read_no_rows(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    spark.range(100).selectExpr("id % 3 AS day", "id AS req_ts").write.partitionBy("day").parquet(path)
+    df = lake.footer_stats(spark, path, ["day"], "req_ts")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(req_ts), MAX(req_ts)]" in plan and "PushedGroupBy: [day]" in plan
+    assert sorted(map(tuple, df.collect())) == [(0, 34, 0, 99), (1, 33, 1, 97), (2, 33, 2, 98)]
+    assert tuple(lake.footer_stats(spark, path, column="req_ts").first()) == (100, 0, 99)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"  # set for that read only
+
+
+def test_object_store_by_another_scheme(spark, tmp_path):
+    spark.range(10).selectExpr("id", "id % 2 AS day").write.partitionBy("day").parquet(str(tmp_path / "lake"))
+    options = {"fs.viewfs.mounttable.elsewhere.link./lake": f"file://{tmp_path}/lake"}
+    df = lake.read_object_store(spark, "viewfs://elsewhere/lake", "http://store.invalid", options=options, where=F.col("day") == 1)
+    assert sorted(r.id for r in df.collect()) == [1, 3, 5, 7, 9]
+    assert spark._jsc.hadoopConfiguration().get("fs.s3a.endpoint") is None  # options of one read stay with it
+    with pytest.raises(Exception):
+        lake.read_object_store(spark, "viewfs://unmounted/lake").count()
+
+
+def test_columns_per_file(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, "x")], "a long, b string").coalesce(1).write.parquet(str(tmp_path / "t" / "one"))
+    spark.createDataFrame([(3,)], "a long").coalesce(1).write.parquet(str(tmp_path / "t" / "two"))
+    got = sorted((r.rows, r.columns, r.filled) for r in inventory.file_columns(spark, str(tmp_path / "t")).collect())
+    assert got == [(1, ["a"], 1), (2, ["a", "b"], 2)]
+
+
+def test_all_rollups_in_one_pass(spark):
+    from tidelog.operators import summary
+
+    rows = [("2024-01-01", "IN", r, c, ch, t, f"d{i % 5}", f"s{i % 7}", i + 1) for i, (r, c, ch, t) in enumerate([("r1", "c1", "x", "tv"), ("r1", "c2", "y", "tv"), ("r2", "c1", "x", None), (None, "c1", "x", "web")] * 3)]
+    df = spark.createDataFrame(rows, "event_date string, country string, region string, city string, channel_name string, device_type string, device_id string, session_id string, requests long")
+    got = summary.all_rollups(df)
+    for name, (keys, fields) in summary.GRAINS.items():
+        cols = [*keys, "requests", *fields]
+        assert sorted(map(str, got.where(F.col("grain") == name).select(*cols).collect())) == sorted(map(str, summary.named_rollup(df, name).select(*cols).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3

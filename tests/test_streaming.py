@@ -1,9 +1,13 @@
 """Incremental jobs: new files only, replay-safe sinks, stream results equal to batch."""
 
+import gzip
 import json
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidelog.sources.published import Published
 from tidelog.streaming import jobs
 
 
@@ -65,15 +69,82 @@ def with_files(df):
 
 
 def test_summary_refresh_touches_only_changed_dates(spark, tmp_path):
-    src, summ, snap = (str(tmp_path / n) for n in ("in", "summary", "snap"))
+    src, root = (str(tmp_path / n) for n in ("in", "tables"))
     requests(spark, [("10", "i", "u", "200", "1"), ("86410", "i", "u", "200", "1")]).coalesce(1).write.parquet(src)
-    run = lambda: sorted(str(r.event_date) for r in jobs.refresh_summary(spark, with_files(spark.read.parquet(src)), summ, snap).collect())
+    run = lambda: sorted(str(r.event_date) for r in jobs.refresh_summary(spark, with_files(spark.read.parquet(src)), root).collect())
+    summed = lambda: {str(r.event_date): r.n for r in Published(spark, root).read("summary").groupBy("event_date").agg(F.sum("requests").alias("n")).collect()}
     assert run() == ["1970-01-01", "1970-01-02"]
     assert run() == []
     requests(spark, [("86500", "i", "u", "200", "1")]).coalesce(1).write.mode("append").parquet(src)
     assert run() == ["1970-01-02"]
-    got = {str(r.event_date): r.n for r in spark.read.parquet(summ).groupBy("event_date").agg(F.sum("requests").alias("n")).collect()}
-    assert got == {"1970-01-01": 1, "1970-01-02": 2}
+    assert summed() == {"1970-01-01": 1, "1970-01-02": 2}
+
+
+def test_refresh_that_dies_changes_nothing_and_is_repeated(spark, tmp_path, monkeypatch):
+    src, root = (str(tmp_path / n) for n in ("in", "tables"))
+    day = lambda t: requests(spark, [(str(t), "i", "u", "200", "1")])
+    day(10).write.parquet(f"{src}/a")
+    day(86410).write.parquet(f"{src}/b")
+    run = lambda: sorted(str(r.event_date) for r in jobs.refresh_summary(spark, with_files(spark.read.option("recursiveFileLookup", True).parquet(src)), root).collect())
+    run()
+    before = sorted(map(tuple, Published(spark, root).read("summary").collect()))
+    shutil.rmtree(f"{src}/b")  # a date loses its only file
+    day(20).write.parquet(f"{src}/c")
+    for step in ("stage", "_swap"):
+        with monkeypatch.context() as m:
+            m.setattr(Published, step, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                run()
+        assert sorted(map(tuple, Published(spark, root).read("summary").collect())) == before
+    assert run() == ["1970-01-01", "1970-01-02"]  # the lost date is still known
+    left = Published(spark, root).read("summary").groupBy("event_date").agg(F.sum("requests").alias("n")).collect()
+    assert [(str(r.event_date), r.n) for r in left] == [("1970-01-01", 2)]
+
+
+def test_published_partitions_and_vacuum(spark, tmp_path):
+    store = Published(spark, str(tmp_path / "t"))
+    assert store.read("r") is None
+    rows = lambda *r: spark.createDataFrame(list(r), "day string, v long")
+    store.replace(rows(("a", 1), ("b", 2), ("c", 3)), "r", "day")
+    old = store.read("r")
+    store.commit({"r": {**store.stage(rows(("b", 20)), "r", "day"), "day=c": None}, "s": store.stage(rows(("x", 9)), "s")})
+    assert sorted(map(tuple, store.read("r").select("day", "v").collect())) == [("a", 1), ("b", 20)]
+    assert sorted(map(tuple, old.select("day", "v").collect())) == [("a", 1), ("b", 2), ("c", 3)]  # a reader of the old state is not disturbed
+    assert store.read("s").first()["v"] == 9
+    store.stage(rows(("z", 5)), "r", "day")
+    assert store.vacuum() == 0 and store.vacuum(older_than_ms=-1) == 3
+    assert sorted(map(tuple, store.read("r").select("day", "v").collect())) == [("a", 1), ("b", 20)] and store.read("s").count() == 1
+
+
+def test_ledger_skips_known_content(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    run = lambda state: jobs.run_to_end(jobs.ingest_new_files(
+        spark, str(src), f"{out}/{state}/rows", f"{out}/{state}/bad", f"{out}/{state}/state", ["a"], files_per_batch=2, ledger=f"{out}/ledger"))
+    got = lambda state: sorted(r.a for r in spark.read.parquet(f"{out}/{state}/rows").collect())
+    write_lines(src, "1.json", [{"a": 1}, {"a": 2}])
+    write_lines(src, "2.json", [{"a": 1}, {"a": 2}])  # twins in one batch
+    write_lines(src, "3.json", [{"a": 1}, {"a": 1}])  # equal lines cancel in no fold
+    run("x")
+    assert got("x") == ["1", "1", "1", "2"]
+    write_lines(src, "4.json", [{"a": 2}, {"a": 1}])
+    write_lines(src, "5.json", [{"a": 5}])
+    (src / "6.json.gz").write_bytes(gzip.compress((src / "1.json").read_bytes()))
+    run("x")
+    assert got("x") == ["1", "1", "1", "2", "5"]
+    write_lines(src, "7.json", [{"a": 7}])
+    run("y")  # a fresh checkpoint sees every file again, the ledger only one new content
+    assert got("y") == ["7"]
+    assert spark.read.parquet(f"{out}/ledger").count() == 4
+
+
+def test_replayed_batch_decides_as_before(spark, tmp_path):
+    lines = spark.createDataFrame([("f1", "a"), ("f1", "b"), ("f2", "c")], "_src_file string, value string")
+    rows, seen = jobs._unseen(lines, str(tmp_path / "ledger"), "run", 0)
+    assert rows.count() == 3
+    seen.write.partitionBy("run", "batch").parquet(str(tmp_path / "ledger"))
+    again, _ = jobs._unseen(lines, str(tmp_path / "ledger"), "run", 0)
+    later, _ = jobs._unseen(lines, str(tmp_path / "ledger"), "run", 1)
+    assert again.count() == 3 and later.count() == 0
 
 
 def test_report_rebuilds_touched_dates(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,33 @@ def named_rollup(summary: DataFrame, name: str) -> DataFrame:
     return rollup(summary, keys, distinct)
 
 
+GRAINS = {name: spec for name, spec in ROLLUPS.items() if name != "quality"}
+
+
+def all_rollups(summary: DataFrame) -> DataFrame:
+    """All daily rollups in one pass, in long form: grain, the keys (NULL where a grain lacks them), requests and distincts (NULL for fields that are no measure of the grain).
+
+    Each row gives one entry per field. Entries are folded per (all keys, field, value) first; the grouping sets then repeat those, one row per value and grain,
+    and a last aggregate counts them. No key holds its values in one task.
+    """
+    fields = list(dict.fromkeys(c for _, d in GRAINS.values() for c in d.values()))
+    keys = list(dict.fromkeys(k for ks, _ in GRAINS.values() for k in ks))
+    names = {c: n for _, d in GRAINS.values() for n, c in d.items()}
+    entries = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in fields])
+    per = summary.select(*keys, "requests", F.inline(entries)).groupBy(*keys, "field", "value").agg(F.sum("requests").alias("requests"))
+    sets = [[F.col(k) for k in (*ks, "field", "value")] for ks, _ in GRAINS.values()]
+    used = [F.grouping(k).alias(f"_no_{k}") for k in keys]
+    wide = per.groupingSets(sets, *keys, "field", "value").agg(F.sum("requests").alias("requests"), *used)
+    # a grain is known by the keys that it lacks
+    lacks = lambda ks: [F.col(f"_no_{k}") == (0 if k in ks else 1) for k in keys]
+    grain = F.coalesce(*[F.when(reduce(lambda a, b: a & b, lacks(ks)), F.lit(name)) for name, (ks, _) in GRAINS.items()])
+    out = wide.select(grain.alias("grain"), *keys, "field", "value", "requests").groupBy("grain", *keys).agg(
+        F.sum(F.when(F.col("field") == fields[0], F.col("requests"))).alias("requests"),
+        *[F.count_if((F.col("field") == c) & F.col("value").isNotNull()).alias(f"_n_{c}") for c in fields])
+    has = {c: [g for g, (_, d) in GRAINS.items() if c in d.values()] for c in fields}
+    return out.select("grain", *keys, "requests", *[F.when(F.col("grain").isin(has[c]), F.col(f"_n_{c}")).alias(names[c]) for c in fields])
+
+
 def available_dates(summary: DataFrame) -> DataFrame:
     return summary.agg(
         F.min("event_date").alias("min_date"), F.max("event_date").alias("max_date"), F.count(F.lit(1)).alias("summary_rows"),

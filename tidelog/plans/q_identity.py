@@ -192,6 +192,19 @@ for _name in summary.ROLLUPS:
     _register_rollup(_name)
 
 
+def _grains_sql():
+    keys = list(dict.fromkeys(k for ks, _ in summary.GRAINS.values() for k in ks))
+    names = {n: c for _, f in summary.GRAINS.values() for n, c in f.items()}
+    one = lambda g, ks, f: f"""SELECT '{g}' AS grain, {', '.join(k if k in ks else f'NULL AS {k}' for k in keys)}, CAST(SUM(requests) AS BIGINT) AS requests,
+ {', '.join(f'COUNT(DISTINCT {c}) AS {n}' if n in f else f'NULL AS {n}' for n, c in names.items())} FROM dd GROUP BY {', '.join(ks)}"""
+    return " UNION ALL ".join(one(g, ks, f) for g, (ks, f) in summary.GRAINS.items())
+
+
+@query("agg_29_all_rollups", on_logs(_grains_sql(), _DD))
+def _(spark, d):
+    return summary.all_rollups(_summary(spark, d))
+
+
 @query("agg_30_available_dates", on_logs("""SELECT MIN(event_date) AS min_date, MAX(event_date) AS max_date, COUNT(*) AS summary_rows, COUNT(DISTINCT event_date) AS active_days,
  CAST(SUM(requests) AS BIGINT) AS raw_requests FROM dd""", _DD))
 def _(spark, d):

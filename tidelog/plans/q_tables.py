@@ -6,14 +6,26 @@ from ..functions import clock
 from ..model import typed
 from ..operators import events, matrix
 from ..session import run_folder
+from ..functions.querystring import qs_value
 from ..sources import inventory, lake, sinks
+from ..sources.published import Published
 from ..streaming import jobs
-from .registry import LOG_COLUMNS, day, logs, on_behaviour, on_logs, query, table
+from .registry import LOG_COLUMNS, day, logs, on_behaviour, on_logs, query, table, written_lake, x
 
 TEXT = [c for c in LOG_COLUMNS if c != "event_id"]
 _IST = day(offset=19800)
 
 
+def _copy(spark, source, target):
+    """Copy a folder's files under new names."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    fs = hadoop.Path(source).getFileSystem(conf)
+    fs.mkdirs(hadoop.Path(target))
+    for status in fs.listStatus(hadoop.Path(source)):
+        if status.getPath().getName().startswith("part"):
+            hadoop.FileUtil.copy(fs, status.getPath(), fs, hadoop.Path(f"{target}/copy-{status.getPath().getName()}"), False, conf)
+
+
 def _stage_lines(spark, d, folder):
     """Log lines as gzip JSON files, one folder per run."""
     rows = logs(spark, d).select(F.to_json(F.struct("event_id", *TEXT)).alias("value"))
@@ -85,9 +97,9 @@ def _(spark, d):
     rows = logs(spark, d)
     moved = lambda days: rows.withColumn("reqTimeSec", (F.col("reqTimeSec").cast("long") + 86400 * days).cast("string"))
     third = lambda df, i: df.where(F.col("event_id") % 3 == i)
-    put = lambda df, name: df.coalesce(1).write.mode("overwrite").parquet(f"{f}/in/part={name}")
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{f}/in/part={name}")
     meta = [F.col(f"_metadata.{n}").alias(n) for n in ("file_path", "file_size", "file_modification_time")]
-    refresh = lambda: jobs.refresh_summary(spark, spark.read.parquet(f"{f}/in").select("*", *meta), f"{f}/summary", f"{f}/snapshot")
+    refresh = lambda: jobs.refresh_summary(spark, spark.read.parquet(f"{f}/in").select("*", *meta), f"{f}/tables")
     put(third(rows, 0).unionByName(third(rows, 2)), "untouched")
     put(third(moved(40), 1), "replaced")
     put(third(moved(80), 2), "deleted")
@@ -96,7 +108,31 @@ def _(spark, d):
     sinks.drop_dates(spark, f"{f}/in", "part", ["deleted"])
     refresh()
     refresh()  # nothing is stale now
-    return spark.read.parquet(f"{f}/summary").groupBy("event_date").agg(F.sum("requests").alias("requests"))
+    return Published(spark, f"{f}/tables").read("summary").groupBy("event_date").agg(F.sum("requests").alias("requests"))
+
+
+@query("snk_3_published_dates", on_logs(f"SELECT {day()} AS date, COUNT(*) * CASE WHEN {day()} = DATE '2024-01-02' THEN 10 ELSE 1 END AS requests FROM t WHERE {day()} <> DATE '2024-01-03' GROUP BY {day()}"))
+def _(spark, d):
+    store = Published(spark, run_folder(spark, "published"))
+    report = matrix.activity_by_date(typed(logs(spark, d)))
+    store.replace(report, "report", "date")
+    again = report.where(F.col("date") == F.lit("2024-01-02").cast("date")).withColumn("requests", F.col("requests") * 10)
+    store.stage(again.withColumn("requests", F.lit(-1)), "report", "date")  # a job that died before its commit leaves no trace
+    store.commit({"report": {**store.stage(again, "report", "date"), "date=2024-01-03": None}})
+    return store.read("report").select("date", "requests")
+
+
+@query("str_3_content_ledger", on_logs("SELECT CAST(event_id AS VARCHAR) AS event_id, reqTimeSec FROM logs"))
+def _(spark, d):
+    f = run_folder(spark, "ledger")
+    lines = logs(spark, d).select(F.to_json(F.struct("event_id", *TEXT)).alias("value"))
+    lines.write.option("compression", "gzip").text(f"{f}/in/first")
+    run = lambda: jobs.run_to_end(jobs.ingest_new_files(
+        spark, f"{f}/in", f"{f}/rows", f"{f}/bad", f"{f}/state", ["event_id", "reqTimeSec"], files_per_batch=3, ledger=f"{f}/ledger"))
+    run()
+    _copy(spark, f"{f}/in/first", f"{f}/in/renamed")
+    run()  # files under new names add nothing
+    return spark.read.parquet(f"{f}/rows").select("event_id", "reqTimeSec")
 
 
 @query("str_6_stream_hourly_counts", on_logs("""SELECT req_ts - req_ts % 3600 AS hour_ts, COUNT(*) AS requests, CAST(SUM(CAST(totalBytes AS BIGINT)) AS BIGINT) AS bytes,
@@ -221,15 +257,74 @@ def _(spark, d):
     return lake.read_lake(spark, f).groupBy("log_date").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("set_9_identical_files", "SELECT 2 AS copies, COUNT(*) AS files FROM (SELECT 1 FROM range(2))")
+@query("set_9_identical_files", "SELECT 2 AS copies, 2 * COUNT(DISTINCT o_orderpriority) AS files FROM orders")
 def _(spark, d):
     f = run_folder(spark, "same")
     for name in ("a", "b"):
-        table(spark, d, "orders").coalesce(1).write.parquet(f"{f}/{name}")
-    table(spark, d, "customer").coalesce(1).write.parquet(f"{f}/c")
+        rows = table(spark, d, "orders").repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
+        rows.write.partitionBy("o_orderpriority").parquet(f"{f}/{name}")
+    table(spark, d, "customer").write.parquet(f"{f}/c")
     return inventory.identical_files(spark, f, "*.parquet").groupBy(F.col("copies").cast("int").alias("copies")).agg(F.count(F.lit(1)).alias("files"))
 
 
+# look-ups, footers and remote stores
+def _lookup_lake(spark, d):
+    f = run_folder(spark, "lookup")
+    rows = typed(logs(spark, d)).withColumns({"day": clock.day_date("req_ts"), **{k: qs_value("queryStr", k) for k in ("device_id", "session_id")}})
+    lake.write_lookup(rows, f, "day", "device_id", ["session_id"], values=5000)
+    return f
+
+
+@query("bhv_1_point_lookup", on_logs(f"SELECT event_id, req_ts, {x('session_id')} AS session_id FROM t WHERE {x('device_id')} = 'd7'"))
+def _(spark, d):
+    return spark.read.parquet(_lookup_lake(spark, d)).where("device_id = 'd7'").select("event_id", "req_ts", "session_id")
+
+
+@query("fil_13_session_lookup", on_logs(f"SELECT event_id, req_ts, {x('device_id')} AS device_id FROM t WHERE {x('session_id')} = 's11-2'"))
+def _(spark, d):
+    return spark.read.parquet(_lookup_lake(spark, d)).where("session_id = 's11-2'").select("event_id", "req_ts", "device_id")
+
+
+@query("inv_5_rows_per_day_from_footers", on_logs(f"SELECT {day()} AS day, COUNT(*) AS rows, MIN(req_ts) AS min_req_ts, MAX(req_ts) AS max_req_ts FROM t GROUP BY 1"))
+def _(spark, d):
+    return lake.footer_stats(spark, _lookup_lake(spark, d), ["day"], "req_ts")
+
+
+@query("inv_4_time_range_from_footers", on_logs("SELECT COUNT(*) AS rows, MIN(req_ts) AS min_req_ts, MAX(req_ts) AS max_req_ts FROM t"))
+def _(spark, d):
+    return lake.footer_stats(spark, _lookup_lake(spark, d), column="req_ts")
+
+
+@query("inv_1_columns_per_file", "SELECT 2 AS files, array_to_string(list_sort(['c_custkey', 'c_name', 'c_nationkey']), ',') AS columns, COUNT(*) AS rows FROM customer UNION ALL SELECT 1, 's_acctbal,s_suppkey', COUNT(*) FROM supplier")
+def _(spark, d):
+    f = run_folder(spark, "drift")
+    halves = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    for i in range(2):
+        halves.where(F.col("c_custkey") % 2 == i).coalesce(1).write.parquet(f"{f}/c{i}")
+    table(spark, d, "supplier").select("s_suppkey", "s_acctbal").coalesce(1).write.parquet(f"{f}/s")
+    per = inventory.file_columns(spark, f)
+    return per.groupBy(F.array_join("columns", ",").alias("columns")).agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("rows").alias("rows"))
+
+
+@query("inv_7_real_files_starting_on", on_logs(f"""SELECT name, {day('ts')} = DATE '2024-01-02' AS utc_match, {day('ts', 19800)} = DATE '2024-01-02' AS ist_match FROM (
+ SELECT reqHost AS name, arg_min(req_ts, event_id) AS ts FROM t GROUP BY 1) WHERE {day('ts')} = DATE '2024-01-02' OR {day('ts', 19800)} = DATE '2024-01-02'"""))
+def _(spark, d):
+    f = run_folder(spark, "hosts")
+    logs(spark, d).repartition("reqHost").sortWithinPartitions("reqHost", "event_id").write.partitionBy("reqHost").parquet(f)
+    hit = inventory.files_starting_on(inventory.scanned_files(spark.read.parquet(f)), "2024-01-02", "file_row")
+    return hit.select(F.regexp_extract("file_path", "reqHost=([^/]+)/", 1).alias("name"), "utc_match", "ist_match")
+
+
+@query("src_4_object_store", on_logs(f"SELECT event_id, cliIP FROM t WHERE {day()} BETWEEN DATE '2024-01-02' AND DATE '2024-01-03'"))
+def _(spark, d):
+    # a scheme that only Hadoop's readers know, mapped to the written lake: no store is reachable here, the reader's options are the same
+    f = written_lake(spark, d)
+    mount = f"store{f.rsplit('-', 1)[-1]}"
+    target = f if ":" in f else f"file://{f}"
+    options = {f"fs.viewfs.mounttable.{mount}.link./lake": target}
+    return lake.read_object_store(spark, f"viewfs://{mount}/lake", "http://store.invalid", options=options, where=lake.lake_days("2024-01-02", "2024-01-03")).select("event_id", "cliIP")
+
+
 @query("bhv_7_materialised_slice", on_behaviour("""SELECT device_type, COUNT(*) AS requests, COUNT(DISTINCT session_id) AS sessions FROM b GROUP BY 1"""))
 def _(spark, d):
     f = run_folder(spark, "slice")

@@ -18,6 +18,26 @@ def file_inventory(df: DataFrame) -> DataFrame:
     return df.select(*meta).groupBy("file_path", "file_size", "file_modification_time").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def scanned_files(df: DataFrame) -> DataFrame:
+    """df with file_path and file_row, the place of a row in its Parquet file, from the scan's own metadata."""
+    return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("file_row"))
+
+
+def file_columns(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """(file_path, file_size, file_modification_time, rows, columns, filled) per file: rows and the names of the columns that hold a value, by one scan of the merged schema.
+
+    Files that lack a column and files where it is NULL throughout look alike here; `footers` tells them apart.
+    """
+    df = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(path)
+    meta = [F.col(f"_metadata.{n}").alias(f"_{n}") for n in ("file_path", "file_size", "file_modification_time")]
+    per = df.select("*", *meta).groupBy("_file_path", "_file_size", "_file_modification_time").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    names = F.filter(F.array(*[F.when(F.col(f"`{c}`") > 0, F.lit(c)) for c in df.columns]), lambda x: x.isNotNull())
+    return per.select(
+        F.col("_file_path").alias("file_path"), F.col("_file_size").alias("file_size"), F.col("_file_modification_time").alias("file_modification_time"),
+        F.col("_rows").alias("rows"), F.array_sort(names).alias("columns"), F.size(names).alias("filled"))
+
+
 def inventory_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """new, changed, unchanged or missing per file, from two inventories."""
     side = lambda df, s: df.select("file_path", F.struct("file_size", "file_modification_time").alias(s))
@@ -66,25 +86,6 @@ def footers(files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(read, "path string, rows long, column string, type string")
 
 
-def content_hashes(files: DataFrame, chunk: int = 8 * 1024 * 1024) -> DataFrame:
-    """(path, sha256) per file, read in chunks, so file size does not bound memory."""
-
-    def read(batches: Iterator) -> Iterator:
-        import hashlib
-
-        import pandas as pd
-
-        for batch in batches:
-            for path in batch["path"]:
-                digest = hashlib.sha256()
-                with _open(path) as f:
-                    while data := f.read(chunk):
-                        digest.update(data)
-                yield pd.DataFrame([(path, digest.hexdigest())], columns=["path", "sha256"])
-
-    return files.select("path").mapInPandas(read, "path string, sha256 string")
-
-
 def schema_drift(footer_rows: DataFrame) -> DataFrame:
     """Per column: files that have it, files that lack it, the first type and the number of types."""
     total = footer_rows.agg(F.count_distinct("path")).scalar()
@@ -118,7 +119,7 @@ def partition_date_check(lake: DataFrame, cols: ColMap = COLS) -> DataFrame:
 
 
 def files_starting_on(df: DataFrame, date: str, position: str, cols: ColMap = COLS) -> DataFrame:
-    """Files whose first record falls on a date, in UTC and in IST. ``position`` orders rows in a file."""
+    """Files whose first record falls on a date, in UTC and in IST. ``position`` orders rows in a file; `scanned_files` gives it for a scan."""
     first = df.groupBy("file_path").agg(F.min(F.struct(position, cols.ts))[cols.ts].alias(cols.ts))
     first = typed(first, cols)
     target = F.lit(date).cast("date")
@@ -128,9 +129,10 @@ def files_starting_on(df: DataFrame, date: str, position: str, cols: ColMap = CO
 
 
 def identical_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Groups of byte-identical files: only files whose size occurs more than once are hashed."""
+    """Groups of byte-identical files: only files whose size occurs more than once are read and hashed. The listing has one row per file."""
     listing = list_files(spark, path, pattern)
-    same_size = listing.groupBy("length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("length")
-    hashed = content_hashes(listing.join(same_size, "length", "left_semi"))
+    same_size = [r[0] for r in listing.groupBy("length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("length").collect()]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    hashed = files.where(F.col("length").isin(same_size)).select("path", F.sha2("content", 256).alias("sha256"))
     group = hashed.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return hashed.join(group, "sha256")

@@ -16,13 +16,16 @@ def read_flat(spark: SparkSession, *paths: str, merge: bool = True) -> DataFrame
     return spark.read.option("mergeSchema", merge).option("recursiveFileLookup", True).parquet(*paths)
 
 
-def read_lake(spark: SparkSession, root: str, where: Column | None = None, merge: bool = False, partitions: StructType | None = None) -> DataFrame:
+def read_lake(
+    spark: SparkSession, root: str, where: Column | None = None, merge: bool = False, partitions: StructType | None = None, options: dict[str, str] | None = None
+) -> DataFrame:
     """Hive-partitioned lake; predicates on partition columns prune folders before any of their files is opened.
 
     ``merge`` unites the schemas of all files first, which opens every footer; without it one file gives the schema.
     ``partitions`` fixes the types of partition columns, which are otherwise inferred ('01' becomes the number 1).
+    ``options`` reach the file system of this read alone, on the driver and in the tasks.
     """
-    reader = spark.read.option("basePath", root).option("mergeSchema", merge)
+    reader = spark.read.options(**(options or {})).option("basePath", root).option("mergeSchema", merge)
     df = reader.parquet(root)
     if partitions is not None:
         given = set(partitions.names)
@@ -56,12 +59,15 @@ def read_any(spark: SparkSession, *paths: str) -> DataFrame:
     return union_sources(*frames)
 
 
-def read_object_store(spark: SparkSession, root: str, endpoint: str, path_style: bool = True) -> DataFrame:
-    """Lake on an S3-compatible store; credentials come from the cluster's own configuration."""
-    conf = spark._jsc.hadoopConfiguration()
-    conf.set("fs.s3a.endpoint", endpoint)
-    conf.set("fs.s3a.path.style.access", str(path_style).lower())
-    return read_lake(spark, root)
+def read_object_store(
+    spark: SparkSession, root: str, endpoint: str | None = None, path_style: bool = True, options: dict[str, str] | None = None, where: Column | None = None
+) -> DataFrame:
+    """Lake on a remote store, by any Hadoop scheme; credentials come from the cluster's own configuration.
+
+    Endpoint and addressing are options of this read (S3-compatible stores), so two reads may use two stores; ``options`` holds what other schemes need.
+    """
+    own = {} if endpoint is None else {"fs.s3a.endpoint": endpoint, "fs.s3a.path.style.access": str(path_style).lower()}
+    return read_lake(spark, root, where, options={**own, **(options or {})})
 
 
 def read_csv(spark: SparkSession, *paths: str) -> DataFrame:
@@ -118,6 +124,34 @@ def build_day_lake(logs: DataFrame, path: str, cols: ColMap = COLS, replace: boo
     write_partitioned(with_partition_text(logs, cols).drop("req_ts"), path, ["year", "month", "day"], [cols.ts], replace=replace)
 
 
+def write_lookup(df: DataFrame, path: str, by: str, key: str, also: list[str] = (), values: int = 1_000_000, block_bytes: int = 64 * 1024 * 1024, codec: str = "zstd") -> None:
+    """Lake by ``by`` for point look-ups: rows lie in order of ``key`` within a file, and ``key`` and the columns in ``also`` have Bloom filters per row group.
+
+    A look-up by key opens the row groups whose range holds it; one by another column those whose filter does. ``values`` is the expected number of
+    distinct values in a row group and sets the filters' size.
+    """
+    writer = df.hint("rebalance", by).sortWithinPartitions(by, key).write.partitionBy(by).option("compression", codec).option("parquet.block.size", block_bytes)
+    for c in (key, *also):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", values)
+    for c in also:  # the writer leaves a filter out where a dictionary holds all values, which high-cardinality ids gain nothing from
+        writer = writer.option(f"parquet.enable.dictionary#{c}", "false")
+    writer.mode("overwrite").parquet(path)
+
+
+def footer_stats(spark: SparkSession, path: str, by: list[str] = (), column: str | None = None) -> DataFrame:
+    """Rows, and minimum and maximum of a number or date column, per partition, from Parquet footers alone: no data page is read.
+
+    The columnar source with aggregate pushdown is set for this read only, in a session of its own that shares everything else.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    aggs = [F.count(F.lit(1)).alias("rows")] + ([F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}")] if column else [])
+    rows = own.read.parquet(path)
+    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+
+
 def optimize(df: DataFrame, time: str, path: str, partitions: int | None = None, block_bytes: int = 256 * 1024 * 1024) -> None:
     """Distinct rows in time order with large row groups, so time filters skip row groups."""
     out = df.distinct()

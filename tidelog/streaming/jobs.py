@@ -10,14 +10,15 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..functions import clock
 from ..model import COLS, ColMap, typed
 from ..operators import summary
 from ..operators.users import with_pseudo_user
 from ..sources import raw_json
-from ..sources.sinks import drop_dates, replace_dates
+from ..session import staged
+from ..sources.published import Published
+from ..sources.sinks import existing, replace_dates
 
 SUMMARY_VERSION = 1
 MAX_AGE_DAYS = 7
@@ -27,13 +28,42 @@ def run_to_end(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
+def content_digests(lines: DataFrame, file: str = "_src_file") -> DataFrame:
+    """(file, digest, lines) per file: its number of lines and two order-free folds of their 64-bit hashes, all in Spark.
+
+    A copy under another name, or packed anew, has the same digest; a file of any size is folded map-side. Equal lines in another order count as the same content.
+    """
+    h = F.xxhash64("value")
+    per = lines.groupBy(file).agg(
+        F.count(F.lit(1)).alias("lines"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("x"), F.sum(F.xxhash64(h, F.lit(2)).cast("decimal(38,0)")).alias("s"))
+    return per.select(file, F.concat_ws(":", F.col("lines").cast("string"), F.hex("x"), F.col("s").cast("string")).alias("digest"), "lines")
+
+
+def _unseen(lines: DataFrame, ledger: str, run: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """Lines of files whose content neither the ledger nor an earlier name in this batch holds, and the ledger rows of those files.
+
+    Ledger rows of this very batch do not count, so a replay decides as the first try did. The files of a batch are at most ``files_per_batch``.
+    """
+    spark = lines.sparkSession
+    found = staged(content_digests(lines), "digests")
+    first = found.groupBy("digest").agg(F.min("_src_file").alias("_src_file"), F.first("lines").alias("lines"))
+    known = existing(spark, ledger)
+    if known is not None:
+        known = known.where(~((F.col("run") == run) & (F.col("batch") == batch_id))).select("digest")
+        first = first.join(known.distinct(), "digest", "left_anti")
+    first = staged(first, "unseen")
+    rows = first.select("digest", F.col("_src_file").alias("file"), "lines", F.lit(run).alias("run"), F.lit(batch_id).cast("long").alias("batch"))
+    return lines.join(F.broadcast(first.select("_src_file")), "_src_file", "left_semi"), rows
+
+
 def ingest_new_files(
-    spark: SparkSession, source: str, table: str, errors: str, checkpoint: str, columns: list[str], files_per_batch: int = 2000
+    spark: SparkSession, source: str, table: str, errors: str, checkpoint: str, columns: list[str], files_per_batch: int = 2000, ledger: str | None = None
 ) -> StreamingQuery:
     """Process files not seen before: good rows to ``table``, bad lines to ``errors``.
 
     Both sinks are partitioned by batch id and overwrite only that partition, so a batch
-    replayed after a failure does not duplicate rows.
+    replayed after a failure does not duplicate rows. With ``ledger``, a table of content digests, a file
+    whose content was processed before, under whatever name, adds nothing; the ledger is written last.
     """
     lines = (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(source)
@@ -42,17 +72,24 @@ def ingest_new_files(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # one task per unsplittable file reads; the parse runs on an even spread
-        tasks = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        own = batch.sparkSession
+        tasks = int(own.conf.get("spark.sql.shuffle.partitions"))
+        seen = None
+        if ledger is not None:
+            run = own.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+            batch, seen = _unseen(batch, ledger, run, batch_id)
         parsed = raw_json.parse(raw_json.spread(batch, tasks)).withColumn("batch", F.lit(batch_id))
         # two sinks read it; a lost block is parsed again from the files of this batch
         parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
         sinks = [
-            (raw_json.rows_as_text(parsed, columns, keep_source=True).withColumn("batch", F.lit(batch_id)), table),
-            (raw_json.error_rows(parsed, str(batch_id)).withColumn("batch", F.lit(batch_id)), errors),
+            (raw_json.rows_as_text(parsed, columns, keep_source=True).withColumn("batch", F.lit(batch_id)), table, ["batch"]),
+            (raw_json.error_rows(parsed, str(batch_id)).withColumn("batch", F.lit(batch_id)), errors, ["batch"]),
         ]
+        if seen is not None:
+            sinks.append((seen, ledger, ["run", "batch"]))
         try:
-            for df, path in sinks:
-                df.write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+            for df, path, by in sinks:
+                df.write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
         finally:
             parsed.unpersist()
 
@@ -125,13 +162,6 @@ def report_new_rows(
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 FILE_KEYS = ["file_path", "file_size", "file_modification_time"]
 
 
@@ -142,18 +172,19 @@ def valid_snapshot(snapshot: DataFrame, params: str, now: Column) -> DataFrame:
         & (F.col("built_at") >= now - F.expr(f"INTERVAL {MAX_AGE_DAYS} DAYS")))
 
 
-def refresh_summary(spark: SparkSession, logs: DataFrame, summary_path: str, snapshot_path: str, cols: ColMap = COLS, params: str = "") -> DataFrame:
+def refresh_summary(spark: SparkSession, logs: DataFrame, root: str, cols: ColMap = COLS, params: str = "") -> DataFrame:
     """Bring the device-day summary up to date; only the dates of new, changed, deleted or too old files are recomputed.
 
-    ``logs`` must keep file metadata in columns file_path, file_size, file_modification_time. The snapshot holds one row
+    ``logs`` must keep file metadata in columns file_path, file_size, file_modification_time. Tables "summary" and "snapshot" below ``root`` change in one
+    step (`Published`), so a run that dies in between leaves both as they were, and the next run knows the same stale files. The snapshot holds one row
     per (file, date) with the time its file was last summarised, so the dates that a file held before count as well, and a date
     that no file holds any more leaves the summary. Returns the recomputed dates.
     """
+    store = Published(spark, root)
     now = spark.range(1).select(F.current_timestamp()).first()[0]
     dated = typed(logs, cols).withColumn("event_date", clock.day_date("req_ts"))
     files = logs.select(*FILE_KEYS).distinct()
-    old = _snapshot(spark, snapshot_path)
-    staged = f"{snapshot_path}-next"
+    old = store.read("snapshot")
     if old is None:
         stale, kept, gone = files, None, None
     else:
@@ -163,17 +194,13 @@ def refresh_summary(spark: SparkSession, logs: DataFrame, summary_path: str, sna
         gone = old.join(kept.select(*FILE_KEYS).distinct(), FILE_KEYS, "left_anti").select("event_date")
     held = stale.join(dated.select(*FILE_KEYS, "event_date").distinct(), FILE_KEYS, "left")
     fresh = held.select(*FILE_KEYS, "event_date", F.lit(SUMMARY_VERSION).alias("version"), F.lit(params).alias("params"), F.lit(now).alias("built_at"))
-    (fresh if kept is None else fresh.unionByName(kept)).write.mode("overwrite").parquet(staged)
-    following = spark.read.parquet(staged)
+    following = staged(fresh if kept is None else fresh.unionByName(kept), "snapshot")
     dates = following.where(F.col("built_at") == F.lit(now)).select("event_date")
-    dates = (dates if gone is None else dates.unionByName(gone)).where(F.col("event_date").isNotNull()).distinct()
-    fixed = f"{snapshot_path}-dates"
-    dates.write.mode("overwrite").parquet(fixed)
-    dates = spark.read.parquet(fixed)
+    dates = staged((dates if gone is None else dates.unionByName(gone)).where(F.col("event_date").isNotNull()).distinct(), "dates")
     todo = dated.join(dates, "event_date", "left_semi").drop("event_date", "req_ts")
-    replace_dates(summary.device_day(todo, cols), summary_path, "event_date")
+    parts: dict = dict(store.stage(summary.device_day(todo, cols), "summary", "event_date"))
     # one row per calendar day at most
-    empty = dates.join(following.select("event_date").distinct(), "event_date", "left_anti").collect()
-    drop_dates(spark, summary_path, "event_date", [r[0] for r in empty])
-    following.write.mode("overwrite").parquet(snapshot_path)
+    for row in dates.join(following.select("event_date").distinct(), "event_date", "left_anti").collect():
+        parts[f"event_date={row[0]}"] = None
+    store.commit({"summary": parts, "snapshot": store.stage(following, "snapshot")})
     return dates
