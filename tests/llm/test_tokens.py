@@ -2,11 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tidelog.llm import packing, token_orc
 from tidelog.llm.queries import QUERIES, WORD_BPE
+from tidelog.llm.common import hashed, split_words
 from tidelog.llm.words import WordEncoder, tokenizer_path
 
 PATH = tokenizer_path(WORD_BPE)
@@ -26,11 +28,25 @@ def test_word_encoder_equals_whole_texts(plain):
     rng = random.Random(3)
     signs = [*"aAbxyzqÀÿßÖ×÷µªº09_-#*ÉéΣσς İi'’s12 ٣\u0301  \x1c\x85\x0b\x0c\n\t.,<|>🙂漢字", "<|endoftext|>", "'ll", "'re", "ing", "the"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
-    e = WordEncoder(PATH)
-    e.slots.limit = 900  # the table is trimmed again and again
+    e = WordEncoder(PATH, limit=900)  # the table is trimmed again and again
     for at in range(0, len(texts), 100):
-        for t, ids in zip(texts[at : at + 100], e.encode([x.encode() for x in texts[at : at + 100]])):
-            assert ids.tolist() == plain(t), repr(t)
+        ids, size = e.encode(pa.array([*texts[at : at + 100], None, ""]), 7)
+        ends = np.cumsum(size)
+        for t, a, b in zip([*texts[at : at + 100], "", ""], ends - size, ends):
+            assert ids[a:b].tolist() == [*plain(t), 7], repr(t)
+    assert e.encode(pa.array([], pa.string()), 7)[0].size == 0
+
+
+def test_words_and_their_hashes():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab cé漢\t\n\x0b\x0c\r\x1c\xa0") for _ in range(rng.randrange(40))) for _ in range(500)] + [None, "", " ", "x" * 5000]
+    column = pa.array(["skipped", *texts]).slice(1)  # a slice has an offset
+    words, count = split_words(column)
+    plain_words = [(t or "").encode().split() for t in texts]
+    assert words.to_pylist() == [w for ws in plain_words for w in ws] and count.tolist() == [len(ws) for ws in plain_words]
+    h = hashed(words, piece=50)
+    assert (h == hashed(words)).all() and len(set(h.tolist())) == len(set(words.to_pylist()))
+    assert {w: x for w, x in zip(words.to_pylist(), h.tolist())} == dict(zip(words.slice(3).to_pylist(), hashed(words.slice(3)).tolist())) | dict(zip(words.slice(0, 3).to_pylist(), h.tolist()))
 
 
 def plain_orc(docs, plain):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import slices, staged, texts
+from tidelog.llm.common import slices, staged
 from tidelog.llm.token_orc import ids_crc32
 from tidelog.llm.words import encoder
 
@@ -33,15 +33,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            found = [np.append(x, np.int32(end_id)) for x in encoder(tokenizer).encode(texts(batch.column(1)))]
-            count = np.array([-(-x.size // capacity) for x in found], dtype=np.int64)
+        for batch in slices(batches, 1024):
+            ids, total = encoder(tokenizer).encode(batch.column(1), end_id)
+            count = -(-total // capacity)
             piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            cut = [x[at : at + capacity] for x in found for at in range(0, x.size, capacity)]
-            size = np.array([x.size for x in cut], dtype=np.int64)
-            cols = [batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), count))), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(size, pa.int64()), pa.array([ids_crc32(x) for x in cut], pa.int64())]
+            size = np.minimum(capacity, np.repeat(total, count) - piece * capacity)
+            ends = np.cumsum(size)
+            crc = [ids_crc32(ids[a:b]) for a, b in zip((ends - size).tolist(), ends.tolist())]
+            cols = [batch.column(0).take(pa.array(np.repeat(np.arange(total.size), count))), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())]
             if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(np.concatenate(cut), pa.int32())))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return src.mapInArrow(run, T.StructType(fields))

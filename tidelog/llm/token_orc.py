@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import slices, texts
+from tidelog.llm.common import slices
 from tidelog.llm.words import encoder
 
 STRIPE = 64 * 1024 * 1024
@@ -40,11 +40,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, 256):
-            found = [np.append(x, np.int32(end_id)) for x in encoder(tokenizer).encode(texts(batch.column(1)))]
-            size = np.array([x.size for x in found], dtype=np.int64)
+        for batch in slices(batches, 1024):
+            ids, size = encoder(tokenizer).encode(batch.column(1), end_id)
             ends = np.cumsum(size)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part), pa.int32()), pa.array(place + ends - size, pa.int64()), ids], names=["doc_id", "part", "place", "ids"])
             place += int(ends[-1])
