@@ -99,3 +99,45 @@ def test_thresholds_come_from_all_labelled_rows_not_fitted_on(spark, monkeypatch
     out = toxicity.with_scores(df, model).toPandas()
     hit = (out["score"] >= out["threshold"]).to_numpy()
     assert (hit == (out["y"] == 1)).mean() > 0.85 and abs(out["score"].mean() - 1 / 3) < 0.05
+
+
+def test_quality_equals_plain_python(spark, sf_dir, monkeypatch):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    models, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y, *a, **k: models.append((train(x, y, *a, **k), len(y))) or models[-1][0])
+    got = {r.doc_id: r for r in quality.assess(docs, labels, sample_rows=40).collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in rows}
+    assert models[0][1] == 40
+    where = {i: ((r.source or "").split("/")[0], r.lang or "") for i, r in rows.items()}
+    rate = (sum(y.values()) + 0.5) / (len(y) + 1)
+
+    def grouped(key):
+        out = {}
+        for i, v in y.items():
+            n, s = out.get(key(i), (0, 0))
+            out[key(i)] = (n + 1, s + v)
+        return out
+
+    def strength(groups, parent):
+        q = sum(n * (s / n - parent(k)) ** 2 for k, (n, s) in groups.items())
+        e = sum(parent(k) * (1 - parent(k)) for k in groups)
+        between = max(0.0, q - e) / max(1.0, sum(n for n, _ in groups.values()) - len(groups))
+        return min(max(rate * (1 - rate) / between - 1, 2.0), 1e6) if between > 0 else 1e6
+
+    hosts = grouped(lambda i: where[i][0])
+    k = strength(hosts, lambda h: rate)
+    host_rate = {h: (s + k * rate) / (n + k) for h, (n, s) in hosts.items()}
+    paths = grouped(lambda i: where[i])
+    k = strength(paths, lambda p: host_rate[p[0]])
+    path_rate = {p: (s + k * host_rate[p[0]]) / (n + k) for p, (n, s) in paths.items()}
+    odds = lambda p: np.log(p / (1 - p))
+    logit = {i: models[0][0].logits(np.array([quality.statistics((r.text or "").encode())]))[0] + odds(path_rate.get(where[i], host_rate.get(where[i][0], rate))) - odds(rate) for i, r in rows.items()}
+    for i, r in got.items():
+        assert r["__score"] == pytest.approx(1 / (1 + np.exp(-logit[i])), abs=1e-9)
+    # the threshold: no bin of log odds lower than it holds more than the allowed share of the good documents that were not fitted on
+    fitted = {r.doc_id for r in labels.filter("quality in (0, 1)").join(docs, "doc_id").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().filter("pmod(h, 5) > 0").orderBy("h").limit(40).collect()}
+    left = sorted(np.floor(np.clip(logit[i], -40, 40) * quality.BINS) for i, v in y.items() if v == 1 and i not in fitted)
+    edge = max(b for b in left if sum(x < b for x in left) <= 0.005 * len(left)) / quality.BINS
+    cut = min(0.5, 1 / (1 + np.exp(-edge)))
+    assert {i for i, r in got.items() if r["__keep"]} == {i for i in rows if 1 / (1 + np.exp(-logit[i])) >= cut}

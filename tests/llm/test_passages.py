@@ -37,7 +37,7 @@ def test_tiles_equal_the_definition(letters):
             at, n = rng.randint(0, len(item)), rng.randint(0, 12)
             doc += item[at : at + n]
         a, b = hashes([b" ".join(doc), b" ".join(item)])
-        got, want = decontaminate.tiles(a, b, 3), plain_tiles(doc, item, 3)
+        got, want = decontaminate.tiles(a, b, 3), plain_tiles(doc, item, min(3, len(item))) if item else []
         if sum(t[2] for t in got) != len(item):
             assert got == want
         assert sum(t[2] for t in got) == sum(t[2] for t in want)
@@ -46,10 +46,11 @@ def test_tiles_equal_the_definition(letters):
 def plain_leaks(docs, items, threshold=0.8, tile=5):
     out = []
     for i, words in docs:
-        seeds = {tuple(words[j : j + tile]) for j in range(len(words) - tile + 1)}
         for k, item in items:
-            if any(tuple(item[j : j + tile]) in seeds for j in range(len(item) - tile + 1)):
-                covered = sum(t[2] for t in plain_tiles(words, item, tile))
+            n = min(tile, len(item))
+            seeds = {tuple(words[j : j + n]) for j in range(len(words) - n + 1)}
+            if n and any(tuple(item[j : j + n]) in seeds for j in range(len(item) - n + 1)):
+                covered = sum(t[2] for t in plain_tiles(words, item, n))
                 if covered >= threshold * len(item):
                     out.append((i, k, covered, len(item)))
     return sorted(out, key=repr)
@@ -137,3 +138,11 @@ def test_section_query_adds_up(spark, sf_dir, no_docs):
     assert attribution.section_tokens(no_docs, ("text",)).collect() == []
     with pytest.raises(ValueError):
         attribution.section_tokens(no_docs, rule="none")
+
+
+def test_short_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "one Two three, and more words here"), (2, "three two one"), (3, "solo"), (4, "a b c d e f"), (5, "two three"), (6, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "two three"), (11, "solo"), (12, ""), (13, None), (14, "b c d e f"), (15, "c d x e")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.coverage) for r in decontaminate.leaks(docs, items).collect())
+    assert got == [(1, 10, 1.0), (3, 11, 1.0), (4, 14, 1.0), (5, 10, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == [2, 6]

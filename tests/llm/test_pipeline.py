@@ -51,3 +51,14 @@ def test_odd_rows_and_no_rows(spark, sf_dir, odd_docs, no_docs):
     kept = simhash.one_per_group(odd_docs)
     assert kept.filter(F.col("text").startswith("Alpha")).count() == 1 and kept.filter("doc_id = 1").count() == 1
     assert decontaminate.text_key(b"") == decontaminate.text_key(b"")
+
+
+def test_stages_keep_columns_that_are_named_like_their_own(spark, sf_dir):
+    own = ["__host", "__path", "__evidence", "__host_rate", "__path_rate", "__score", "__keep", "__threshold", "__text_hash", "__key", "__n", "__c0", "h", "fp", "key", "id", "least", "root", "text_hash", "score", "keep"]
+    docs = read(spark, sf_dir, "documents")
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in own})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, wide, sf_dir), stage(spark, docs, sf_dir)
+        assert got.columns == wide.columns, name
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect()), name
+        assert got.filter(" or ".join(f"`{c}` <> concat('{c} of ', doc_id)" for c in own)).count() == 0, name

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import Slots, plain_words, slices, staged, texts
+from tidelog.llm.common import Slots, plain_words, set_apart, slices, staged, texts
 
 #: Bits of the filter; its size does not grow with the benchmark, only its false hits do, and the join removes those.
 FILTER_BITS = 26
@@ -27,6 +27,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 ROUNDS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def seed_hashes(h: np.ndarray, tile: int) -> np.ndarray:
+    """Hashes of runs that seed a tile: those of another length never meet."""
+    return run_hashes(h, tile) * BASE + np.uint64(tile)
+
+
 def run_hashes(h: np.ndarray, tile: int) -> np.ndarray:
     """Karp-Rabin hash modulo 2**64 of each run of `tile` word hashes."""
     if h.size < tile:
@@ -64,6 +69,9 @@ class WordHashes:
 
 def tiles(doc: np.ndarray, item: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in doc, place in item, words), longest first, earlier places first among equals."""
+    tile = min(tile, item.size)
+    if not tile:
+        return []
     seeds = defaultdict(list)
     for j, g in enumerate(run_hashes(item, tile).tolist()):
         seeds[g].append(j)
@@ -96,7 +104,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, tile: i
     """(doc_id, item_id, coverage, covered, item_words, tiles, text_hash): pairs whose tiles of at least `tile` words cover the share `threshold` of the item's words.
 
     Every row of docs is tested by its whole text; repeated rows give their pairs again. Null and empty texts have no words and no pairs; an item with
-    fewer than `tile` words has no tile and no pair. Null ids are kept as they are. Repeated benchmark rows with the same id and text count once.
+    fewer than `tile` words is one tile as a whole, an item without words has no pair. Null ids are kept as they are. Repeated benchmark rows with the same id and text count once.
     No documents or no items give no rows. Other columns are not read. tiles: (doc_at, item_at, words), longest first.
     """
     spark = docs.sparkSession
@@ -106,7 +114,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, tile: i
         for batch in slices(batches):
             h = hashes(texts(batch.column(1)))
             ends = np.cumsum([0, *[x.size for x in h]])
-            runs = [run_hashes(x, tile) for x in h]
+            runs = [seed_hashes(x, min(tile, x.size)) if x.size else x for x in h]
             run_ends = np.cumsum([0, *[x.size for x in runs]])
             longs = lambda parts, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), longs(h, ends), longs(runs, run_ends)], names=["item_id", "item", "runs"])
@@ -116,6 +124,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, tile: i
     items = src.mapInArrow(item_rows, T.StructType([T.StructField("item_id", item_type), T.StructField("item", T.ArrayType(T.LongType())), T.StructField("runs", T.ArrayType(T.LongType()))]))
     items = staged(items.withColumn("item_key", F.xxhash64("item_id", "item")), "items")
 
+    # items shorter than a tile are their own tile; at most `tile` lengths
+    lengths = [r[0] for r in items.select(F.least(F.size("item"), F.lit(tile)).alias("n")).filter("n > 0").distinct().collect()]
+
     def filter_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             g = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -133,7 +144,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, tile: i
         for batch in slices(batches):
             rows, found, hits = [], [], []
             for row, h in enumerate(hashes(texts(batch.column(1)))):
-                g = run_hashes(h, tile)
+                g = np.concatenate([seed_hashes(h, n) for n in lengths]) if lengths else np.zeros(0, np.uint64)
                 for i in range(len(ROUNDS)):
                     if g.size:
                         at = probes(g, i)
@@ -157,7 +168,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, tile: i
     texts_once = near.select("text_hash", "seeds").dropDuplicates(["text_hash"])
     seeds = items.select("item_key", F.size("item").alias("n"), F.posexplode("runs").alias("at", "run"))
     pairs = texts_once.select("text_hash", F.explode("seeds").alias("run")).join(seeds, "run").groupBy("text_hash", "item_key", "n").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    cover = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct((s["n"] + x + F.lit(tile) - F.greatest(s["end"], x)).alias("n"), (x + F.lit(tile)).alias("end")))["n"]
+    own = F.least(F.lit(tile), F.col("n"))
+    cover = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct((s["n"] + x + own - F.greatest(s["end"], x)).alias("n"), (x + own).alias("end")))["n"]
     pairs = pairs.filter(cover >= F.col("n") * F.lit(threshold)).select("text_hash", "item_key")
 
     def tiled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,5 +206,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
             at = batch.schema.get_field_index(text_col)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_key(t) for t in texts(batch.column(at))], pa.int64())], names=[*batch.schema.names, "__text_hash"])
 
-    marked = docs.mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField("__text_hash", T.LongType())]))
-    return marked.join(found.withColumnRenamed("text_hash", "__text_hash"), "__text_hash", "left_anti").select(*docs.columns)
+    safe, back = set_apart(docs, [text_col])
+    marked = safe.mapInArrow(keyed, T.StructType([*safe.schema.fields, T.StructField("__text_hash", T.LongType())]))
+    return back(marked.join(found.withColumnRenamed("text_hash", "__text_hash"), "__text_hash", "left_anti"))

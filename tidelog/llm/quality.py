@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import slices, staged, texts
+from tidelog.llm.common import hash_filter, id_hash, may_hold, set_apart, slices, staged, texts
 
 #: Byte classes whose shares are features: upper case, digits, end signs, other signs, blanks, beyond ASCII.
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'-", b"!#$%&*|@^~_=+<>/\\{}[]()\"`", b" \t\n\r", bytes(range(128, 256))]
@@ -108,11 +108,41 @@ def site(source: Column, section: Column) -> tuple[Column, Column]:
     return F.substring_index(source, "/", 1), F.when(source.contains("/"), rest).otherwise(F.coalesce(section.cast("string"), F.lit("")))
 
 
+#: Bins of log odds, of width 1 / BINS between -40 and 40.
+BINS = 50
+
+
+def keep_threshold(src: DataFrame, lab: DataFrame, drawn: DataFrame, rates: DataFrame, model: Classifier, site_odds: Column, fitted: np.ndarray, most_lost: float) -> float:
+    """The largest score up to 0.5 below which at most the share `most_lost` of the good labelled documents lies that were not fitted on.
+
+    All of them are scored and counted by bin in Spark; texts without a label are passed over by a filter of the labelled ids. Where no good document is
+    left over, the fitted ones (their scores) decide.
+    """
+    filtered = src.sparkSession.sparkContext.broadcast((model, hash_filter(lab.select("doc_id"), "doc_id")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, ids = filtered.value
+        for batch in batches:
+            for part in slices([batch.filter(pa.array(may_hold(ids, batch.column(2))))]):
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(m.logits(np.array([statistics(t) for t in texts(part.column(0))])), pa.float64())], names=["doc_id", "evidence"])
+
+    rows = src.select("text", "doc_id", id_hash("doc_id").alias("h")).mapInArrow(run, T.StructType([src.schema["doc_id"], T.StructField("evidence", T.DoubleType())]))
+    good = lab.filter("y = 1").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"]).join(rates, ["host", "path"], "left")
+    bins = rows.join(good.select("doc_id", site_odds.alias("o")), "doc_id").select(F.floor(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("evidence") + F.col("o"))) * BINS).cast("int").alias("bin"))
+    got = bins.groupBy("bin").agg(F.count("*").alias("n")).toPandas().sort_values("bin")
+    if not len(got):
+        return min(0.5, float(np.quantile(fitted, most_lost, method="lower")))
+    below = got["n"].cumsum() - got["n"]
+    # the lowest bin edge with more than the allowed share below the next one
+    edge = got["bin"][below <= most_lost * got["n"].sum()].max() / BINS
+    return min(0.5, float(1 / (1 + np.exp(-edge))))
+
+
 def assess(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", section_col: str = "lang", label_col: str = "quality", sample_rows: int = 20_000, most_lost: float = 0.005) -> DataFrame:
     """docs with the columns __host, __path, __evidence, __host_rate, __path_rate, __score and __keep, for every row by its whole text.
 
     __evidence: the classifier's log odds of good quality; __score: the posterior probability of it; __keep: whether it reaches the threshold, the largest up to
-    0.5 that loses at most the share `most_lost` of the sample's good documents. Sites without labels have their host's or the global rate. Null
+    0.5 that loses at most the share `most_lost` of the good labelled documents that were not fitted on (`keep_threshold`). Sites without labels have their host's or the global rate. Null
     texts count as empty; a text without words is judged by its features, all zero, as any other. Without labels of both classes the evidence and the
     sites say nothing, the score is the global rate (0.5 without labels) and all rows are kept. The classifier learns from at most `sample_rows` labelled
     documents by hash order, the rates from all of them. Rows are never dropped or repeated; other columns stay.
@@ -121,15 +151,18 @@ def assess(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_c
     host, path = site(F.col(source_col), F.col(section_col))
     lab = staged(labelled(docs, labels, learn, id_col, label_col, host, path), "quality-labels")
     rates, rate = site_rates(lab)
-    drawn = lab.select("doc_id", "y", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(sample_rows)
+    # a fifth of the labelled ids is never fitted on; what the limit leaves of the others is not either
+    drawn = staged(lab.select("doc_id", "y", F.xxhash64("doc_id").alias("h")).distinct().filter("pmod(h, 5) > 0").orderBy("h").limit(sample_rows), "quality-sample")
 
     def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = np.array([statistics(t) for t in texts(batch.column(0))])
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "y", "host", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "doc_id", "y", "host", "path"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), host.alias("host"), path.alias("path"))
-    sample = src.join(F.broadcast(drawn), "doc_id").select("text", "y", "host", "path").mapInArrow(sampled, "x array<double>, y int, host string, path string")
+    sample = src.join(F.broadcast(drawn), "doc_id").select("text", "doc_id", "y", "host", "path").mapInArrow(sampled, T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), src.schema["doc_id"], *T._parse_datatype_string("y int, host string, path string").fields]))
+    # one row per id, so that a repeated id cannot fill the sample
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("x", "y", "host", "path")).alias("s")).select("s.*")
     sample = sample.join(rates, ["host", "path"], "left").select("x", "y", F.coalesce("path_rate", F.lit(rate)).alias("r")).toPandas()
     y = sample["y"].to_numpy(dtype=np.float64)
     odds = lambda p: np.log(p / (1 - p))
@@ -138,7 +171,8 @@ def assess(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_c
         x = np.stack(sample["x"].to_numpy())
         model = train(x, y)
         p = 1 / (1 + np.exp(-(model.logits(x) + odds(sample["r"].to_numpy(dtype=np.float64)) - odds(rate))))
-        threshold = min(0.5, float(np.quantile(p[y == 1], most_lost, method="lower")))
+        site_odds = F.log(F.coalesce("path_rate", F.lit(rate)) / (1 - F.coalesce("path_rate", F.lit(rate)))) - F.lit(float(odds(rate)))
+        threshold = keep_threshold(src, lab, drawn, rates, model, site_odds, p[y == 1], most_lost)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,4 +193,5 @@ def assess(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_c
 
 def without_poor(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
     """docs (doc_id, text, source, lang, ...) without the rows that assess() rejects."""
-    return assess(docs, labels, learn).filter("__keep").select(*docs.columns)
+    safe, back = set_apart(docs, ["doc_id", "text", "source", "lang"])
+    return back(assess(safe, labels, learn).filter("__keep"))

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import ascii_words, slices, staged, texts
+from tidelog.llm.common import ascii_words, set_apart, slices, staged, texts
 from tidelog.llm.components import local_stars, stars
 
 LANES = np.uint64(0x0101010101010101)
@@ -211,8 +211,9 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs with one row of each component: the one with the smallest id; of rows with the same id, by the MD5 of the text, then the first by all columns.
 
     Fingerprints are computed once: rows are found again by id and MD5 of the text, which fix the component. Null or empty texts count
-    as empty, null ids as larger than all. No rows give no rows. Columns of docs may not begin with two underscores.
+    as empty, null ids as larger than all. No rows give no rows. All columns stay, whatever their names.
     """
+    docs, back = set_apart(docs, [id_col, text_col])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marked = docs.withColumn("__key", F.concat_ws("|", F.col(id_col).cast("string"), F.md5(text.cast("binary"))))
     prints = with_fingerprint(marked.select(F.col(id_col).alias("id"), text.alias("text"), F.col("__key").alias("key")), "text", "fp", shingle).select("id", "key", "fp")
@@ -220,4 +221,4 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = of.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.key").alias("__key"))
     left = marked.join(kept, "__key", "left_semi")
     whole = F.struct(*[F.col(f.name) if not isinstance(f.dataType, (T.MapType, T.VariantType)) else F.to_json(F.col(f.name)) for f in docs.schema.fields])
-    return left.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy(whole))).filter("__n = 1").select(*docs.columns)
+    return back(left.withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy(whole))).filter("__n = 1"))

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import slices, staged, texts
+from tidelog.llm.common import hash_filter, id_hash, may_hold, set_apart, slices, staged, texts
 from tidelog.llm.decontaminate import WordHashes
 
 ROWS = 1 << 18
@@ -249,11 +249,12 @@ def calibrated(net: Net, bin: np.ndarray, target: np.ndarray, count: np.ndarray,
 
 def histogram(docs: DataFrame, labels: DataFrame, net: Net, fitted: set[bytes]) -> DataFrame:
     """(lang, bin, y, c): rows of docs (doc_id, text, lang) with a label (doc_id, y), but for copies of fitted texts, by language and bin of their logit."""
-    held = docs.sparkSession.sparkContext.broadcast((net, fitted))
+    held = docs.sparkSession.sparkContext.broadcast((net, fitted, hash_filter(labels, "doc_id")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (model, known) = WordHashes(), held.value
-        for batch in slices(batches, 256):
+        hashes, (model, known, ids) = WordHashes(), held.value
+        labelled = (b.filter(pa.array(may_hold(ids, b.column(3)))) for b in batches)  # others need no score
+        for batch in slices(labelled, 256):
             h = hashes(texts(batch.column(1)))
             new = [i for i, x in enumerate(h) if signature(x) not in known]
             if new:
@@ -262,6 +263,7 @@ def histogram(docs: DataFrame, labels: DataFrame, net: Net, fitted: set[bytes])
 
     of = T.StructType([docs.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("bin", T.IntegerType())])
     # texts do not travel: bins meet the labels
+    docs = docs.select("doc_id", "text", "lang", id_hash("doc_id").alias("h"))
     return docs.mapInArrow(run, of).join(labels.select("doc_id", "y"), "doc_id").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "bin", "y").agg(F.count("*").alias("c"))
 
 
@@ -292,6 +294,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
             yield pa.RecordBatch.from_arrays([words, pa.array([x.size for x in h], pa.int64()), *batch.columns[1:]], names=["words", "n", "lang", "y", "h"])
 
     rows = src.join(F.broadcast(drawn), "doc_id").select("text", "lang", "y", "h").mapInArrow(hashed, "words array<long>, n long, lang string, y int, h long")
+    # one text per id, that of the fewest words, so that a repeated id cannot fill the sample
+    rows = rows.groupBy("h", "y").agg(F.min(F.struct("n", "words", "lang")).alias("s")).select("s.words", "s.n", "s.lang", "y", "h")
     rows = staged(rows, "labelled")
     sums = rows.select("h", "n").withColumn("before", F.sum("n").over(W.orderBy("h").rowsBetween(W.unboundedPreceding, -1))).groupBy("h").agg(F.min("before").alias("before"))
     last = sums.filter(F.coalesce("before", F.lit(0)) < sample_words).agg(F.max("h")).first()[0]
@@ -334,4 +338,5 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", lang_col:
 def without_toxic(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
     """docs (doc_id, text, lang, ...) without the rows whose score reaches their language's threshold."""
     model = fit(docs, labels, learn)
-    return with_scores(docs, model, score="__score", threshold="__threshold").filter("__score < __threshold").select(*docs.columns)
+    safe, back = set_apart(docs, ["doc_id", "text", "lang"])
+    return back(with_scores(safe, model, score="__score", threshold="__threshold").filter("__score < __threshold"))
