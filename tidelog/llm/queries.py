@@ -64,9 +64,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_suffix_tree_scores")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
-    tree, counts = suffix_tree.fit(docs.filter("not held_out"))
-    rows = suffix_tree.score(spark, docs, tree, counts, mark="held_out")
+    rows = suffix_tree.learn_and_score(read(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 7) == 2)
     return rows.select("doc_id", F.col("mark").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
