@@ -59,6 +59,36 @@ def test_operators_agree_with_and_without_slices(skewed):
     same(users.content_switches(starts, **cut), users.content_switches(starts))
 
 
+@pytest.mark.parametrize("hot_rows,seconds", [(50, 60), (1, 1), (10_000, 60)])
+def test_one_step_for_all(skewed, hot_rows, seconds):
+    w = Window.partitionBy("device_id").orderBy("req_ts", "event_id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = skewed.select(
+        "*", F.lag("session_id").over(w).alias("prev_session_id"), F.lead("session_id").over(w).alias("next_session_id"), F.lead("flag").over(w).alias("next_flag"),
+        F.last("session_id", ignorenulls=True).over(before).alias("known"), F.sum("flag").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("total"))
+    step = Ordered.by(skewed, ["device_id"], ["req_ts", "event_id"], hot_rows=hot_rows, slice_seconds=seconds)
+    same(step.step(lag=["session_id"], lead=["session_id", "flag"], known={"session_id": "known"}, running={"flag": "total"}).rows(), want)
+
+
+def test_sessions_with_watch_equal_two_passes(skewed):
+    events = skewed.withColumn("platform", F.lit("p"))
+    for cut in ({}, {"hot_rows": 20, "slice_seconds": 30}):
+        same(sessions.smart_sessions(events, tie=["event_id"], watch_cap=60, **cut), watch.gap_watch(sessions.smart_sessions(events, tie=["event_id"]), ["device_id"], tie=["event_id"]))
+
+
+def test_hot_plans_stay_small(skewed):
+    viewers = skewed.select(F.col("device_id").alias("viewer_id"), "session_id", "req_ts").distinct()
+    df = sessions.viewer_timelines(viewers, hot_rows=20, slice_seconds=30)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # both steps with their carry rows; shuffles that are used again are listed once
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 14
+    cold = sessions.viewer_timelines(viewers)
+    cold.collect()
+    plan = cold._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan ExistingRDD") <= 2 and "Union" not in plan
+
+
 def test_hot_key_is_spread_over_window_partitions(skewed):
     step = Ordered.by(skewed, ["device_id"], ["req_ts", "event_id"], hot_rows=100, slice_seconds=60)
     per = step.df.groupBy("device_id", "_slice").count().groupBy("device_id").agg(F.count("*").alias("parts"), F.max("count").alias("largest"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 5_000_000
@@ -59,69 +59,50 @@ class Ordered:
         """Row-wise change that keeps keys and order columns."""
         return replace(self, df=change(self.df))
 
-    # -- carry rows --------------------------------------------------------
-    def _per_slice(self, *aggs: Column) -> DataFrame:
-        """Aggregates per slice, hot keys only.
+    def step(self, lag: list[str] = (), lead: list[str] = (), known: dict[str, str] | None = None, running: dict[str, str] | None = None) -> Ordered:
+        """One window pass: prev_<c> and next_<c>, the last non-NULL value strictly before a row (``known``: column -> output) and sums up to and including it (``running``).
 
-        The test on ``_hot`` turns the join below into an inner one, which adaptive execution
-        replaces by nothing once the hot-key table proves empty.
+        Hot keys: one aggregate per slice holds its first and last rows, last known values and sums; carried along the slices they make at most two extra rows
+        per slice, one before and one after it. The test on ``_hot`` makes that branch an inner join, which adaptive execution replaces by nothing once the
+        hot-key table proves empty.
         """
-        return self.df.where(F.col(_HOT)).groupBy(*self.keys, _HOT, _SLICE).agg(*aggs)
-
-    def _along(self) -> Window:
-        return Window.partitionBy(*self.keys, _HOT).orderBy(_SLICE)
-
-    def _window(self) -> Window:
-        return Window.partitionBy(*self.keys, _HOT, _SLICE).orderBy(_CARRY, *self.order)
-
-    def _fields(self, extra: list[str]) -> list[str]:
-        return [f for f in dict.fromkeys([*self.order, *extra]) if f not in self.keys]
-
-    def _unpack(self, frame: DataFrame, fields: list[str]) -> DataFrame:
-        frame = frame.where(F.col("_row").isNotNull())
-        return frame.select(*self.keys, _HOT, _SLICE, *[F.col("_row")[f].alias(f) for f in fields])
-
-    def _apply(self, columns: list[Column], before: DataFrame | None = None, after: DataFrame | None = None) -> Ordered:
-        """Window columns over the rows plus carry rows, which sort first or last in their slice."""
-        out = self.df.withColumn(_CARRY, F.lit(0))
-        for frame, mark in ((before, -1), (after, 1)):
-            if frame is not None:
-                out = out.unionByName(frame.withColumn(_CARRY, F.lit(mark)), allowMissingColumns=True)
-        out = out.select("*", *columns).where(F.col(_CARRY) == 0).drop(_CARRY)
-        return replace(self, df=out)
-
-    # -- public window steps -----------------------------------------------
+        known, running = known or {}, running or {}
+        fields = [f for f in dict.fromkeys([*self.order, *lag, *lead]) if f not in self.keys]
+        copy = {f"_known_{c}": F.col(c) for c in known} | {f"_sum_{c}": F.col(c).cast("long") for c in running}
+        out = self.df.withColumns({**copy, _CARRY: F.lit(0)})
+
+        slices = self.df.where(F.col(_HOT)).groupBy(*self.keys, _HOT, _SLICE).agg(
+            F.max(F.struct(*fields)).alias("_last"), F.min(F.struct(*fields)).alias("_first"),
+            *[F.max(F.when(F.col(c).isNotNull(), F.struct(*dict.fromkeys([*self.order, c])))).alias(f"_known_{c}") for c in known],
+            *[F.sum(F.col(c).cast("long")).alias(f"_sum_{c}") for c in running])
+        along = Window.partitionBy(*self.keys, _HOT).orderBy(_SLICE)
+        earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+        slices = slices.select(
+            *self.keys, _HOT, _SLICE, F.lag("_last").over(along).alias("_last"), F.lead("_first").over(along).alias("_first"),
+            *[F.last(f"_known_{c}", ignorenulls=True).over(earlier)[c].alias(f"_known_{c}") for c in known], *[F.sum(f"_sum_{c}").over(earlier).alias(f"_sum_{c}") for c in running])
+        side = lambda mark, row, keep: F.when(F.col(row).isNotNull(), F.struct(
+            F.lit(mark).alias(_CARRY), *[F.col(row)[f].alias(f) for f in fields], *[(F.col(c) if keep else F.lit(None).cast(dict(slices.dtypes)[c])).alias(c) for c in copy]))
+        sides = F.filter(F.array(side(-1, "_last", True), *([side(1, "_first", False)] if lead else [])), lambda x: x.isNotNull())
+        # explode, not inline: adaptive execution sees that an empty branch stays empty through it
+        carried = slices.select(*self.keys, _HOT, _SLICE, F.explode(sides).alias("_side"))
+        out = out.unionByName(carried.select(*self.keys, _HOT, _SLICE, "_side.*"), allowMissingColumns=True)
+
+        w = Window.partitionBy(*self.keys, _HOT, _SLICE).orderBy(_CARRY, *self.order)
+        before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        columns = [F.lag(c).over(w).alias(f"prev_{c}") for c in lag] + [F.lead(c).over(w).alias(f"next_{c}") for c in lead]
+        columns += [F.last(f"_known_{c}", ignorenulls=True).over(before).alias(o) for c, o in known.items()]
+        columns += [F.sum(f"_sum_{c}").over(upto).cast("long").alias(o) for c, o in running.items()]
+        return replace(self, df=out.select("*", *columns).where(F.col(_CARRY) == 0).drop(_CARRY, *copy))
+
+    # -- single window steps -----------------------------------------------
     def neighbours(self, lag: list[str] = (), lead: list[str] = ()) -> Ordered:
         """Add prev_<c> for every c in ``lag`` and next_<c> for every c in ``lead``."""
-        w = self._window()
-        columns = [F.lag(c).over(w).alias(f"prev_{c}") for c in lag]
-        columns += [F.lead(c).over(w).alias(f"next_{c}") for c in lead]
-        before = after = None
-        fields = self._fields([*lag, *lead])
-        # one aggregate per slice serves both directions
-        edges = self._per_slice(F.max(F.struct(*fields)).alias("_last"), F.min(F.struct(*fields)).alias("_first"))
-        if lag:
-            before = self._unpack(edges.withColumn("_row", F.lag("_last").over(self._along())), fields)
-        if lead:
-            after = self._unpack(edges.withColumn("_row", F.lead("_first").over(self._along())), fields)
-        return self._apply(columns, before, after)
+        return self.step(lag=lag, lead=lead)
 
     def last_known(self, column: str, out: str) -> Ordered:
         """Last non-NULL value of ``column`` strictly before the current row."""
-        fields = self._fields([column])
-        known = F.max(F.when(F.col(column).isNotNull(), F.struct(*fields))).alias("_known")
-        earlier = self._along().rowsBetween(Window.unboundedPreceding, -1)
-        carry = self._per_slice(known).withColumn("_row", F.last("_known", ignorenulls=True).over(earlier))
-        before = self._unpack(carry, fields)
-        w = self._window().rowsBetween(Window.unboundedPreceding, -1)
-        return self._apply([F.last(column, ignorenulls=True).over(w).alias(out)], before)
+        return self.step(known={column: out})
 
     def running_sum(self, flag: str, out: str) -> Ordered:
         """Sum of ``flag`` over the key's rows up to and including the current one."""
-        earlier = self._along().rowsBetween(Window.unboundedPreceding, -1)
-        kind = self.df.schema[flag].dataType
-        totals = self._per_slice(F.sum(flag).alias("_sum"))
-        carry = totals.withColumn(flag, F.sum("_sum").over(earlier).cast(kind)).where(F.col(flag).isNotNull())
-        before = carry.select(*self.keys, _HOT, _SLICE, flag)
-        w = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return self._apply([F.sum(flag).over(w).cast("long").alias(out)], before)
+        return self.step(running={flag: out})

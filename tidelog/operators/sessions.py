@@ -21,9 +21,9 @@ def _differs(column: str) -> Column:
 
 def smart_sessions(
     events: DataFrame, device: str = "device_id", ts: str = "req_ts", tie: list[str] = (),
-    gap_minutes: int = SESSION_GAP_MINUTES, **tuning,
+    gap_minutes: int = SESSION_GAP_MINUTES, watch_cap: int | None = None, **tuning,
 ) -> DataFrame:
-    """Add session_no and session_key per device.
+    """Add session_no and session_key per device; with ``watch_cap`` also next_<ts> and watch_sec as `watch.gap_watch` would, from the same window pass.
 
     A row opens a session when it is the device's first, follows a gap above
     ``gap_minutes``, changes session_id, or follows a gap above 8 minutes with at least two
@@ -40,11 +40,14 @@ def smart_sessions(
     flag = F.coalesce(new, F.lit(False)).cast("int")
     rows = (
         Ordered.by(events, [device], [ts, *tie], **tuning)
-        .neighbours(lag=lagged)
+        .step(lag=lagged, lead=[] if watch_cap is None else [ts])
         .map(lambda df: df.withColumn("new_session", flag).drop(*[f"prev_{c}" for c in lagged]))
         .running_sum("new_session", "session_no")
         .rows()
     )
+    if watch_cap is not None:
+        gap = F.coalesce(F.greatest(F.col(f"next_{ts}") - F.col(ts), F.lit(0)), F.lit(0))
+        rows = rows.withColumn("watch_sec", F.least(gap, F.lit(watch_cap)))
     return rows.withColumn("session_key", F.concat(F.col(device), F.lit("_S"), F.col("session_no").cast("string")))
 
 
@@ -100,16 +103,13 @@ def viewer_timelines(
     order = [ts, *[c for c in (session, "device_id", "cliip", "ua") if c in rows.columns]]
     new = F.col(session).isNotNull() & F.col("_known").isNotNull() & (F.col(session) != F.col("_known"))
     flag = (F.col(f"prev_{ts}").isNull() | F.coalesce(new, F.lit(False))).cast("int")
-    # the viewer's next row belongs to the same timeline or opens the next one
-    same = F.col("next_timeline_no") == F.col("timeline_no")
-    gap = F.when(same, F.greatest(F.col(f"next_{ts}") - F.col(ts), F.lit(0)))
+    # the viewer's next row belongs to the same timeline unless it opens one
+    gap = F.when(F.col("next__new") == 0, F.greatest(F.col(f"next_{ts}") - F.col(ts), F.lit(0)))
     return (
         Ordered.by(rows, [viewer], order, **tuning)
-        .last_known(session, "_known")
-        .neighbours(lag=[ts])
+        .step(lag=[ts], lead=[ts], known={session: "_known"})
         .map(lambda df: df.withColumn("_new", flag).drop("_known", f"prev_{ts}"))
-        .running_sum("_new", "timeline_no")
-        .neighbours(lead=[ts, "timeline_no"])
-        .map(lambda df: df.withColumn("watch_sec", gap).drop("_new", f"next_{ts}", "next_timeline_no"))
+        .step(lead=["_new"], running={"_new": "timeline_no"})
+        .map(lambda df: df.withColumn("watch_sec", gap).drop("_new", f"next_{ts}", "next__new"))
         .rows()
     )
