@@ -99,3 +99,18 @@ def test_visits_come_from_vectors_that_the_router_was_not_fitted_on(monkeypatch)
     ann.fit(x, 8)
     seen = {v.tobytes() for v in fitted[0]}
     assert asked and not any(v.tobytes() in seen for rows in asked for v in rows)
+
+
+def test_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i // 2, [float(v) for v in rng.standard_normal(4)]) for i in range(40)]  # each id twice
+    df = spark.createDataFrame([*rows, rows[0]], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, lambda v: v == 0, k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {0} and len(got[0]) == 10  # two queries of the same id
+    want = []
+    for n, (i, v) in enumerate(rows[:2]):
+        others = sorted(((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(rows) if m != n))[:5]
+        want += [(k + 1, j, -s) for k, (s, j) in enumerate(others)]
+    assert [(r, j, round(s, 9)) for r, j, s in sorted(got[0])] == [(r, j, round(s, 9)) for r, j, s in sorted(want)]

@@ -140,39 +140,43 @@ def parts_of(count: int) -> int:
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v): usable vectors in double precision, one per id, the smallest of those that share an id."""
+    """(vec_id, v, row): usable vectors in double precision, once for each id and vector; row is a hash that tells them apart."""
     v = F.transform(F.col(vec_col), lambda e: e.cast("double"))
     ok = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ok)
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.distinct().withColumn("row", F.xxhash64("vec_id", "v"))
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
-    """(query id, id, score) of each query's k best in a block, ties to smaller ids; scores summed alike in every block."""
+def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, q_rows: np.ndarray | None = None, rows_of: np.ndarray | None = None) -> list[np.ndarray]:
+    """(query's row, query id, id, score) of each query's k best in a block, ties to smaller ids; scores summed alike in every block.
+
+    A query leaves out its own row; without row numbers, the ids are these.
+    """
+    q_rows, rows_of = q_ids if q_rows is None else q_rows, ids if rows_of is None else rows_of
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+    ids, x, rows_of = ids[order], x[order], rows_of[order]
     # of equal vectors, the k + 1 smallest ids can be among the best
     _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).reshape(-1), return_inverse=True)
     by = np.argsort(same, kind="stable")
     first = np.concatenate(([0], np.flatnonzero(np.diff(same[by])) + 1))
     nth = np.arange(by.size) - np.repeat(first, np.diff(np.concatenate((first, [by.size]))))
     keep = np.sort(by[nth <= k])
-    ids, x = ids[keep], x[keep]
+    ids, x, rows_of = ids[keep], x[keep], rows_of[keep]
     out = []
     for at in range(0, q_ids.size, 256):
         s = q[at : at + 256] @ x.T
-        s[q_ids[at : at + 256, None] == ids[None, :]] = -np.inf
+        s[q_rows[at : at + 256, None] == rows_of[None, :]] = -np.inf
         n = min(k, ids.size)
         least = np.partition(s, ids.size - n, axis=1)[:, ids.size - n]
         for i in range(s.shape[0]):
             rows = np.flatnonzero((s[i] >= least[i] - 1e-9 * max(1.0, abs(least[i]))) & (s[i] > -np.inf)) if least[i] > -np.inf else np.flatnonzero(s[i] > -np.inf)
             exact = (x[rows] * q[at + i]).sum(axis=1)
             best = np.lexsort((ids[rows], -exact))[:k]
-            out.append(np.rec.fromarrays([np.full(best.size, q_ids[at + i]), ids[rows[best]], exact[best]], names="q,i,s"))
+            out.append(np.rec.fromarrays([np.full(best.size, q_rows[at + i]), np.full(best.size, q_ids[at + i]), ids[rows[best]], exact[best]], names="r,q,i,s"))
     return out
 
 
@@ -180,7 +184,7 @@ def search(df: DataFrame, queries_of, k: int = 20, recall: float = 0.96, id_col:
     """(query_id, rank, vec_id, score): for the rows that queries_of(vec_id column) picks, the k nearest found among all other rows by inner product.
 
     Vectors that are null, zero, hold null or non-finite components, or lack an id take no part, nor do those whose size is not the most common one.
-    Ties go to the smaller id; of rows with one id the smallest vector counts. A query with fewer than k others gets all of them. No rows give no
+    Ties go to the smaller id. Rows with one id and different vectors are rows of their own, as candidates and as queries; equal rows count once. A query with fewer than k others gets all of them. No rows give no
     rows. The router is fitted on at most `sample_rows` vectors by hash order, every vector is stored; parts and their queries are scanned in
     blocks of bounded size. There are `parts_of` parts, or one for `part_rows` vectors. The parts that a query visits hold at least `least_rows`
     vectors, so tables up to that size are searched whole, the larger ones in part. Other columns are not read.
@@ -192,7 +196,7 @@ def search(df: DataFrame, queries_of, k: int = 20, recall: float = 0.96, id_col:
     if sizes is None or rows.filter(queries_of(F.col("vec_id"))).isEmpty():
         return spark.createDataFrame([], empty)
     size, count = int(sizes["n"]), int(sizes["count"])
-    rows = rows.filter(F.col("n") == size).select("vec_id", "v")
+    rows = rows.filter(F.col("n") == size).select("vec_id", "v", "row")
     parts = max(1, min(256, count // part_rows)) if part_rows else parts_of(count)
     router = None
     if parts > 1:
@@ -203,9 +207,9 @@ def search(df: DataFrame, queries_of, k: int = 20, recall: float = 0.96, id_col:
     def stored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = held.value.scores(matrix(batch.column(1), size)).argmax(axis=1) if held.value else np.zeros(batch.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], names=["part", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], names=["part", "vec_id", "v", "row"])
 
-    index = staged(rows.mapInArrow(stored, "part int, vec_id long, v array<double>"), "index")
+    index = staged(rows.mapInArrow(stored, "part int, vec_id long, v array<double>, row long"), "index")
     held_rows = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
     blocks = {p: -(-n // block_rows) for p, n in held_rows.items()}
 
@@ -217,23 +221,23 @@ def search(df: DataFrame, queries_of, k: int = 20, recall: float = 0.96, id_col:
             # the visits that reach the recall, and further parts until these hold k others and least_rows
             use = (np.arange(parts)[None, :] < (held.value.visits if held.value else 1)) | (np.cumsum(there, axis=1) - there <= max(k, least_rows - 1))
             of, at = np.nonzero(use & (there > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(ranked[of, at], pa.int32()), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of))], names=["part", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranked[of, at], pa.int32()), *[c.take(pa.array(of)) for c in batch.columns]], names=["part", "vec_id", "v", "row"])
 
-    asked = staged(rows.filter(queries_of(F.col("vec_id"))).mapInArrow(routed, "part int, vec_id long, v array<double>"), "asked")
+    asked = staged(rows.filter(queries_of(F.col("vec_id"))).mapInArrow(routed, "part int, vec_id long, v array<double>, row long"), "asked")
     per_part = {p: 0 for p in held_rows} | {r["part"]: -(-r["count"] // block_queries) for r in asked.groupBy("part").count().collect()}
     number = lambda m: F.element_at(F.create_map(*[F.lit(int(x)) for kv in sorted(m.items()) for x in kv]), F.col("part"))
-    salt = lambda c, n: F.pmod(F.xxhash64("vec_id", F.lit(c)), n).cast("int")
+    salt = lambda c, n: F.pmod(F.xxhash64("row", F.lit(c)), n).cast("int")
     # each block of a part meets each block of the queries that visit it
     left = index.withColumn("b", salt("b", number(blocks))).filter(number(per_part) > 0).withColumn("qb", F.explode(F.sequence(F.lit(0), number(per_part) - 1)))
     right = asked.withColumn("qb", salt("q", number(per_part))).withColumn("b", F.explode(F.sequence(F.lit(0), number(blocks) - 1)))
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        found = np.concatenate(block_top(b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()), a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), k))
-        return pd.DataFrame({"query_id": found["q"], "vec_id": found["i"], "score": found["s"]})
+            return pd.DataFrame({"query_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        found = np.concatenate(block_top(b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()), a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), k, b["row"].to_numpy(), a["row"].to_numpy()))
+        return pd.DataFrame({"query_row": found["r"], "query_id": found["q"], "vec_id": found["i"], "score": found["s"]})
 
     keys = ["part", "b", "qb"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, "query_id long, vec_id long, score double")
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, "query_row long, query_id long, vec_id long, score double")
+    best = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
