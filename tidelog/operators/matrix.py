@@ -11,7 +11,8 @@ from ..functions import channels, clock
 from ..functions.querystring import qs_mentions, qs_value
 from ..functions.text import blank_to_null
 from ..model import COLS, ColMap, typed
-from .ranking import counts, modes, top_per_group, with_group_share, with_share
+from ..session import staged
+from .ranking import counts, top_per_group, with_group_share, with_share
 
 
 def channel_platform(logs: DataFrame, n: int | None = None, cols: ColMap = COLS) -> DataFrame:
@@ -65,14 +66,22 @@ def value_day_matrix(df: DataFrame, value: Column, date: Column, days: list[str]
 def key_matrix_with_modes(
     logs: DataFrame, key: Column, days: list[str], n: int, mode_columns: dict[str, Column], cols: ColMap = COLS
 ) -> DataFrame:
-    """Value x day matrix of IPs or devices plus the most frequent value of other columns per key."""
-    df = typed(logs, cols).select("*", key.alias("_key")).where(blank_to_null("_key").isNotNull())
-    out = value_day_matrix(df, F.col("_key").cast("string"), clock.day_date("req_ts"), days, n)
-    for name, c in mode_columns.items():
-        rows = df.select(F.col("_key").cast("string").alias("value"), c.alias("_m"))
-        rows = rows.join(F.broadcast(out.select("value")), "value", "left_semi")
-        out = out.join(modes(rows, ["value"], "_m", name), "value", "left")
-    return out
+    """Value x day matrix of IPs or devices plus the most frequent value of other columns per key (lowest value on ties).
+
+    Each row gives one entry for its day and one per mode column; entries are counted per (key, field, value) in one scan and written once. Keys, days, totals
+    and modes all come from that table.
+    """
+    df = typed(logs, cols).select(key.cast("string").alias("value"), clock.day_date("req_ts").cast("string").alias("_day"), *[c.cast("string").alias(m) for m, c in mode_columns.items()])
+    df = df.where(blank_to_null("value").isNotNull())
+    entries = F.array(*[F.struct(F.lit(i).alias("_f"), F.col(c).alias("_v")) for i, c in enumerate(("_day", *mode_columns))])
+    per = staged(df.select("value", F.inline(entries)).groupBy("value", "_f", "_v").agg(F.count(F.lit(1)).alias("_n")), "matrix")
+    top = per.where(F.col("_f") == 0).groupBy("value").agg(F.sum("_n").alias("_t")).orderBy(F.desc("_t"), "value").limit(n)
+    # n rows, fixed by the caller
+    kept = per.join(F.broadcast(top.select("value")), "value", "left_semi")
+    on_day = lambda d: F.coalesce(F.sum(F.when((F.col("_f") == 0) & (F.col("_v") == d), F.col("_n"))), F.lit(0)).alias("d_" + d.replace("-", "_"))
+    best = lambda i: F.min(F.when((F.col("_f") == i) & F.col("_v").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v"))))["v"]
+    return kept.groupBy("value").agg(
+        F.sum(F.when(F.col("_f") == 0, F.col("_n"))).alias("total"), *[on_day(d) for d in days], *[best(i).alias(m) for i, m in enumerate(mode_columns, 1)])
 
 
 def top_channels_by_state(logs: DataFrame, n: int, cols: ColMap = COLS) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.channels import stream_key
 from ..functions.querystring import qs_has_key, qs_trimmed
 from ..functions.text import blank_to_null
 from ..model import COLS, WATCH_GAP_CAP_SECONDS, ColMap, typed
+from ..session import staged
 from .ordered import Ordered
 from .ranking import one_row, with_share
 
@@ -98,45 +99,39 @@ def timeline_uncapped(rows: DataFrame, by_day: bool = False) -> DataFrame:
     )
 
 
-def watch_summary(rows: DataFrame, watch: DataFrame) -> DataFrame:
-    """One row of 25 measures over the events and their watch rows."""
-    sid, dev = F.col("session_id"), F.col("device_id")
+def watch_summary(rows: DataFrame, cap: int = WATCH_GAP_CAP_SECONDS, **tuning) -> DataFrame:
+    """One row of 25 measures over distinct timeline events and their capped gaps.
+
+    Events and gaps are written once, so the log is read and ordered once. All distinct counts come from (field, value) pairs made distinct before they are counted.
+    """
+    gaps = gap_watch(rows, ["timeline_key"], cap, tie=TIE, **tuning)
+    watched = F.col("next_req_ts").isNotNull()
+    all_rows = staged(gaps.withColumn("watch_sec", F.when(watched, F.col("watch_sec"))).drop("next_req_ts", "event_date", "req_ts"), "watch")
+    sid, dev, w = F.col("session_id"), F.col("device_id"), F.col("watch_sec")
     is_id = F.col("row_group") == "id_sample"
-    facts = rows.agg(
+    hours = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0)) / 3600, 4)
+    facts = all_rows.agg(
         F.count(F.lit(1)).alias("rows_used_after_dedup"),
         F.count(dev).alias("rows_with_device_id"), F.count_if(dev.isNull()).alias("rows_without_device_id"),
         F.count(sid).alias("rows_with_session_id"), F.count_if(sid.isNull()).alias("rows_without_session_id"),
         F.count_if(dev.isNotNull() & sid.isNotNull()).alias("rows_with_both"),
         F.count_if((F.col("has_device_id_key") == 1) & dev.isNull()).alias("rows_device_id_blank"),
         F.count_if((F.col("has_session_id_key") == 1) & sid.isNull()).alias("rows_session_id_blank"),
-    )
-    distincts = rows.agg(
-        F.count_distinct("cliip_ua_viewer").alias("distinct_viewers"), F.count_distinct("device_id").alias("distinct_device_id"),
-        F.count_distinct("session_id").alias("distinct_session_id"), F.count_distinct("cliIP").alias("distinct_cliip"),
-    )
-    distincts2 = rows.agg(
-        F.count_distinct("UA").alias("distinct_ua"), F.count_distinct("stream_key").alias("distinct_stream_key"),
-    )
-    lines = (
-        rows.groupBy("timeline_key").agg(
-            F.max(is_id.cast("int")).alias("i"), F.max((~is_id).cast("int")).alias("n"))
-        .agg(F.count(F.lit(1)).alias("timeline_count"), F.sum("i").alias("id_sample_timelines"),
-             F.sum("n").alias("no_id_timelines"))
-    )
-    hours = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0)) / 3600, 4)
-    w = F.col("watch_sec")
-    time = watch.agg(
-        hours(w).alias("total_watch_hours"), hours(F.when(is_id, w)).alias("id_sample_watch_hours"),
-        hours(F.when(~is_id, w)).alias("no_id_watch_hours"),
+        hours(w).alias("total_watch_hours"), hours(F.when(is_id, w)).alias("id_sample_watch_hours"), hours(F.when(~is_id, w)).alias("no_id_watch_hours"),
         F.round(F.coalesce(F.avg(w), F.lit(0.0)), 4).alias("avg_gap_sec"), F.coalesce(F.max(w), F.lit(0)).alias("max_gap_sec"),
         F.sum(w).alias("_all"), F.sum(F.when(is_id, w)).alias("_id"), F.sum(F.when(~is_id, w)).alias("_no"),
     )
-    viewers = watch.agg(
-        F.count_distinct("cliip_ua_viewer").alias("_v"),
-        F.count_distinct(F.when(is_id, F.col("device_viewer"))).alias("_d"),
-        F.count_distinct(F.when(~is_id, F.col("cliip_ua_viewer"))).alias("_nv"),
-    )
-    out = one_row(facts, distincts, distincts2, lines, time, viewers)
+    viewer = F.col("cliip_ua_viewer")
+    fields = {
+        "distinct_viewers": viewer, "distinct_device_id": dev, "distinct_session_id": sid, "distinct_cliip": F.col("cliIP"), "distinct_ua": F.col("UA"),
+        "distinct_stream_key": F.col("stream_key"), "timeline_count": F.col("timeline_key"), "id_sample_timelines": F.when(is_id, F.col("timeline_key")),
+        "no_id_timelines": F.when(~is_id, F.col("timeline_key")), "_v": F.when(w.isNotNull(), viewer), "_d": F.when(w.isNotNull() & is_id, F.col("device_viewer")),
+        "_nv": F.when(w.isNotNull() & ~is_id, viewer),
+    }
+    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in fields.items()]), lambda x: x["value"].isNotNull())
+    per = all_rows.select(F.inline(pairs)).distinct().groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    distincts = per.agg(*[F.coalesce(F.sum(F.when(F.col("field") == n, F.col("n"))), F.lit(0)).alias(n) for n in fields])
+    out = one_row(facts, distincts)
     per = lambda s, n: F.round(F.coalesce(F.try_divide(F.col(s) / 60, F.col(n)), F.lit(0.0)), 4)
     out = out.select(
         "*", per("_all", "_v").alias("watch_min_per_viewer"), per("_id", "_d").alias("watch_min_per_device"),
