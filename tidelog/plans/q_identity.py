@@ -2,6 +2,8 @@
 
 
 
+from pyspark.sql import functions as F
+
 from ..operators import dimensions, identity, summary
 from .q_functions import EST_SQL
 from .q_sets import GEO_SQL, geo
@@ -159,6 +161,41 @@ def _(spark, d):
     return identity.session_device_map(_rows(spark, d))
 
 
+# the same reports where addresses and sessions do collide: by network (three octets) and by address and hour
+_NET, _IP_HOUR = r"regexp_extract(cliIP, '^([0-9]+[.][0-9]+[.][0-9]+)', 1)", "concat(cliIP, '@', CAST(CAST(FLOOR(req_ts / 3600) AS BIGINT) AS {text}))"
+_INET = f"inet AS (SELECT * REPLACE ({_NET} AS cliIP, concat({_NET}, '#', right(session_id, 1)) AS session_id) FROM i)"
+_IHOUR = f"ihour AS (SELECT * REPLACE ({_IP_HOUR.format(text='VARCHAR')} AS cliIP) FROM i)"
+
+
+def _networks(spark, d):
+    return _rows(spark, d).withColumns({"cliIP": F.expr(_NET), "session_id": F.expr(f"concat({_NET}, '#', right(session_id, 1))")})
+
+
+@query("agg_32_multi_device_networks", on_logs("""SELECT cliIP, COUNT(DISTINCT device_id) AS n_devices, COUNT(*) AS total_requests, array_to_string(list_slice(list_sort(list(DISTINCT device_id)), 1, 10), ', ') AS device_list
+ FROM inet WHERE device_id IS NOT NULL GROUP BY 1 HAVING COUNT(DISTINCT device_id) > 1""", _I, _INET))
+def _(spark, d):
+    return identity.multi_device_ips(_networks(spark, d), 10)
+
+
+@query("agg_35_multi_device_rooms", on_logs("SELECT session_id, COUNT(DISTINCT device_id) AS n_devices FROM inet WHERE device_id IS NOT NULL AND session_id IS NOT NULL GROUP BY 1 HAVING COUNT(DISTINCT device_id) > 1", _I, _INET))
+def _(spark, d):
+    return identity.multi_links(_networks(spark, d), "session_id", "device_id", "n_devices")
+
+
+_HOURS = _IPS.replace("ips AS", "hours AS").replace("FROM i GROUP", "FROM ihour GROUP")
+
+
+@query("agg_37_missing_ip_hours", on_logs("SELECT * FROM hours WHERE rows_with_device_id = 0 AND rows_with_session_id = 0", _I, _IHOUR, _HOURS))
+def _(spark, d):
+    return identity.missing_ip_list(_rows(spark, d).withColumn("cliIP", F.expr(_IP_HOUR.format(text="STRING"))))
+
+
+@query("agg_37_missing_ip_hour_bins", on_logs("""SELECT CASE WHEN rows <= 1 THEN '1' WHEN rows <= 5 THEN '2-5' WHEN rows <= 20 THEN '6-20' WHEN rows <= 100 THEN '21-100' ELSE '101-1K' END AS rows_per_ip,
+ COUNT(*) AS ip_count FROM hours WHERE rows_with_device_id = 0 AND rows_with_session_id = 0 GROUP BY 1""", _I, _IHOUR, _HOURS))
+def _(spark, d):
+    return identity.missing_ip_bins(_rows(spark, d).withColumn("cliIP", F.expr(_IP_HOUR.format(text="STRING"))))
+
+
 # summary table
 _LOC = "COALESCE(NULLIF(NULLIF(NULLIF(TRIM({}), ''), '-'), '^'), 'Unknown')"
 _DD = f"""est AS ({EST_SQL.replace('SELECT event_id, dev', 'SELECT *, dev', 1)}),
