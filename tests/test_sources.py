@@ -204,3 +204,17 @@ def test_all_rollups_in_one_pass(spark):
         assert sorted(map(str, got.where(F.col("grain") == name).select(*cols).collect())) == sorted(map(str, summary.named_rollup(df, name).select(*cols).collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_folder_checks(spark, tmp_path):
+    from tidelog.operators import health
+
+    root = tmp_path / "lake"
+    for day, name, content in (("year=2024/month=01/day=01", "a.parquet", b"x" * 2000), ("year=2024/month=01/day=03", "b.parquet", b""), ("year=2024/month=01/day=05", "c.parquet", b"x"), ("year=2024/month=13/day=01", "d.parquet", b"x" * 2000), ("loose", "e.parquet", b"x" * 2000)):
+        (root / day).mkdir(parents=True)
+        (root / day / name).write_bytes(content)
+    got = {r.check_name: (r.status, r.detail) for r in health.folder_checks(spark, str(root), "2024-01-01", "2024-01-04").collect()}
+    assert got == {
+        "files": ("OK", "4 files"), "small_files": ("WARN", "1 files under 1024 bytes"), "partition_folders": ("FAIL", "2 files outside a day folder"),
+        "days_present": ("FAIL", "3 days missing, first 2024-01-02"), "days_in_range": ("WARN", "1 days outside the range"),
+    }

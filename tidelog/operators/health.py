@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import inventory
 from .ranking import one_row
 
 CRITICAL_COLUMNS = ("reqTimeSec", "reqPath", "cliIP", "statusCode", "UA")
@@ -42,3 +43,32 @@ def health_checks(
     ]
     rows = F.array(*[F.struct(F.lit(n).alias("check_name"), s.alias("status"), d.alias("detail")) for n, s, d in checks])
     return one.select(F.inline(rows))
+
+
+def folder_checks(spark: SparkSession, path: str, first: str, last: str, small_bytes: int = 1024) -> DataFrame:
+    """OK / WARN / FAIL on a lake by year, month and day before its rows are read: files, tiny files, folders that are no day, days that are missing or outside the range.
+
+    One listing of the files, no content; the listing has one row per file. Spark's sources pass over files without a byte, so a day that holds nothing else is missing.
+    """
+    files = inventory.list_files(spark, path).select("path", "length")
+    part = lambda k: F.regexp_extract("path", rf"/{k}=([^/]*)/", 1)
+    day = F.try_to_date(F.concat_ws("-", part("year"), part("month"), part("day")), "yyyy-MM-dd")
+    files = files.withColumn("day", day)
+    one = files.agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_if(F.col("length") < small_bytes).alias("small"), F.count_if(F.col("day").isNull()).alias("odd"))
+    wanted = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    days = files.where(F.col("day").isNotNull()).groupBy("day").agg(F.count(F.lit(1)).alias("n")).join(wanted.withColumn("w", F.lit(1)), "day", "full")
+    per = days.agg(
+        F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("w").isNull()).alias("outside"),
+        F.min(F.when(F.col("n").isNull(), F.col("day"))).alias("first_missing"))
+    text = lambda c: F.col(c).cast("string")
+    bad = lambda c, level: F.when(F.col(c) > 0, level).otherwise("OK")
+    checks = [
+        ("files", F.when(F.col("files") == 0, "FAIL").otherwise("OK"), F.concat(text("files"), F.lit(" files"))),
+        ("small_files", bad("small", "WARN"), F.concat(text("small"), F.lit(f" files under {small_bytes} bytes"))),
+        ("partition_folders", bad("odd", "FAIL"), F.concat(text("odd"), F.lit(" files outside a day folder"))),
+        ("days_present", bad("missing", "FAIL"), F.concat(text("missing"), F.lit(" days missing"), F.coalesce(F.concat(F.lit(", first "), text("first_missing")), F.lit("")))),
+        ("days_in_range", bad("outside", "WARN"), F.concat(text("outside"), F.lit(" days outside the range"))),
+    ]
+    rows = F.array(*[F.struct(F.lit(n).alias("check_name"), s.alias("status"), d.alias("detail")) for n, s, d in checks])
+    return one_row(one, per).select(F.inline(rows))

