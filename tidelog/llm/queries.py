@@ -104,7 +104,11 @@ with docs as (select row_number() over () as n, doc_id, coalesce(text, '') as te
 cut as (
   select n, doc_id, host, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, regexp_extract_all(text, '[#*$%&|<>]') as signs,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from docs),
-windows as (select n, u.i, u.w from (select n, unnest(list_transform(range(1, len(words) - 3), lambda i: {'i': i, 'w': words[i:i + 4]})) as u from cut where len(words) >= 5)),
+each as (select n, unnest(words) as w, generate_subscripts(words, 1) as i from cut),
+windows as (
+  select n, i, w from (
+    select n, i, concat_ws(' ', w, lead(w, 1) over p, lead(w, 2) over p, lead(w, 3) over p, lead(w, 4) over p) as w, lead(i, 4) over p as last from each window p as (partition by n order by i))
+  where last is not null),
 again as (select n, i, lag(i) over (partition by n order by i) as before from (select n, i, count(*) over (partition by n, w) as c from windows) where c > 1),
 repeats as (select n, sum(least(5, coalesce(i - before, 5)))::bigint as covered from again group by n),
 counts as (
