@@ -44,6 +44,12 @@ def test_words_and_their_hashes():
     words, count = split_words(column)
     plain_words = [(t or "").encode().split() for t in texts]
     assert words.to_pylist() == [w for ws in plain_words for w in ws] and count.tolist() == [len(ws) for ws in plain_words]
+    for at in (0, 1, 7, 250):  # slices of every kind, with and without nulls
+        part = pa.array([t or "" for t in texts] + ["Ab CD É"]).slice(at, 200)
+        lowered, n = split_words(part, lower=True)
+        want = [(t or "").encode().lower().split() for t in part.to_pylist()]
+        assert lowered.to_pylist() == [w for ws in want for w in ws] and n.tolist() == [len(ws) for ws in want]
+        assert split_words(part)[0].to_pylist() == [w for t in part.to_pylist() for w in t.encode().split()]
     h = hashed(words, piece=50)
     assert (h == hashed(words)).all() and len(set(h.tolist())) == len(set(words.to_pylist()))
     assert {w: x for w, x in zip(words.to_pylist(), h.tolist())} == dict(zip(words.slice(3).to_pylist(), hashed(words.slice(3)).tolist())) | dict(zip(words.slice(0, 3).to_pylist(), h.tolist()))

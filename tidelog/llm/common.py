@@ -67,12 +67,14 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 512, most_bytes: int =
             at = to
 
 
-def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(all words of the column in a row, words per row): runs without ASCII blanks, as `bytes.split` cuts them; null is empty."""
+def split_words(column: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """(all words of the column in a row, words per row): runs without ASCII blanks, as `bytes.split` cuts them; null is empty. lower: A-Z as a-z."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     cut = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
     flat = cut.flatten()
+    if lower:  # the words, not the column: the kernel fails on text that does not begin at its buffer's start
+        flat = pc.ascii_lower(flat)
     some = np.asarray(pc.binary_length(flat)) > 0  # blanks at the ends of a text leave empty pieces
     ends = np.asarray(cut.offsets)
     count = np.diff(np.concatenate(([0], np.cumsum(some)))[ends - ends[0]])

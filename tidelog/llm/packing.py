@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 512, 8_000_000):
             ids, total = encoder(tokenizer).encode(batch.column(1), end_id)
             count = -(-total // capacity)
             piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)

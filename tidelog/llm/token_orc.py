@@ -40,7 +40,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 512, 8_000_000):
             ids, size = encoder(tokenizer).encode(batch.column(1), end_id)
             ends = np.cumsum(size)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))

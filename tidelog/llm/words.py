@@ -58,7 +58,7 @@ class Runs(dict):
 class WordEncoder:
     """Ids of whole columns of texts; tables of words and runs met so far, bounded."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.limit = limit
@@ -105,7 +105,7 @@ class WordEncoder:
         whole = {i: self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in odd}
         for i in odd:
             words[i] = ""
-        if len(self.runs) > 600_000:
+        if len(self.runs) > 300_000:
             self.runs = Runs(self.tokenizer.model)
         found = RUN.findall("\n".join(words).lower())
         self.runs.add(found)
