@@ -7,9 +7,13 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.plans import load, q_tables
+from tidelog.plans.registry import QUERIES
 from tidelog.sources.published import Published
 from tidelog.streaming import jobs
 
+load()
+
 
 def write_lines(folder, name, rows):
     folder.mkdir(exist_ok=True)
@@ -161,3 +165,20 @@ def test_report_rebuilds_touched_dates(spark, tmp_path):
     assert run() == {"2024-01-01": 1, "2024-01-02": 2}
     rows(("2024-01-02", 5)).write.mode("append").parquet(src)
     assert run() == {"2024-01-01": 1, "2024-01-02": 7}
+
+
+def test_ledger_batches_follow_the_bytes(spark, tmp_path, monkeypatch):
+    """Batches of three files: their number must come from the log's size, not from the number of shuffle partitions."""
+    spark.range(3000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "id % 20 AS user_id", "'play' AS event_type", "CAST(id AS DOUBLE) AS value").write.parquet(str(tmp_path / "d" / "events.parquet"))
+    monkeypatch.setattr(q_tables, "run_folder", lambda spark, name: str(tmp_path / name))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        rows = QUERIES["str_3_content_ledger"](spark, str(tmp_path / "d"))
+        assert rows.count() == rows.select("event_id").distinct().count() == 3000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    names = lambda at: [f for f in (tmp_path / "ledger" / "in" / at).iterdir() if f.name.endswith(".gz")]
+    assert len(names("first")) == len(names("renamed")) < 8  # 24 before
+    assert not {f.name for f in names("first")} & {f.name for f in names("renamed")}
+    assert spark.read.parquet(str(tmp_path / "ledger" / "ledger")).count() == len(names("first"))

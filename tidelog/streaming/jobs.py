@@ -71,14 +71,13 @@ def ingest_new_files(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # one task per unsplittable file reads; the parse runs on an even spread
+        # one task per unsplittable file reads; the parse runs on an even spread, in as many tasks as the batch's bytes call for
         own = batch.sparkSession
-        tasks = int(own.conf.get("spark.sql.shuffle.partitions"))
         seen = None
         if ledger is not None:
             run = own.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
             batch, seen = _unseen(batch, ledger, run, batch_id)
-        parsed = raw_json.parse(raw_json.spread(batch, tasks)).withColumn("batch", F.lit(batch_id))
+        parsed = raw_json.parse(raw_json.spread(batch)).withColumn("batch", F.lit(batch_id))
         # two sinks read it; a lost block is parsed again from the files of this batch
         parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
         sinks = [
