@@ -218,3 +218,15 @@ def test_folder_checks(spark, tmp_path):
         "files": ("OK", "4 files"), "small_files": ("WARN", "1 files under 1024 bytes"), "partition_folders": ("FAIL", "2 files outside a day folder"),
         "days_present": ("FAIL", "3 days missing, first 2024-01-02"), "days_in_range": ("WARN", "1 days outside the range"),
     }
+
+
+def test_merge_files_packs_whole_files_without_a_shuffle(spark, tmp_path):
+    many, few = str(tmp_path / "many"), str(tmp_path / "few")
+    spark.range(0, 6000, 1, 6).withColumn("from_file", F.spark_partition_id()).write.parquet(many)
+    size = max(os.path.getsize(f"{many}/{n}") for n in os.listdir(many) if n.endswith(".parquet"))
+    assert lake.merge_files(spark, many, few, 2 * size + 100) == 3
+    got = spark.read.parquet(few)
+    assert got.count() == got.select("id").distinct().count() == 6000
+    per = got.groupBy("from_file").agg(F.count_distinct(F.col("_metadata.file_path")).alias("n"))
+    assert [r.n for r in per.collect()] == [1] * 6  # no file's rows were dealt over tasks
+    assert lake.merge_files(spark, many, few) == 1 and spark.read.parquet(few).count() == 6000

@@ -160,10 +160,14 @@ def optimize(df: DataFrame, time: str, path: str, partitions: int | None = None,
 
 
 def merge_files(spark: SparkSession, source: str, target: str, target_bytes: int = 512 * 1024 * 1024) -> int:
-    """Rewrite many small files as few of about ``target_bytes``; returns the number of output partitions."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(source)
-    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    n = max(1, -(-int(size) // target_bytes))
-    read_flat(spark, source).repartition(n).write.mode("overwrite").option("compression", "zstd").parquet(target)
-    return n
+    """Rewrite many small files as few of at most about ``target_bytes``; returns the number of output partitions.
+
+    The scan packs whole files into tasks up to that size, and cuts larger ones between row groups; no row is shuffled, so a task reads no more than it would write.
+    """
+    own = spark.newSession()
+    for name, value in {"maxPartitionBytes": target_bytes, "openCostInBytes": 0, "minPartitionNum": 1}.items():
+        own.conf.set(f"spark.sql.files.{name}", str(value))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    rows = read_flat(own, source)
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(target)
+    return rows.rdd.getNumPartitions()
