@@ -230,3 +230,16 @@ def test_merge_files_packs_whole_files_without_a_shuffle(spark, tmp_path):
     per = got.groupBy("from_file").agg(F.count_distinct(F.col("_metadata.file_path")).alias("n"))
     assert [r.n for r in per.collect()] == [1] * 6  # no file's rows were dealt over tasks
     assert lake.merge_files(spark, many, few) == 1 and spark.read.parquet(few).count() == 6000
+
+
+def test_first_record_of_files_in_parts(spark, tmp_path):
+    path = str(tmp_path / "hosts")
+    at = lambda i: F.lit(1704067200) + F.col("id") * i
+    a = spark.range(4000).select("id", F.lit("a").alias("host"), at(60).cast("string").alias("reqTimeSec"))
+    b = spark.range(4000, 8000).select("id", F.lit("b").alias("host"), at(-60).cast("string").alias("reqTimeSec"))
+    a.unionByName(b).repartitionByRange(8, "host", "id").sortWithinPartitions("host", "id").write.partitionBy("host").parquet(path)
+    files = inventory.scanned_files(spark.read.parquet(path))
+    assert files.select("file_path").distinct().count() >= 8
+    for date, name in (("2024-01-01", "a"), ("2023-12-29", "b")):  # day of the first record by id, which is the least time of a and the greatest of b
+        hit = inventory.files_starting_on(inventory.as_part_folders(files), date, "file_row").collect()
+        assert [r.file_path.split("/")[-2] for r in hit] == [f"host={name}"] and hit[0].utc_match
