@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidelog.operators import sessions
@@ -59,3 +60,64 @@ def test_rule():
     assert device_sessions.opens((1001, 2, None) + last[3:], last, 1200)
     assert device_sessions.opens((1481, 2, "s", "b", "j", "x", "p"), last, 1200) and not device_sessions.opens((1480, 2, "s", "b", "j", "x", "p"), last, 1200)
     assert not device_sessions.opens((1481, 2, "s", "b", "i", "x", "p"), last, 1200)
+
+
+class Values:
+    """A list state that counts what is written to it."""
+
+    def __init__(self):
+        self.held, self.written = [], 0
+
+    def appendValue(self, value):
+        self.appendList([value])
+
+    def appendList(self, values):
+        self.held += values
+        self.written += len(values)
+
+    def put(self, values):
+        self.clear()
+        self.appendList(values)
+
+    def get(self):
+        return iter(self.held)
+
+    def clear(self):
+        self.held = []
+
+
+class One(Values):
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held[0]
+
+    def update(self, value):
+        self.held = [value]
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now * 1000
+
+    def registerTimer(self, at):
+        pass
+
+
+def test_waiting_rows_share_state_values():
+    names = ("device_id", "event_time", *device_sessions.SEEN)
+    row = Row(*names)
+    rows = [row("d", None, 1000 + 10 * i, i, "s", "b", None, "x", "p") for i in range(12_000)]
+    op = device_sessions.DeviceSessions(20, 30)
+    op.pending, op.last, op.handle = Values(), One(), Clock(0)
+    assert list(op.handleInputRows(("d",), iter(rows), None)) == []
+    assert op.pending.written <= 3  # one value held one row before
+    half = 1000 + 10 * 6000
+    assert list(op.handleExpiredTimer(("d",), Clock(half), None)) == [] and op.pending.written <= 6
+    done = list(op.handleExpiredTimer(("d",), Clock(10_000_000), None))
+    assert [tuple(r) for r in done] == [("d", 1, 1000, 1000 + 10 * 11_999, 12_000)]
+    assert not op.pending.held

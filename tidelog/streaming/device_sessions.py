@@ -7,7 +7,9 @@ silent for ``keep_days`` of event time loses its state; its numbers then start a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,10 @@ from ..operators.sessions import CONTEXT
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SEEN = ("req_ts", "event_id", "session_id", *CONTEXT)
-PENDING = "req_ts long, event_id long, session_id string, " + ", ".join(f"{c} string" for c in CONTEXT)
-OPEN = f"{PENDING}, number long, start_ts long, requests long, is_open boolean"
+ROW = "req_ts long, event_id long, session_id string, " + ", ".join(f"{c} string" for c in CONTEXT)
+PENDING = "rows string"  # up to CHUNK rows as one JSON text: the state store then moves one value for many rows
+CHUNK = 5000
+OPEN = f"{ROW}, number long, start_ts long, requests long, is_open boolean"
 RESULT = "device_id string, session_no long, start_ts long, end_ts long, requests long"
 
 
@@ -41,15 +45,18 @@ class DeviceSessions(StatefulProcessor):
         self.last = handle.getValueState("last", OPEN)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        fresh = [tuple(getattr(r, c) for c in SEEN) for r in rows]
-        if fresh:
-            self.pending.appendList(fresh)
-            self.handle.registerTimer(min(r[0] for r in fresh) * 1000)
+        rows, first = iter(rows), None
+        while fresh := [r[-len(SEEN) :] for r in islice(rows, CHUNK)]:  # the last columns of the input are those of SEEN
+            self.pending.appendValue((json.dumps(fresh),))
+            low = min(r[0] for r in fresh)
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(first * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted((tuple(r) for r in self.pending.get()), key=lambda r: (r[0], r[1]))
+        waiting = sorted((r for text in self.pending.get() for r in json.loads(text[0])), key=lambda r: (r[0], r[1]))
         due = [r for r in waiting if r[0] * 1000 <= now]
         later = waiting[len(due) :]
         state = tuple(self.last.get()) if self.last.exists() else None
@@ -70,7 +77,7 @@ class DeviceSessions(StatefulProcessor):
             state = (*state[:-1], False)
         if due:
             if later:
-                self.pending.put(later)
+                self.pending.put([(json.dumps(later[at : at + CHUNK]),) for at in range(0, len(later), CHUNK)])
             else:
                 self.pending.clear()
         if state is not None and not state[-1] and not later and (state[0] + self.keep) * 1000 < now:
