@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import bitmaps, diagnostics, histogram, sketches
+from tidelog.plans import q_merge
 from tidelog.session import run_folder
 
 DAYS = [dt.date(2024, 1, 29) + dt.timedelta(days=i) for i in range(8)]
@@ -135,3 +136,20 @@ def test_two_grains_take_one_scan(spark):
     single = diagnostics.gap_profile(df, ["device_id", "session_id"]).first()
     both = {r["grain"]: r for r in out.collect()}
     assert all(both["device+session"][c] == single[c] for c in single.asDict())
+
+
+def test_stored_days_derive_the_summary_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(n):
+        seen.add(1)
+        return n
+
+    rows = [(dt.date(2023, 12, 31 - i % 2) + dt.timedelta(days=i % 4), "IN", "r", "a", "Other", f"s{i % 7}", f"d{i % 5}", "c", 1) for i in range(40)]
+    names = "event_date date, country string, region string, channel_name string, device_type string, session_id string, device_id string, city string, requests long"
+    df = spark.createDataFrame(rows, names).withColumn("requests", counted.asNondeterministic()("requests"))
+    monkeypatch.setattr(q_merge, "_summary", lambda spark, d: df)
+    folder = q_merge._days(spark, None)
+    assert seen.value == 40
+    assert tuple(bitmaps.report(spark, folder, {}, ["sessions", "devices"]).first()) == (40, 7, 5)

@@ -7,7 +7,7 @@ from ..functions.querystring import qs_value
 from ..model import typed
 from ..operators import bitmaps, diagnostics, sketches
 from ..operators.cdn import num
-from ..session import run_folder
+from ..session import run_folder, staged
 from .q_cdn import _DIMS
 from .q_identity import _DD, _summary
 from .q_watch import _C, _clean
@@ -19,7 +19,7 @@ _KEYS = ["country", "region", "channel_name", "device_type"]
 def _days(spark, d):
     """Folder of the stored days of the device-day summary; the first day is added apart from the others, so the dictionary grows once."""
     folder = run_folder(spark, "distincts")
-    summary = _summary(spark, d)
+    summary = staged(_summary(spark, d), "device-days")  # both additions read it, each for its values and its requests
     first = F.col("event_date") <= F.lit("2024-01-01").cast("date")
     bitmaps.add_days(summary.where(first), folder, _KEYS)
     bitmaps.add_days(summary.where(~first), folder, _KEYS)
