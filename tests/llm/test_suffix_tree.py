@@ -1,9 +1,11 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import suffix_tree
 from tidelog.llm.common import hashed
@@ -120,3 +122,41 @@ def test_empty_tables_and_odd_rows(spark, odd_docs, no_docs):
     assert len(got) == odd_docs.count() and all(r.n_known == 0 and r.base_score == 0 for r in got)
     tree, counts = suffix_tree.fit(odd_docs)
     assert all(r.n_known == r.n_tokens for r in suffix_tree.score(spark, odd_docs, tree, counts).collect())
+
+
+def repeated_texts():
+    """Words at random, so that few contexts of one word pass their own test, with phrases of which longer contexts do, and rows that occur twice."""
+    rng = random.Random(5)
+    words = ["a", "B"] * 10 + [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) + rng.choice(["", " a w1 b w2 w3", " w4 a b w5", " a b b b a"]) for _ in range(120)]
+    return [*texts, *texts[:5], None, "", "a unseen-word b"]
+
+
+@pytest.mark.parametrize("opts", [{}, {"places": 300}, {"most_words": 9}, {"places": 150, "most_words": 9}, {"places": 200, "test": 3.0}, {"places": 200, "most_words": 9, "test": 1.5, "least": 4}, {"places": 200, "depth": 1}])
+def test_whole_tree_in_shares_equals_the_definition(spark, opts):
+    texts = repeated_texts()
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a w1 b w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tree = {"depth": 3, "least": 2, "discount": 0.9, "test": 0.5} | {k: v for k, v in opts.items() if k in ("test", "least", "depth")}
+    plain = Plain([t for i, t in rows if i is None or i % 7 != 2], **tree)
+    got = {r.doc_id: r for r in suffix_tree.learn_and_score(df, F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False)), **opts).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        s = sequences([t])[0][1:]
+        assert got[i].n_tokens == len(s) and got[i].n_known == sum(w in plain.words for w in s)
+        assert got[i].base_score == pytest.approx(sum(math.log10((plain.words[w] + 1) / (plain.n + plain.v + 1)) for w in s), abs=1e-6)
+        assert got[i].score == pytest.approx(plain.score(t), abs=1e-6)
+
+
+def test_words_of_one_context_in_several_shares_wait_for_all_of_them(spark):
+    """The case above with a high test has words that only longer contexts, in some of their shares, keep."""
+    plain = Plain([t for i, t in enumerate(repeated_texts()) if i % 7 != 2], 1, 2, 0.9, 3.0)
+    deep = Plain([t for i, t in enumerate(repeated_texts()) if i % 7 != 2], 3, 2, 0.9, 3.0)
+    assert any(deep.words[s[0]] > 100 for s in deep.levels[0][1] - plain.levels[0][1])
+
+
+def test_held_trees_are_whole_or_refused(spark):
+    df = spark.createDataFrame([("a b c a b d a b c " * 20,)], "text string")
+    for most in ("most_words", "most_contexts", "most_pairs"):
+        with pytest.raises(ValueError, match="more than"):
+            suffix_tree.fit(df, **{most: 2})
