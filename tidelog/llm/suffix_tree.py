@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,9 @@ END = int(hashed(pa.array([b" "], pa.large_binary()))[0])
 #: Marks the hash of a word that goes by it, a negative number then.
 TAIL = np.uint64(1 << 63)
 
+#: Sums of places go back to their rows in blocks of 2**13 rows.
+BLOCK = 13
+
 
 def sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all sequences in a row, their sizes): each text as end, words, end; A-Z count as a-z. The first end is the context of the first word and is not scored."""
@@ -283,14 +286,16 @@ def words_of(docs: DataFrame, text_col: str, most_words: int, discount: float) -
     return Tree(h.view(np.uint64)[order], c[order], int(total), int(vocabulary), discount=discount), counts
 
 
-def encoded(docs: DataFrame, tree: Tree, id_col: str, text_col: str, mark: Column | None, by_hash: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, tree: Tree, id_col: str, text_col: str, mark: Column | None, by_hash: bool = False, rank: np.ndarray | None = None) -> DataFrame:
     """(row, doc_id, mark, ids, rare, tf, n_tokens, n_known, base), written once: each text's sequence of word numbers, the distinct other words with their numbers of occurrences, and the
-    number and root score of its symbols. by_hash: other words are negative numbers made of their hashes, not all the same one."""
+    number and root score of its symbols. by_hash: other words are negative numbers made of their hashes, not all the same one. rank: the symbols' numbers,
+    if not by their hashes' order."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (mark if mark is not None else F.lit(None).cast("boolean")).alias("mark"))
-    held = docs.sparkSession.sparkContext.broadcast(Sent(tree, True))
+    held = docs.sparkSession.sparkContext.broadcast((Sent(tree, True), rank))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, row = held.value.tree, TaskContext.get().partitionId() << 40
+        t, row = held.value[0].tree, TaskContext.get().partitionId() << 40
+        rank = held.value[1]
         symbols, width = t.symbols, t.width
         root = np.append(np.log10(t.root(t.counts)), 0.0)
         for batch in slices(batches, 4096, 6_000_000):
@@ -298,7 +303,7 @@ def encoded(docs: DataFrame, tree: Tree, id_col: str, text_col: str, mark: Colum
             h, size = sequences(batch.column(1))
             at = found(symbols, h)
             use, of = scored(size), np.repeat(np.arange(n), size)
-            ids = np.where(at < 0, (h | TAIL).view(np.int64) if by_hash else width - 1, at).astype(np.int64 if by_hash else np.int32)
+            ids = np.where(at < 0, (h | TAIL).view(np.int64) if by_hash else width - 1, at if rank is None or not rank.size else rank[at]).astype(np.int64 if by_hash else np.int32)
             rare = use & (at < 0)
             base = np.bincount(of[use], root[at[use]], minlength=n)
             pair = np.zeros(int(rare.sum()), dtype=[("of", np.int64), ("key", np.uint64)])
@@ -428,21 +433,24 @@ def with_rare_words(done: DataFrame, rows: DataFrame, tree: Tree, counts: DataFr
     return out.select("doc_id", "mark", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("score") + log + F.coalesce("gain", F.lit(0.0))).alias("score"))
 
 
-def learn_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 2, most_words: int = 2_000_000, places: int = 400_000, discount: float = 0.9, test: float = 0.5) -> DataFrame:
+def learn_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: int = 2, most_words: int = 2_000_000, places: int = 700_000, discount: float = 0.9, test: float = 0.5) -> DataFrame:
     """score() of all docs, mark true where `held_out` is, by the tree of the others as fit() defines it, of any size: nothing of it is dropped.
 
     All that a branch of the tree, the contexts that end in one word, learns and scores lies at the places after that word. So the places of all texts are dealt by the word
-    before them, once, into shares of about `places`; a task fits the branches of its share and scores its places. Words before more than half a share have shares of their
+    before them, once, into shares of about `places`; a task fits the branches of its share and scores its places. Words before more than half a share, or 1/256 of all places, have shares of their
     own, dealt by the word before that; the counts of the pairs that begin with them are made first and go to each of their shares.
     `most_words` bounds the words that tasks hold with counts; beyond them words go by their hashes, and their counts come from a join.
     """
     tree, counts = words_of(docs.filter(~held_out), text_col, most_words, discount)
     rare = counts.filter(F.col("c") >= 2).count() > tree.symbols.size
-    rows = encoded(docs, tree, id_col, text_col, held_out, rare)
+    order = np.argsort(-tree.counts, kind="stable")  # small numbers for frequent words
+    rank = np.empty(order.size, np.int32)
+    rank[order] = np.arange(order.size)
+    rows = encoded(docs, tree, id_col, text_col, held_out, rare, rank)
     if rare:
         rows = with_rare_counts(rows, counts)
     tokens = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    dealt = branch_scores(rows, Deal.of(tree, tokens, places), rare, depth, max(2, least), discount, test)
+    dealt = branch_scores(rows, Deal.of(replace(tree, counts=tree.counts[order]), tokens, places), rare, depth, max(2, least), discount, test)
     base = rows.select("row", "doc_id", "mark", "n_tokens", "n_known", "base")
     return with_rare_words(base.withColumn("score", F.col("base")), rows, tree, counts, dealt)
 
@@ -461,7 +469,8 @@ class Deal:
     def of(cls, tree: Tree, tokens: int, places: int) -> Deal:
         """Shares of about `places`, of all tokens; the counts are those of the learned ones."""
         c = tree.counts * (tokens / max(1, tree.total))
-        hot = np.flatnonzero(c > places / 2)
+        # a part of all tokens where that is less, so that the work for these words grows as the table does
+        hot = np.flatnonzero(c > min(places / 2, max(places / 16, tokens / 256)))
         parts = np.ceil(c[hot] / places).astype(np.int64)
         cold = max(1, math.ceil((tokens - c[hot].sum()) / places))
         return cls(Sent(tree, True), hot, cold + np.cumsum(parts) - parts, parts, cold)
@@ -516,8 +525,9 @@ def places_of(batches: Iterable[pa.RecordBatch], width: int, depth: int, rare: b
 
 
 def blob(columns: list[np.ndarray]) -> bytes:
-    """Columns of one length, bytes of like weight together, zstd."""
-    return zstandard.compress(b"".join(np.ascontiguousarray(v.view(np.uint8).reshape(v.size, v.itemsize).T).tobytes() for v in columns), 1)
+    """Columns of one length, the first one as differences, bytes of like weight together, zstd."""
+    columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    return zstandard.compress(b"".join(np.ascontiguousarray(v.view(np.uint8).reshape(v.size, v.itemsize).T).tobytes() for v in columns), 3)
 
 
 def unblob(data: bytes, n: int, kinds: list[np.dtype]) -> list[np.ndarray]:
@@ -525,7 +535,7 @@ def unblob(data: bytes, n: int, kinds: list[np.dtype]) -> list[np.ndarray]:
     for kind in kinds:
         out.append(np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).reshape(n))
         at += n * kind.itemsize
-    return out
+    return [np.cumsum(out[0], dtype=kinds[0]), *out[1:]]
 
 
 def branch_scores(rows: DataFrame, deal: Deal, rare: bool, depth: int, least: int, discount: float, test: float) -> DataFrame:
@@ -559,7 +569,7 @@ def branch_scores(rows: DataFrame, deal: Deal, rare: bool, depth: int, least: in
             row, train, w, count = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4))
             before = [np.concatenate([p[2][k] for p in parts]) for k in range(depth)]
             to = held.value.shares(before, row)
-            order = np.argsort((to << 32) | (before[0] & 0xFFFFFFFF))
+            order = np.argsort(to.astype(np.uint16) if to.max() < 1 << 16 else to, kind="stable")
             to = to[order]
             cut = np.flatnonzero(np.diff(to, prepend=-1))
             ends = np.append(cut[1:], to.size)
@@ -583,46 +593,80 @@ def branch_scores(rows: DataFrame, deal: Deal, rare: bool, depth: int, least: in
         model, got, pairs = to.sent.tree, [], []
         for given, n, data in zip(table["given"].to_pylist(), table["n"].to_pylist(), table["data"]):
             (pairs if given else got).append(unblob(data.as_py(), n, [np.dtype(np.int64)] * 3 if given else kinds))
-        names = ["row", "hot", "first", "gains"]
         if not got:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()))], names=names)
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())], names=["block", "hot", "first", "n", "data"])
         row, train, *words = (np.concatenate([g[i] for g in got]) for i in range(len(kinds)))
         got.clear()
         count = words.pop() if rare else None
-
-        def root(w: np.ndarray, count: np.ndarray | None) -> np.ndarray:
-            other = 0.0 if count is None else model.root(count)
-            symbol = model.root(model.counts[np.clip(w, 0, width - 2)]) if width > 1 else 0.0
-            return np.where(w == width - 1, 0.0, np.where(w < 0, other, symbol))
-
         given, hot = None, int(np.searchsorted(to.first, which, side="right")) - 1 if which >= to.cold else -1
         if hot >= 0:
             w, w_count, c = [np.concatenate(x) for x in zip(*pairs)] if pairs else [np.zeros(0, np.int64)] * 3
             order = np.argsort(w)  # so that all shares of a word sum alike
-            given = int(model.counts[to.hot[hot]]), w[order], c[order], root(w, w_count)[order]
-        branches = Branches(words[:-1], words[-1], root(words[-1], count), train, width, least, discount, test, given)
+            given = int(model.counts[to.hot[hot]]), w[order], c[order], root_of(model, w, w_count)[order]
+        branches = Branches(words[:-1], words[-1], root_of(model, words[-1], count), train, width, least, discount, test, given)
         distinct, of = np.unique(row, return_inverse=True)
         open_, first, gains = branches.run()
-        sums = np.stack([np.bincount(of, g, minlength=distinct.size) for g in gains], axis=1)
-        each = sums.shape[1]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, each), pa.int32()), pa.array(sums.reshape(-1)))
-        of_hot = np.full(distinct.size, hot if open_ else -1)
-        return pa.table([pa.array(distinct), pa.array(of_hot), pa.array(np.full(distinct.size, first, np.int32)), lists], names=names)
+        sums = [np.rint(np.bincount(of, g, minlength=distinct.size) * 1e9).astype(np.int64) for g in gains]
+        block = distinct >> BLOCK
+        cut = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = np.append(cut[1:], block.size)
+        data = [blob([v[a:b] for v in (distinct, *sums)]) for a, b in zip(cut.tolist(), ends.tolist())]
+        same = lambda v, t: pa.array(np.full(cut.size, v), t)
+        return pa.table([pa.array(block[cut]), same(hot if open_ else -1, pa.int64()), same(first, pa.int32()), pa.array((ends - cut).astype(np.int32)), pa.array(data, pa.binary())], names=["block", "hot", "first", "n", "data"])
+
+    def passing(key: tuple, table: pa.Table) -> pa.Table:
+        w, w_count, c = (table[x].to_numpy() for x in ("w", "count", "c"))
+        order = np.argsort(w)
+        own = given_passes((int(held.value.sent.tree.counts[held.value.hot[key[0].as_py()]]), w[order], c[order], root_of(held.value.sent.tree, w, w_count)[order]), test)
+        return pa.table([pa.array([key[0].as_py()][: int(own)], pa.int64())], names=["hot"])
+
+    def gathered(key: tuple, table: pa.Table) -> pa.Table:
+        low, whole = key[0].as_py() << BLOCK, np.int64
+        out, seen = np.zeros(1 << BLOCK, whole), np.zeros(1 << BLOCK, bool)
+        for hot, first, level, n, data in zip(*(table[x].to_pylist() for x in ("hot", "first", "level", "n")), table["data"]):
+            # of an open word's sums those for its level
+            row, *sums = unblob(data.as_py(), n, [np.dtype(whole)] * (2 if hot < 0 else first + 2))
+            out[row - low] += sums[0 if hot < 0 else level]
+            seen[row - low] = True
+        at = np.flatnonzero(seen)
+        return pa.table([pa.array(at + low), pa.array(out[at] / 1e9)], names=["row", "gain"])
 
     source = rows.select("row", "mark", "ids", "rare", "rc") if rare else rows.select("row", "mark", "ids")
     kind = "share long, given boolean, n int, data binary"
     sent = source.mapInArrow(dealt, kind)
     if deal.hot.size:
         hot_pairs = source.mapInArrow(pairs, "hot long, w long, count long, c long").groupBy("hot", "w").agg(F.max("count").alias("count"), F.sum("c").alias("c")).filter("c >= 2")
+        hot_pairs = staged(hot_pairs, "hot_pairs")
         sent = sent.unionAll(hot_pairs.mapInArrow(sent_pairs, kind))
-    scored_rows = sent.groupBy("share").applyInArrow(share, "row long, hot long, first int, gains array<double>")
-    if not deal.hot.size:
-        return scored_rows.groupBy("row").agg(F.sum(F.col("gains")[0]).alias("gain"))
-    # hot words whose own test fails are kept from the first level on at which any of their shares keeps a context
-    scored_rows = staged(scored_rows, "gains")
-    level = scored_rows.filter("hot >= 0").groupBy("hot").agg(F.min("first").alias("level"))
-    done = scored_rows.join(F.broadcast(level), "hot", "left")
-    return done.groupBy("row").agg(F.sum(F.col("gains")[F.coalesce(F.col("level"), F.lit(0))]).alias("gain"))
+    back = sent.groupBy("share").applyInArrow(share, "block long, hot long, first int, n int, data binary")
+    if deal.hot.size and hot_pairs.groupBy("hot").applyInArrow(passing, "hot long").count() < deal.hot.size:
+        # hot words whose own test fails are kept from the first level on at which any of their shares keeps a context
+        back = staged(back, "gains")
+        level = back.filter("hot >= 0").groupBy("hot").agg(F.min("first").alias("level"))
+        back = back.join(F.broadcast(level), "hot", "left")
+    else:
+        back = back.withColumn("level", F.lit(0))
+    return back.groupBy("block").applyInArrow(gathered, "row long, gain double")
+
+
+def root_of(tree: Tree, w: np.ndarray, count: np.ndarray | None) -> np.ndarray:
+    """Root probabilities of word numbers, of those that go by their hashes from their counts; 0 for words that are no symbols."""
+    other = 0.0 if count is None else tree.root(count)
+    symbol = tree.root(tree.counts[np.clip(w, 0, tree.width - 2)]) if tree.width > 1 else 0.0
+    return np.where(w == tree.width - 1, 0.0, np.where(w < 0, other, symbol))
+
+
+def passes(n: np.ndarray, s: np.ndarray, c: np.ndarray, q: np.ndarray, test: float) -> np.ndarray:
+    """The divergence test, as in Tree.add_level."""
+    rest, rest_q = n - np.bincount(s, c, minlength=n.size), 1.0 - np.bincount(s, q, minlength=n.size)
+    gain = np.bincount(s, c * np.log(c / n[s] / q), minlength=n.size).astype(np.float64)
+    gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / n / np.maximum(rest_q, 1e-12)), 0.0)
+    return gain > test * np.log(np.maximum(n, 2)) * (np.bincount(s, minlength=n.size) + 1)
+
+
+def given_passes(given: tuple, test: float) -> bool:
+    n, w, c, q = given
+    return bool(passes(np.array([float(n)]), np.zeros(w.size, np.int64), c.astype(np.float64), q, test)[0])
 
 
 @dataclass
@@ -692,23 +736,15 @@ class Branches:
             back[on] *= b
         return p, back
 
-    def passes(self, n: np.ndarray, s: np.ndarray, c: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """The divergence test, as in Tree.add_level."""
-        rest, rest_q = n - np.bincount(s, c, minlength=n.size), 1.0 - np.bincount(s, q, minlength=n.size)
-        gain = np.bincount(s, c * np.log(c / n[s] / q), minlength=n.size).astype(np.float64)
-        gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / n / np.maximum(rest_q, 1e-12)), 0.0)
-        return gain > self.test * np.log(np.maximum(n, 2)) * (np.bincount(s, minlength=n.size) + 1)
-
     def fitted(self, given_from: int | None) -> int:
         """Test all contexts; a given word is kept from the level `given_from` on. The first level beyond the first that keeps a context, the number of levels + 1 if none."""
         first = len(self.levels) + 1
         for k, x in enumerate(self.levels, 1):
             if k == 1 and self.given:
-                n, w, c, q = self.given
                 x.kept = np.full(x.n.size, given_from <= 1)
                 continue
             q = self.probabilities(self.levels[: k - 1])[0][x.at]
-            x.kept = self.passes(x.n, x.pair, x.c, q)
+            x.kept = passes(x.n, x.pair, x.c, q, self.test)
             first = min(first, k) if k > 1 and x.kept.any() else first
             for lower, upper in zip(reversed(self.levels[: k - 1]), reversed(self.levels[1:k])):
                 lower.kept[upper.lower[upper.kept]] = True
@@ -717,7 +753,9 @@ class Branches:
         return first
 
     def gains(self) -> np.ndarray:
-        p, back = self.probabilities(self.levels)
+        # in single precision, as a tree sent for scoring has them
+        single = lambda v: v.astype(np.float32).astype(np.float64)
+        p, back = self.probabilities([replace(x, part=single(x.part), back=single(x.back)) for x in self.levels])
         symbol = self.root > 0
         return np.log10(np.where(symbol, p / np.where(symbol, self.root, 1.0), back))
 
@@ -727,9 +765,7 @@ class Branches:
         Where it is open, gains[k] hold if it is from level k on, for each k up to that first level; gains[0] and gains[1] are not used then.
         """
         if self.given:
-            n, w, c, q = self.given
-            own = self.passes(np.array([float(n)]), np.zeros(w.size, np.int64), c.astype(np.float64), q)[0]
-            if not own:
+            if not given_passes(self.given, self.test):
                 never = len(self.levels) + 1
                 first = self.fitted(never)
                 none, out = np.zeros(self.root.size), []
