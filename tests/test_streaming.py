@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.plans import load, q_tables
 from tidelog.plans.registry import QUERIES
+from tidelog.sources import raw_json
 from tidelog.sources.published import Published
 from tidelog.streaming import jobs
 
@@ -34,6 +35,35 @@ def test_ingest_takes_only_new_files(spark, tmp_path):
     assert [r.value for r in bad] == ["broken"] and bad[0].file.endswith("1.json")
 
 
+def test_ingest_stores_parsed_lines_instead_of_caching_them(spark, tmp_path, monkeypatch):
+    """Cached variants fill the executors' memory; what is stored instead holds none, and goes with its batch."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    cached, stored = [], []
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: cached.append(df) or df)
+    outcomes = raw_json.outcomes
+    monkeypatch.setattr(raw_json, "outcomes", lambda *a: stored.append(outcomes(*a)) or stored[-1])
+    write_lines(src, "1.json", ['{"a": 1, "a": 7}', "broken", {"a": [1, {"b": 2}]}, '"text"', {"b": 1}, "", {"a": True}, {"a": "-"}])
+    jobs.run_to_end(jobs.ingest_new_files(spark, str(src), f"{out}/rows", f"{out}/bad", f"{out}/state", ["a"], files_per_batch=1))
+    assert not cached and [t for _, t in stored[0].dtypes if t in ("variant", "map<string,string>")] == []
+    rows = spark.read.parquet(f"{out}/rows").collect()
+    assert sorted(str(r.a) for r in rows) == ["7", "None", "None", "True", '[1,{"b":2}]'] and {r._src_file.rsplit("/", 1)[1] for r in rows} == {"1.json"}
+    bad = sorted((r.error, r.value, r.stage, r.file.rsplit("/", 1)[1]) for r in spark.read.parquet(f"{out}/bad").collect())
+    assert bad == [("JSON", "broken", "parse", "1.json"), ("Not a JSON object", '"text"', "parse", "1.json")]
+    assert sorted(f.name for f in out.iterdir()) == ["bad", "rows", "state"]
+
+
+def test_error_rows_read_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Eight files, of any size, were read by a task each; now their number grows with the bytes of both tables."""
+    spark.range(500).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "id % 20 AS user_id", "'play' AS event_type", "CAST(id AS DOUBLE) AS value").write.parquet(str(tmp_path / "d" / "events.parquet"))
+    texts = [("some words\nand more",), (" ",), (None,), ("{broken}",)] * 50
+    spark.createDataFrame(texts, "text string").write.parquet(str(tmp_path / "d" / "documents.parquet"))
+    monkeypatch.setattr(q_tables, "run_folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(q_tables, "LINES_FROM", 1000)
+    rows = QUERIES["str_2_stream_error_rows"](spark, str(tmp_path / "d")).collect()
+    assert [tuple(r) for r in rows] == [("parse", "JSON", 100)]
+    assert len([f for f in (tmp_path / "ingest" / "in").iterdir() if f.name.endswith(".gz")]) > 8
+
+
 def requests(spark, rows):
     df = spark.createDataFrame(rows, "reqTimeSec string, cliIP string, UA string, statusCode string, totalBytes string")
     return df

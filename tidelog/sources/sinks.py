@@ -37,12 +37,15 @@ def replace_dates(report: DataFrame, path: str, date: str) -> None:
     report.write.partitionBy(date).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_dates(spark: SparkSession, path: str, date: str, values: list) -> None:
     """Remove the partitions of the given dates."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for v in values:
-        folder = hadoop.Path(f"{path}/{date}={v}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        drop_folder(spark, f"{path}/{date}={v}")
 
 
 def read_report(spark: SparkSession, path: str, date: str) -> DataFrame:

@@ -6,7 +6,6 @@ replayed, and sinks write per batch id or replace whole dates, so a replay chang
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +17,7 @@ from ..operators.users import with_pseudo_user
 from ..sources import raw_json
 from ..session import staged
 from ..sources.published import Published
-from ..sources.sinks import existing, replace_dates
+from ..sources.sinks import drop_folder, existing, replace_dates, write_parquet
 
 SUMMARY_VERSION = 1
 MAX_AGE_DAYS = 7
@@ -64,7 +63,9 @@ def ingest_new_files(
     Both sinks are partitioned by batch id and overwrite only that partition, so a batch
     replayed after a failure does not duplicate rows. With ``ledger``, a table of content digests, a file
     whose content was processed before, under whatever name, adds nothing; the ledger is written last.
+    While a batch runs, its parsed lines are stored beside the checkpoint, in a folder named after it.
     """
+    held = f"{checkpoint.rstrip('/')}-parsed"
     lines = (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(source)
         .select("value", F.col("_metadata.file_path").alias("_src_file"))
@@ -77,20 +78,21 @@ def ingest_new_files(
         if ledger is not None:
             run = own.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
             batch, seen = _unseen(batch, ledger, run, batch_id)
-        parsed = raw_json.parse(raw_json.spread(batch)).withColumn("batch", F.lit(batch_id))
-        # two sinks read it; a lost block is parsed again from the files of this batch
-        parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
-        sinks = [
-            (raw_json.rows_as_text(parsed, columns, keep_source=True).withColumn("batch", F.lit(batch_id)), table, ["batch"]),
-            (raw_json.error_rows(parsed, str(batch_id)).withColumn("batch", F.lit(batch_id)), errors, ["batch"]),
-        ]
-        if seen is not None:
-            sinks.append((seen, ledger, ["run", "batch"]))
+        parsed = raw_json.outcomes(raw_json.parse(raw_json.spread(batch)), columns)
         try:
+            # two sinks read it: a stored table takes no memory, where cached variants, in column buffers of 20 MB and more, end an executor
+            write_parquet(parsed, held)
+            parsed = own.read.schema(parsed.schema).parquet(held)
+            sinks = [
+                (raw_json.rows_as_text(parsed, columns, keep_source=True).withColumn("batch", F.lit(batch_id)), table, ["batch"]),
+                (raw_json.error_rows(parsed, str(batch_id)).withColumn("batch", F.lit(batch_id)), errors, ["batch"]),
+            ]
+            if seen is not None:
+                sinks.append((seen, ledger, ["run", "batch"]))
             for df, path, by in sinks:
                 df.write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
         finally:
-            parsed.unpersist()
+            drop_folder(own, held)
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
